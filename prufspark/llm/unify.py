@@ -85,6 +85,7 @@ class Transducer:
         self.single = build_mapping()
         look = "".join(LOOK_ALIKES)
         # Any text without one of these and in composed form is already in the one form.
+        self.quick = re.compile(f"[{_char_class([*self.single, *LOOK_ALIKES])}]")
         self.suspect = re.compile(f"[{_char_class(self.single)}]|[A-Za-zÀ-ɏＡ-Ｚａ-ｚ][{look}]|[{look}][A-Za-zÀ-ɏＡ-Ｚａ-ｚ]")
         odd = _char_class(self.single)
         self.unit = regex.compile(rf"[\p{{L}}\p{{M}}{odd}]+|[^\p{{L}}\p{{M}}{odd}]\p{{M}}+")
@@ -104,7 +105,7 @@ class Transducer:
     def __call__(self, text: str | None) -> str | None:
         if not text or text.isascii():
             return text
-        if not self.suspect.search(text) and unicodedata.is_normalized("NFC", text):
+        if unicodedata.is_normalized("NFC", text) and not (self.quick.search(text) and self.suspect.search(text)):
             return text
         return unicodedata.normalize("NFC", self.unit.sub(self._unit, text))
 
