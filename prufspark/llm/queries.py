@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prufspark.llm import neardup, tokens, unify, vectors
+from prufspark.llm import neardup, scanrepair, sentences, tokens, unify, vectors
 from prufspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,28 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify_values(_values(spark, d)).select("tbl", "record_key", "field", "form").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    values = sentences.sentence_values(chunks, table(spark, d, "gold"))
+    return sentences.sentence_starts(values, sentences.fitted(chunks)).distinct()
+
+
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every chunk, numbered."""
+    chunks = table(spark, d, "chunks")
+    cut = sentences.sentences(F.col("text"), sentences.fitted(chunks))
+    rows = chunks.where("id is not null").select("id", cut.alias("s")).distinct()
+    return rows.select("id", F.posexplode("s").alias("n", "sentence"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.damaged_lines(table(spark, d, "chunks"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.repaired(table(spark, d, "chunks"))
+
+
 def _vector_tables(spark: SparkSession, d: str) -> list[DataFrame]:
     return [
         table(spark, d, "rag_store").select("id", F.col("emb").alias("vec")),
