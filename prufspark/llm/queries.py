@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prufspark.llm import neardup, scanrepair, sentences, tokens, unify, vectors
+from prufspark.llm import langid, neardup, scanrepair, sentences, tokens, unify, vectors
 from prufspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.label_errors(langid.language_stretches(table(spark, d, "documents")))
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence (six decimals)."""
+    return langid.language_stretches(table(spark, d, "documents")).withColumn("confidence", F.round("confidence", 6))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 

@@ -33,6 +33,7 @@ CANDIDATE = re.compile(
 )
 LEFT = re.compile(r"[^\s«»„“”\"()\[\]「」]*$")
 RIGHT = re.compile(r"[^\W\d_]+|\d+|\S")
+MAIL_AHEAD = re.compile(r"[\w.+-]{1,64}(?:@|\[at\]|\(at\))", re.I)
 THAI = re.compile(r"[฀-๿]")
 GREEK_END = re.compile(r"[Ͱ-Ͽἀ-῿][^A-Za-z]*$")
 QUOTE = re.compile(r"[«»„“”‘’「」『』\"\n]")
@@ -104,7 +105,7 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
         if not gap and kind in "l#" and sign in ".…":
             continue
         left_text = LEFT.search(text, max(0, a - 24), a).group()
-        if not gap and ("@" in left_text or "www" in left_text.lower() or "://" in left_text):
+        if not gap and ("@" in left_text or MAIL_AHEAD.match(text, b) or "www" in left_text.lower() or "://" in left_text):
             continue
         inside = any(i < a < j for i, j in spans) if spans else False
         left = left_text.lower().strip(",;:")
@@ -140,6 +141,10 @@ PRIOR |= {f"k{s}{g}{k}": v for s in ENDERS for g, k, v in (("s", "U", 2.0), ("s"
 TITLES = "m mm mme dr prof hr hrn fr frl sig dott avv st ste str lic iur med dipl ing mr mrs ms me jr sr no nr".split()
 PRIOR |= {f"L{t}U": -6.0 for t in TITLES}
 PRIOR |= {"s1U.": -5.0}
+# Month names, which follow an ordinal.
+MONTHS = """januar februar märz april mai juni juli august september oktober november dezember jänner janvier février mars avril juin juillet août
+septembre octobre novembre décembre gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre""".split()
+PRIOR |= {f"r{m}": -5.0 for m in MONTHS}
 PRIOR |= {f"s{s}{k}.": -3.0 for s in ("1", ".") for k in "Ul#" if s + k != "1U"}
 PRIOR |= {f"s#1{k}.": -6.0 for k in "Ulo#"}
 PRIOR |= {"b ": -0.5, "b st": 1.0, "k stU": 1.0, "k sto": 1.0}
