@@ -144,7 +144,7 @@ PRIOR |= {"s1U.": -5.0}
 # Month names, which follow an ordinal.
 MONTHS = """januar februar märz april mai juni juli august september oktober november dezember jänner janvier février mars avril juin juillet août
 septembre octobre novembre décembre gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre""".split()
-PRIOR |= {f"r{m}": -5.0 for m in MONTHS}
+PRIOR |= {f"r{m}": -9.0 for m in MONTHS}
 PRIOR |= {f"s{s}{k}.": -3.0 for s in ("1", ".") for k in "Ul#" if s + k != "1U"}
 PRIOR |= {f"s#1{k}.": -6.0 for k in "Ulo#"}
 PRIOR |= {"b ": -0.5, "b st": 1.0, "k stU": 1.0, "k sto": 1.0}
