@@ -40,39 +40,50 @@ def _capitals(words: list[str]) -> str:
     return "|".join(sorted(map(re.escape, forms), key=len, reverse=True))
 
 
-TITLE = rf"(?:[Ll]['’])?(?:{_capitals(CAPITAL_TITLES)}|{'|'.join(sorted(map(re.escape, SMALL_TITLES), key=len, reverse=True))})\.?"
+TITLE = rf"(?:{_capitals(CAPITAL_TITLES)}|{'|'.join(sorted(map(re.escape, SMALL_TITLES), key=len, reverse=True))})\.?"
+TITLE_TOKENS = {w + dot for w in (*(f(x) for x in CAPITAL_TITLES for f in (str.capitalize, str.upper)), "Sig.ra", "Dott.ssa", *SMALL_TITLES) for dot in ("", ".")}
+TITLE_TOKENS |= {a + q + t for t in ("avv.", "ing.", "avv") for a in "Ll" for q in "'’"}
 CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’][^\W\d_]+)?(?:-[^\W\d_]+)*"
-TITLED = re.compile(rf"(?<![\w@.+-])((?:{TITLE}\s+)+)((?:{CAP}|[^\W\d_]\.)(?:\s+{CAP}){{0,2}})(?=\s|[,;.:)|]|$)")
-BEFORE_TITLE = re.compile(rf"(?<![\w@.+-])(?:{TITLE}\s+)+$")
+TITLED = re.compile(rf"((?:(?:[Ll]['’])?{TITLE}\s+)+)((?:{CAP}|[^\W\d_]\.)(?:\s+{CAP}){{0,2}})(?=\s|[,;.:)|]|$)")
+BEFORE_TITLE = re.compile(rf"(?<![\w@.+-])(?:[Ll]['’])?(?:{TITLE}\s+)+$")
 WORD = re.compile(r"(?<![\w@+])[^\W\d_]+(?:['’][^\W\d_]+)?(?:-[^\W\d_]+)*(?![\w@+])")
 INITIALS = re.compile(r"(?:(?<![\w.])[^\W\d_a-zß-öø-ÿ]\.\s*-?)+\s?$")
 LEGAL = re.compile(r"\s*(?:&\s*(?:Söhne|Sohn|Co|Fils|Figli|Sons|Partner)|(?:Bau|Transporte|Logistik|Garage|Treuhand|Immobilien|Reisen|Holz|Metall|Technik|Elektro|Handels)?\s*(?:AG|SA|Sagl|Sàrl|GmbH|Holding|KG|OHG|Srl|S\.?p\.?A|Ltd|LLC|Inc|plc|BV|NV|Genossenschaft|Stiftung)\b)", re.I)
 
 AT = r"\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\))\s?"
 EMAIL = re.compile(rf"[\w.+%-]+(?:{AT})[\w-]+(?:\.[\w-]+)+", re.I)
-PHONE = re.compile(r"(?<![\w.,'’/+-])(?:\+\d{2,3}|00\d{2}|\(0\d{1,3}\)|0\d{1,4})(?:[ ./-]{0,2}\(0\))?(?:[ ./-]{0,1}\d+)+(?![\w'’])")
+PHONE = re.compile(r"[+0(](?<![\w.,'’/+-][+0(])(?:(?<=\+)\d{2,3}|(?<=0)0\d{2}|(?<=\()0\d{1,3}\)|(?<=0)\d{1,4})(?:[ ./-]{0,2}\(0\))?(?:[ ./-]{0,1}\d+)+(?![\w'’])")
 SOCIAL = re.compile(r"(?<![\w.'’-])756[. ]?\d{4}[. ]?\d{4}[. ]?\d{2}(?![\w'’])")
-INSEE = re.compile(r"(?<![\w.'’-])[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w'’])")
-FISCAL = re.compile(r"(?<![\w-])[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z](?![\w-])", re.I)
-PAPER = re.compile(r"(?<![\w-])[A-Z]\d[A-Z]\d{5}(?![\w-])")
+INSEE = re.compile(r"[12](?<![\w.'’-][12]) ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w'’])")
+FISCAL = re.compile(r"[A-Z](?<![\w-][A-Z])[A-Z]{5}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z](?![\w-])")
+PAPER = re.compile(r"[A-Z](?<![\w-][A-Z])\d[A-Z]\d{5}(?![\w-])")
 
 NO = r"\d{1,4}(?:\s?[a-z](?![\w]))?(?:/\d{1,3})?"
+# Endings of German street names.
+STREET_ENDS = "strasse straße str. weg gasse platz allee gässli steig ufer quai rain halde matte promenade".split()
+STREET_GAP = re.compile(r"\s(?=\d)(?:" + "|".join(rf"(?<={re.escape(v)}\s)" for e in STREET_ENDS for v in (e, e.upper(), e.capitalize())) + ")")
+STREET_LEFT = re.compile(
+    r"(?<![\w-])(?:(?:Alte[rsn]?|Neue[rsn]?|Unter[en]+|Ober[en]+|Kleine|Grosse|Hinter[en]+|Vorder[en]+|Lange|Sankt|St\.)\s)?[^\W\d_][\w.]*(?:-\s?[\w.]+)*$", re.I
+)
+STREET_NO = re.compile(rf"{NO}(?!\w)", re.I)
 STREETS = [
-    re.compile(rf"(?<![\w-])(?:(?:Alte[rsn]?|Neue[rsn]?|Unter[en]+|Ober[en]+|Kleine|Grosse|Hinter[en]+|Vorder[en]+|Lange|Sankt|St\.)\s)?[^\W\d_][\w.]*(?:-\s?[\w.]+)*(?:strasse|straße|str\.|weg|gasse|platz|allee|gässli|steig|ufer|quai|rain|halde|matt|promenade)\s{NO}(?!\w)", re.I),
-    re.compile(rf"(?<![\w-])(?:Im|Am|An der|In der|Auf der|Auf dem|Zum|Zur|Beim|Hinter der)\s[A-ZÄÖÜ][^\W\d_]+\s{NO}(?=\s*(?:[,;|./\n]|$|//)|\s(?:in|kam|und|CH-)\b)(?!\w)"),
-    re.compile(rf"(?<![\w,.'’/-]){NO},?\s(?:bis\s|ter\s)?(?:rue|route|rte|chemin|ch\.|avenue|av\.|boulevard|bd|place|pl\.|impasse|allée|quai|ruelle|sentier|passage|cours|square)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’]|le\s|la\s|les\s)?[^\W\d_][\w'’-]*", re.I),
-    re.compile(rf"(?<![\w-])(?:via|viale|piazza|piazzale|piazzetta|vicolo|strada|corso|largo|contrada|salita|riva)\s(?:(?!km\b)[^\W\d_]+['’]?\s?){{1,4}}?,?\s{NO}(?![\w]|[.,]\d)", re.I),
-    re.compile(rf"(?<![\w,.'’/-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite)\s\d+[a-z]?,\s)?{NO}\s(?:[^\W\d_][\w'’-]*\s){{1,3}}(?:Street|Road|Lane|Close|Avenue|Drive|Court|Way|Place|Square|Terrace|Gardens|Hill|Row|Mews|Crescent|Walk|Grove|Rd|St)\b(?!\.?\w)", re.I),
+    # Words of which one stands in any such address, and the grammar.
+    (None, re.compile(rf"(?<![\w-])(?:Im|Am|An der|In der|Auf der|Auf dem|Zum|Zur|Beim|Hinter der)\s[A-ZÄÖÜ][^\W\d_]+\s{NO}(?=\s*(?:[,;|./\n]|$|//)|\s(?:in|kam|und|CH-)\b)(?!\w)")),
+    ("rue route rte chemin ch. avenue av. boulevard bd place pl. impasse allée quai ruelle sentier passage cours square", re.compile(rf"(?<![\w,.'’/-]){NO},?\s(?:bis\s|ter\s)?(?:rue|route|rte|chemin|ch\.|avenue|av\.|boulevard|bd|place|pl\.|impasse|allée|quai|ruelle|sentier|passage|cours|square)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’]|le\s|la\s|les\s)?[^\W\d_][\w'’-]*", re.I)),
+    ("via viale piazza piazzale piazzetta vicolo strada corso largo contrada salita riva", re.compile(rf"(?<![\w-])(?:via|viale|piazza|piazzale|piazzetta|vicolo|strada|corso|largo|contrada|salita|riva)\s(?:(?!km\b)[^\W\d_]+['’]?\s?){{1,4}}?,?\s{NO}(?![\w]|[.,]\d)", re.I)),
+    ("street road lane close avenue drive court way place square terrace gardens hill row mews crescent walk grove rd st", re.compile(rf"(?<![\w,.'’/-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite)\s\d+[a-z]?,\s)?{NO}\s(?:[^\W\d_][\w'’-]*\s){{1,3}}(?:Street|Road|Lane|Close|Avenue|Drive|Court|Way|Place|Square|Terrace|Gardens|Hill|Row|Mews|Crescent|Walk|Grove|Rd|St)\b(?!\.?\w)", re.I)),
 ]
-NOT_STREET = re.compile(r"\b(?:am|um|im|in|auf|nach|von|bis|zu|ob|Rn|Ziff|Art|Abs|Kap|Unklar)\b", re.I)
+STREETS = [(frozenset(w.split()) if w else None, rx) for w, rx in STREETS]
 BREAKS = re.compile(r"([^\W\d_])-[ \t]*\n\s*([^\W\d_])|\n")
 
 
 def aligned(text: str) -> tuple[str, list[int] | None]:
     """A form to match on and, where it differs in length, the offset in ``text`` of each of its characters."""
-    if "\n" not in text and transducer()(text) == text:
-        return text, None
     f = transducer()
+    if f(text) == text:
+        if "-\n" not in text and "- \n" not in text:
+            return text.replace("\n", " "), None
+        return _joined(text, list(range(len(text))))
     out: list[str] = []
     pos: list[int] = []
     i = 0
@@ -100,8 +111,11 @@ def aligned(text: str) -> tuple[str, list[int] | None]:
         out.append(text[k])
         pos.append(k)
     s = "".join(out)
-    if "\n" not in s:
-        return s, pos
+    return _joined(s, pos) if "\n" in s else (s, pos)
+
+
+def _joined(s: str, pos: list[int]) -> tuple[str, list[int]]:
+    """Line ends become spaces; a word cut by a hyphen at a line's end is one word."""
     parts: list[str] = []
     where: list[int] = []
     i = 0
@@ -132,46 +146,94 @@ class Lexicon:
     surnames: set[str] = field(default_factory=set)
     given: dict[str, str] = field(default_factory=dict)
 
+    def mentions(self, text: str) -> bool:
+        """Does any surname stand in the text?"""
+        if not self.surnames:
+            return False
+        got = self.__dict__.get("_automaton")
+        if got is None:
+            got = self.__dict__["_automaton"] = automaton(self.surnames)
+        return next(got.iter(text.casefold()), None) is not None
+
+    def __getstate__(self) -> dict:
+        return {"surnames": self.surnames, "given": self.given}
+
+
+def automaton(words: set[str]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, w)
+    out.make_automaton()
+    return out
+
 
 def titled_words(text: str) -> Iterator[tuple[str, str, str]]:
     """``(role, word, gender)`` evidence of one text: single words after titles, first and last of two or three."""
-    for m in TITLED.finditer(text):
-        titles = [t.strip(".").lower() for t in m.group(1).split()]
-        if m.group(2)[0].islower() or not m.group(1)[0].isalpha():
+    words = text.split()
+    if TITLE_TOKENS.isdisjoint(words):
+        return
+    for i, w in enumerate(words):
+        if w not in TITLE_TOKENS or i and words[i - 1] in TITLE_TOKENS:
+            continue
+        m = TITLED.match(" ".join(words[i : i + 8]))
+        if not m:
             continue
-        words = [w for w in m.group(2).split() if w[0].isupper()]
-        words = words[: next((i for i, w in enumerate(m.group(2).split()) if not w[0].isupper()), len(words))]
+        titles = [re.sub("^[Ll]['’]", "", t).strip(".").lower() for t in m.group(1).split()]
+        named = []
+        for x in m.group(2).split():
+            if not x[0].isupper():
+                break
+            named.append(x)
         gender = "f" if any(t in FEMALE for t in titles) else "m"
-        if len(words) == 1 and not words[0].endswith("."):
-            yield "single", words[0].casefold(), gender
-        elif len(words) > 1:
-            for w in words[:-1]:
-                yield "first", w.casefold(), gender
-            yield "last", words[-1].casefold(), gender
+        if len(named) == 1 and not named[0].endswith("."):
+            yield "single", named[0].casefold(), gender
+        elif len(named) > 1:
+            for x in named[:-1]:
+                yield "first", x.casefold(), gender
+            yield "last", named[-1].casefold(), gender
 
 
 def learn(values: DataFrame) -> Lexicon:
-    """Surnames are words often single behind a title; given names stand before them. Both must do so in at
+    """Candidates are words behind titles, counted with how often each occurs at all. Surnames are words often single behind a title; given names stand before them. Both must do so in at
     least a fiftieth of all their occurrences, and a millionth of all titled words, which bounds their number."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
             for t in b.column("value").to_pylist():
-                if not t:
-                    continue
-                form = (transducer()(t) or "").replace("\n", " ")
-                seen.update(titled_words(form))
-                seen.update(("any", w, "") for w in WORD.findall(form.casefold()))
+                if t:
+                    seen.update(titled_words(t.replace("\n", " ")))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["role", "word", "gender", "n"])
 
-    rows = values.select("value").mapInArrow(run, "role string, word string, gender string, n bigint")
+    rows = values.select("value").mapInArrow(roles, "role string, word string, gender string, n bigint")
     per = rows.groupBy("word").agg(
-        *[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(r) for r in ("single", "first", "last", "any")],
+        *[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(r) for r in ("single", "first", "last")],
         F.sum(F.when((F.col("role") == "first") & (F.col("gender") == "f"), F.col("n")).otherwise(0)).alias("female"),
     )
-    per = cut(per.where("single + first + last > 0"))
+    per = cut(per)
+    words = [r["word"] for r in per.where(F.length("word") >= 2).select("word").collect()]
+    if not words:
+        return Lexicon()
+    shared = values.sparkSession.sparkContext.broadcast(set(words))
+
+    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find_words, seen = automaton(shared.value), Counter()
+        for b in batches:
+            for t in b.column("value").to_pylist():
+                if not t:
+                    continue
+                low = t.casefold()
+                for end, w in find_words.iter(low):
+                    a = end - len(w)
+                    if (a < 0 or not low[a].isalpha()) and not low[end + 1 : end + 2].isalpha():
+                        seen[w] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    total_uses = values.select("value").mapInArrow(everywhere, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("any"))
+    per = cut(per.join(total_uses, "word"))
     total = per.agg(F.sum(F.col("single") + F.col("first")).alias("n")).first()["n"] or 0
     least = max(1, total // 1_000_000)
     sure = (F.col("single") >= least) & (F.col("single") * 50 >= F.col("any")) & (F.col("single") >= F.col("first")) & (F.length("word") >= 3)
@@ -180,6 +242,24 @@ def learn(values: DataFrame) -> Lexicon:
     return Lexicon(surnames - set(given), given)
 
 
+TOWN = re.compile(r"(?:,?\s(?:CH-|D-|F-|I-|A-)?\d{4,5}\s|,?\s(?:in|à|a|im)\s)(?:St\.\s|Val-)?[^\W\d_][\w'’-]*")
+
+
+def streets(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of street and number."""
+    for m in STREET_GAP.finditer(text):
+        from_ = max(0, m.start() - 60)
+        left = STREET_LEFT.search(text[from_ : m.start()])
+        no = STREET_NO.match(text, m.end())
+        if left and no:
+            yield from_ + left.start(), no.end()
+    words = {w.strip(".,;:()|") for w in text.lower().split()}
+    for keys, rx in STREETS:
+        if keys is None or not keys.isdisjoint(words) or "av." in text or "ch." in text:
+            for m in rx.finditer(text):
+                yield m.span()
+
+
 def find(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in the given form, in order, not overlapping."""
     taken: list[tuple[str, int, int]] = []
@@ -193,18 +273,18 @@ def find(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
         for m in EMAIL.finditer(text):
             add("email", m.start(), m.end())
     if digits:
-        for rx in (SOCIAL, FISCAL, PAPER, INSEE):
+        for rx in (SOCIAL, FISCAL, PAPER, INSEE) if "756" in text else (FISCAL, PAPER, INSEE):
             for m in rx.finditer(text):
                 add("id", m.start(), m.end())
         for m in PHONE.finditer(text):
             n = sum(c.isdigit() for c in m.group())
             if 9 <= n <= 15 and not re.fullmatch(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}", m.group()):
                 add("phone", m.start() + (m.group()[0] == "("), m.end())
-        for rx in STREETS:
-            for m in rx.finditer(text):
-                a = m.start()
-                town = re.match(r"(?:,?\s(?:CH-|D-|F-|I-|A-)?\d{4,5}\s|,?\s(?:in|à|a|im)\s)(?:St\.\s|Val-)?[^\W\d_][\w'’-]*", text[m.end() :])
-                add("address", a, m.end() + (town.end() if town else 0))
+        for a, b in streets(text):
+            town = TOWN.match(text, b)
+            add("address", a, town.end() if town else b)
+    if not lex.mentions(text):
+        return sorted(taken, key=lambda x: x[1])
     low = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text) if m.group()[0].isupper()]
     i = 0
     while i < len(low):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prufspark.llm import langid, neardup, scanrepair, sentences, tokens, unify, vectors
+from prufspark.llm import langid, mixing, neardup, pii, scanrepair, sentences, tokens, unify, vectors
 from prufspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify_values(_values(spark, d)).select("tbl", "record_key", "field", "form").distinct()
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_values(table(spark, d, "chunks"), table(spark, d, "reference_facts"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_items(_personal(spark, d))
+
+
+def p3_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
+    return pii.pseudonymised(_personal(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     values = sentences.sentence_values(chunks, table(spark, d, "gold"))
@@ -74,6 +86,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.label_errors(langid.language_stretches(table(spark, d, "documents")))
 
