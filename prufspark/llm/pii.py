@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prufspark.llm.unify import transducer
@@ -427,8 +427,9 @@ def pseudonymised(values: DataFrame, key: bytes = b"change me", lex: Lexicon | N
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([surrogate(key, *r, shared.value) for r in rows], pa.string())], names=["kind", "item", "made"])
 
     met = values.where("value is not null").select("value").mapInArrow(items, "kind string, item string, made string").distinct()
-    least = met.groupBy("kind", F.lower("made").alias("made")).agg(F.min("item").alias("keeps"), F.count("*").alias("n")).where("n > 1")
-    clash = {(r["kind"], r["item"]) for r in met.join(least, (met.kind == least.kind) & (F.lower(met.made) == least.made)).where("item <> keeps").select(met.kind, "item").collect()}
+    shared_by = Window.partitionBy("kind", F.lower("made"))
+    twice = met.withColumn("keeps", F.min("item").over(shared_by)).where("item <> keeps").select("kind", "item")
+    clash = {(r["kind"], r["item"]) for r in twice.collect()}
     again = sc.broadcast(clash)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
