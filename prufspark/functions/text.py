@@ -18,8 +18,8 @@ def fold_case(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Trimmed, runs of white space as one space."""
-    return F.trim(F.regexp_replace(c, r"[ \t\r\n\x0B\f ]+", " "))
+    """Trimmed, runs of white space (no-break spaces too) as one space."""
+    return F.trim(F.regexp_replace(c, "[ \\t\\r\\n\\x0B\\f\u00a0\u2007\u202f]+", " "))
 
 
 def simplify(c: Column) -> Column:
@@ -45,7 +45,7 @@ def normalize_document(c: Column) -> Column:
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     c = F.regexp_replace(c, r"([\p{L}])\n([\p{L}])", "$1 $2")
-    c = F.regexp_replace(c, "[   ]", " ")
+    c = F.regexp_replace(c, "[\u00a0\u2007\u202f]", " ")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
