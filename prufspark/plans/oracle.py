@@ -184,7 +184,7 @@ pt AS (SELECT case_id, finding_id, {_simplify('span_text')} AS a FROM p_flat WHE
 SELECT DISTINCT finding_id FROM x WHERE len(tb) >= 2 AND len(ta) >= 2 AND (a = b OR contains(a, b) OR contains(b, a) OR len(list_intersect(ta, tb))::DOUBLE / len(ta) >= 0.8)"""
     long = " UNION ALL ".join(f"SELECT file_name, case_id, '{k}' AS key, trim(facts.{k}.value) AS value, lower(trim(facts.{k}.confidence)) AS c FROM reference_facts" for k in FACT_KEYS)
     out["facts_long"] = f"WITH f AS ({long}) SELECT DISTINCT file_name, case_id, key, value, CASE WHEN c IN ('high', 'medium', 'low') THEN c ELSE 'low' END AS confidence FROM f WHERE value <> ''"
-    out["span_scores"] = f"{MATCH} SELECT gid AS gold_finding_id, pid AS pred_finding_id, span_score, score, om AS correction_match FROM cand"
+    out["span_scores"] = f"{MATCH} SELECT gid AS gold_finding_id, pid AS pred_finding_id, span_score, score, coalesce(om::VARCHAR, 'none') AS correction_match FROM cand"
     out["greedy_match"] = f"{MATCH} SELECT gid AS gold_finding_id, pid AS pred_finding_id, span_score, score FROM m"
     out["match_metrics_by_class"] = _metrics("subclass", "gsub", "psub")
     out["match_metrics_by_main_class"] = _metrics("main_class", "gmain", "pmain")

@@ -201,7 +201,7 @@ def facts_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def span_scores(spark: SparkSession, d: str) -> DataFrame:
-    return matching.candidates(_gold(spark, d), _pred(spark, d)).select("gold_finding_id", "pred_finding_id", "span_score", "score", "correction_match")
+    return matching.candidates(_gold(spark, d), _pred(spark, d)).select("gold_finding_id", "pred_finding_id", "span_score", "score", F.coalesce(F.col("correction_match").cast("string"), F.lit("none")).alias("correction_match"))
 
 
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
