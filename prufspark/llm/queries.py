@@ -107,5 +107,33 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+def _ranges(chars) -> str:
+    cps = sorted(map(ord, chars))
+    out, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        out.append(f"\\x{{{cps[i]:x}}}" + (f"-\\x{{{cps[j]:x}}}" if j > i else ""))
+        i = j + 1
+    return "".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force in SQL where a whole table allows it."""
+    w = "list_filter(string_split(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    p1 = f"""WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL AND id IS NOT NULL), w AS (SELECT id, {w} AS w FROM c),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+x AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s), o AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM o WHERE k >= 0.6 * (na + nb - k) - 1e-12"""
+    odd, look = _ranges(unify.build_mapping()), _ranges(unify.LOOK_ALIKES)
+    run = "[\\p{L}\\p{M}]*"
+    case = f"(nfc_normalize(v) <> v OR regexp_matches(v, '[{odd}]') OR regexp_matches(v, '\\p{{Latin}}{run}[{look}]|[{look}]{run}\\p{{Latin}}'))"
+    p2 = f"""WITH g AS (SELECT 'gold' AS tbl, unnest(gold_findings) AS f FROM gold UNION ALL SELECT 'predictions', unnest(predicted_findings) FROM predictions),
+v AS (SELECT 'chunks' AS tbl, id AS record_key, 'text' AS field, text AS v FROM chunks UNION ALL SELECT tbl, f.finding_id, 'span_text', f.span_text FROM g UNION ALL SELECT tbl, f.finding_id, 'correction', f.correction FROM g)
+SELECT DISTINCT tbl, record_key, field FROM v WHERE v IS NOT NULL AND record_key IS NOT NULL AND {case}"""
+    near = """WITH a AS (SELECT id, emb AS v FROM rag_store UNION ALL SELECT id, vec FROM retrieved), u AS (SELECT id, v::DOUBLE[] AS v FROM a WHERE id IS NOT NULL AND len(v) = 96 QUALIFY row_number() OVER (PARTITION BY id) = 1),
+n AS (SELECT id, v FROM u WHERE len(list_filter(v, lambda x: x <> 0)) > 0), h AS (SELECT q.id AS id, o.id AS other, round(list_cosine_similarity(q.v, o.v), 9) AS s FROM n q, n o WHERE q.id <> o.id),
+k AS (SELECT id, other FROM h WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 10)"""
+    p5 = f"{near} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k"
+    return {"p1_found": p1, "p2_found": p2, "p5_found": p5}

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 FIT_SAMPLE = 40_000
 CALIBRATION_QUERIES = 2_000
 TARGET_RECALL = 0.99
+LEAST_VISITS = 8
+ROWS_PER_PARTITION = 40_000
 LEAF_ROWS = 256
 MAX_LEAVES = 2_048
 BRANCH = 16
@@ -165,7 +167,7 @@ def _fit(vectors: DataFrame, dim: int, k: int, least: float, recall: float, samp
     seen = np.unique(np.array(rows.column("id").to_pylist(), dtype=object), return_index=True)[1]
     sample = unit(_matrix(rows.column("vec"), dim).astype(np.float64))[np.sort(seen)].astype(np.float32)
     tree = KMeansTree.fit(sample, min(MAX_LEAVES, max(1, total // LEAF_ROWS)))
-    return tree, calibrate(tree, sample, k, least, recall), total
+    return tree, max(LEAST_VISITS, calibrate(tree, sample, k, least, recall)), total
 
 
 def nearest_vectors(tables: list[DataFrame], k: int = 10, least: float = 0.8, dim: int = 96, recall: float = TARGET_RECALL, sample_rows: int = FIT_SAMPLE) -> DataFrame:
@@ -178,7 +180,7 @@ def nearest_vectors(tables: list[DataFrame], k: int = 10, least: float = 0.8, di
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(tree)
     # Leaves side by side in the tree share a partition; a leaf of more than BLOCK_ROWS rows is spread over several.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROWS_PER_PARTITION)
     counts = np.zeros(tree.n_leaves, dtype=np.int64)
 
     def leaf_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
