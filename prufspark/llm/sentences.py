@@ -29,7 +29,7 @@ OPEN_FAR = 160
 ENDERS = ".!?…。！？؟"
 CLOSERS = "\"'»”“’)]」』›"
 CANDIDATE = re.compile(
-    rf"\s*\n\s*|[{ENDERS}]+(?:[\s]?[»›]|[{CLOSERS}])*(?=(\s*))\1|(?<=[Ͱ-Ͽ\d.%)»])\s?[;;](?=\s|$)\s*|(?<=[฀-๿\d.)”\"…])[^\S\n]+(?=[฀-๿\d(“\"])"
+    rf"\s*\n\s*|[{ENDERS}]+(?:[\s]?[»›]|[{CLOSERS}])*(?=(\s*))\1|(?<=[Ͱ-Ͽ\d.%)»])\s?[;\u037e](?=\s|$)\s*|(?<=[฀-๿\d.)”\"…])[^\S\n]+(?=[฀-๿\d(“\"])"
 )
 LEFT = re.compile(r"[^\s«»„“”\"()\[\]「」]*$")
 RIGHT = re.compile(r"[^\W\d_]+|\d+|\S")
@@ -94,7 +94,7 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
         gap = "n" if nl else "" if len(body) == len(g) else "s"
         if sign == " " and not nl and not thai:
             continue
-        if sign in ";;" and not GREEK_END.search(text[max(0, a - 24) : a + 1]):
+        if sign in ";\u037e" and not GREEK_END.search(text[max(0, a - 24) : a + 1]):
             continue
         right = RIGHT.match(text, b).group()
         r0 = right[0]
@@ -147,6 +147,8 @@ septembre octobre novembre décembre gennaio febbraio marzo aprile maggio giugno
 PRIOR |= {f"r{m}": -9.0 for m in MONTHS}
 PRIOR |= {f"s{s}{k}.": -3.0 for s in ("1", ".") for k in "Ul#" if s + k != "1U"}
 PRIOR |= {f"s#1{k}.": -6.0 for k in "Ulo#"}
+# In Greek this sign asks a question.
+PRIOR |= {f"k{s}s{k}": v for s in ";\u037e" for k, v in (("U", 3.0), ("l", -3.0), ("q", 1.0))}
 PRIOR |= {"b ": -0.5, "b st": 1.0, "k stU": 1.0, "k sto": 1.0}
 
 
