@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prufspark.functions.text import bigrams, tokens
+from prufspark.functions.text import bigrams, bind, simple_tokens
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -23,7 +23,7 @@ def dice(a: Column, b: Column) -> Column:
 
 def span_features(simple: Column) -> Column:
     """What a span score needs, computed once per row before pairing."""
-    return F.struct(simple.alias("s"), tokens(simple).alias("t"), bigrams(simple).alias("b"))
+    return bind(simple, lambda s: F.struct(s.alias("s"), simple_tokens(s).alias("t"), bigrams(s).alias("b")))
 
 
 def span_score(g: Column, p: Column) -> Column:

@@ -27,17 +27,30 @@ def simplify(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold_case(squeeze(c)), WORD_CLASS, " "))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, though the body names it many times or in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def simple_tokens(simple: Column) -> Column:
+    """Distinct tokens of an already simplified text."""
+    return F.array_distinct(F.filter(F.split(simple, " "), lambda x: x != ""))
+
+
 def tokens(c: Column) -> Column:
     """Distinct tokens of the simplified text; empty for a blank one."""
-    return F.array_distinct(F.filter(F.split(simplify(c), " "), lambda x: x != ""))
+    return simple_tokens(simplify(c))
 
 
 def bigrams(simple: Column) -> Column:
     """Distinct character pairs of a simplified text without its spaces; a single character is its own pair."""
-    s = F.replace(simple, F.lit(" "), F.lit(""))
-    n = F.length(s)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(many)
+
+    def pairs(s: Column) -> Column:
+        n = F.length(s)
+        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2))))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(s)).otherwise(many)
+
+    return bind(F.replace(simple, F.lit(" "), F.lit("")), pairs)
 
 
 def normalize_document(c: Column) -> Column:

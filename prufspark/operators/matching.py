@@ -6,9 +6,9 @@ and taken greedily from the best. Ties go by order of ids, so results are determ
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,24 +45,28 @@ def candidates(gold: DataFrame, pred: DataFrame, least: float = 0.2, scope: Sequ
 def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Greedy one-to-one assignment per scope, best span score first, then score, then ids.
 
-    Only scopes in which something competes go through Python; a pair alone in its row and column is taken at once."""
-    order = ["span_score", "score", "gold_finding_id", "pred_finding_id"]
+    A pair alone in its row and column is taken at once; the rest streams through workers in order, which hold the
+    ids taken in one scope at a time."""
     alone = cands.withColumn("_g", F.count("*").over(Window.partitionBy("gold_finding_id"))).withColumn("_p", F.count("*").over(Window.partitionBy("pred_finding_id")))
     sure = alone.where("_g = 1 and _p = 1").drop("_g", "_p")
     rest = alone.where("not (_g = 1 and _p = 1)").drop("_g", "_p")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ascending=[False, False, True, True], kind="stable")
-        gold, pred, keep = set(), set(), []
-        for g, p in zip(pdf["gold_finding_id"], pdf["pred_finding_id"]):
-            ok = g not in gold and p not in pred
-            keep.append(ok)
-            if ok:
-                gold.add(g)
-                pred.add(p)
-        return pdf[keep]
-
-    return sure.unionByName(rest.groupBy(*scope).applyInPandas(pick, rest.schema))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gold, pred = None, set(), set()
+        for b in batches:
+            keep = []
+            for *at, g, p in zip(*(b.column(c).to_pylist() for c in (*scope, "gold_finding_id", "pred_finding_id"))):
+                if at != now:
+                    now, gold, pred = at, set(), set()
+                ok = g not in gold and p not in pred
+                keep.append(ok)
+                if ok:
+                    gold.add(g)
+                    pred.add(p)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    inside = [F.col("span_score").desc(), F.col("score").desc(), "gold_finding_id", "pred_finding_id"]
+    return sure.unionByName(rest.repartition(*scope).sortWithinPartitions(*scope, *inside).mapInArrow(pick, rest.schema))
 
 
 def unmatched(side: DataFrame, matches: DataFrame, name: str) -> DataFrame:
