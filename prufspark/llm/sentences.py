@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prufspark.llm.unify import transducer
+
 FIT_BLOCKS = 2_000
 EPOCHS = 4
 OPEN_FAR = 160
@@ -29,7 +31,7 @@ OPEN_FAR = 160
 ENDERS = ".!?…。！？؟"
 CLOSERS = "\"'»”“’)]」』›"
 CANDIDATE = re.compile(
-    rf"\s*\n\s*|[{ENDERS}]+(?:[\s]?[»›]|[{CLOSERS}])*(?=(\s*))\1|(?<=[Ͱ-Ͽ\d.%)»])\s?[;\u037e](?=\s|$)\s*|(?<=[฀-๿\d.)”\"…])[^\S\n]+(?=[฀-๿\d(“\"])"
+    rf"\s*\n\s*|[{ENDERS}]+(?:[\s]?[»›]|[{CLOSERS}])*(?=(\s*))\1|(?<=[Ͱ-Ͽ\d.%)»])\s?[;\u037e](?=\s|$|[Α-Ω])\s*|(?<=[฀-๿\d.)”\"…])[^\S\n]+(?=[฀-๿\d(“\"A-ZÀ-Ý])"
 )
 LEFT = re.compile(r"[^\s«»„“”\"()\[\]「」]*$")
 RIGHT = re.compile(r"[^\W\d_]+|\d+|\S")
@@ -69,7 +71,7 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
             continue
         if c in SHUT and stack and stack[-1][0] in SHUT[c]:
             spans.append((stack.pop()[1], i))
-        elif c in PAIRS and not (c == "“" and not stack and i and not text[i - 1].isspace() and text[i - 1] not in "(:,：，说"):
+        elif c in PAIRS and (c != "“" or stack or opens(text, i)):
             stack.append((c, i))
         elif c in SHUT and not stack and c != "’" and i - start <= OPEN_FAR:
             spans.append((start, i))
@@ -77,10 +79,17 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def opens(text: str, i: int) -> bool:
+    """Does a mark that opens in some languages and closes in others open here?"""
+    before = text[max(0, i - 4) : i].rstrip("\u00ad\u200b\u200c\u200d\u2060\ufeff")[-1:]
+    return not before or before.isspace() or before in "(:,–—-" or ord(before) > 0x2E80
+
+
 def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
     """``(start, features)`` of every place where a sentence may start; start is the first character after the gap."""
     spans = quoted_spans(text) if QUOTE.search(text) else ()
     thai = THAI.search(text) is not None
+    one_form = transducer()
     out = []
     n = len(text)
     for m in CANDIDATE.finditer(text):
@@ -97,6 +106,8 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
         if sign in ";\u037e" and not GREEK_END.search(text[max(0, a - 24) : a + 1]):
             continue
         right = RIGHT.match(text, b).group()
+        if not right.isascii():
+            right = one_form(right) or right
         r0 = right[0]
         if r0.isalpha():
             kind = "U" if r0.isupper() else "l" if r0.islower() else "o"
@@ -108,14 +119,17 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
         if not gap and ("@" in left_text or MAIL_AHEAD.match(text, b) or "www" in left_text.lower() or "://" in left_text):
             continue
         inside = any(i < a < j for i, j in spans) if spans else False
+        if not left_text.isascii():
+            left_text = one_form(left_text)
         left = left_text.lower().strip(",;:")
         first = a == 0 or text[a - 1 - len(left_text) : a - len(left_text)] in ("\n", "") if left_text else False
         if left.replace(".", "").replace(",", "").isdigit():
             shape, word = ("#1" if first else "#"), "#"
         else:
-            word = left
+            # A capital tells titles and initials from units: "M." and "m.".
+            word = left + "^" * left_text[:1].isupper()
             core = left.rsplit(".", 1)[-1]
-            shape = "." if "." in left and len(core) <= 3 else "1" if len(core) <= 1 else "s" if len(core) <= 4 else "w"
+            shape = "." if "." in left and len(core) <= 3 else "I" if len(core) == 1 and left_text[-1].isupper() else "1" if len(core) <= 1 else "s" if len(core) <= 4 else "w"
         closing = "c" if len(body) > 1 and body[-1] in CLOSERS else ""
         wide = "t" if thai else ""
         base = sign + gap + closing + wide
@@ -138,9 +152,10 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
 PRIOR = {"n1": 12.0, "q1": -8.0, "q1c": -6.0, "d10tTrue": -6.0, "d01tTrue": -6.0, "d11tTrue": -6.0}
 PRIOR |= {f"k{s}{g}{k}": v for s in ENDERS for g, k, v in (("s", "U", 2.0), ("s", "l", -3.0), ("", "U", 1.0), ("s", "q", 1.0), ("s", "#", 0.5), ("", "o", 2.0), ("s", "o", 2.0))}
 # Titles and forms of address, which a name follows.
-TITLES = "m mm mme dr prof hr hrn fr frl sig dott avv st ste str lic iur med dipl ing mr mrs ms me jr sr no nr".split()
-PRIOR |= {f"L{t}U": -6.0 for t in TITLES}
-PRIOR |= {"s1U.": -5.0}
+TITLES = "m mm mme dr prof hr hrn fr frl sig dott avv st ste me mr mrs ms jr sr nr no ing dipl".split()
+SMALL_TITLES = "dr prof sig dott avv st str lic iur med dipl ing nr no".split()
+PRIOR |= {f"L{t}^U": -6.0 for t in TITLES} | {f"L{t}U": -6.0 for t in SMALL_TITLES}
+PRIOR |= {"sIU.": -6.0, "s1U.": -0.5}
 # Month names, which follow an ordinal.
 MONTHS = """januar februar märz april mai juni juli august september oktober november dezember jänner janvier février mars avril juin juillet août
 septembre octobre novembre décembre gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre""".split()
