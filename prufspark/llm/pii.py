@@ -45,13 +45,15 @@ TITLE_TOKENS = {w + dot for w in (*(f(x) for x in CAPITAL_TITLES for f in (str.c
 TITLE_TOKENS |= {a + q + t for t in ("avv.", "ing.", "avv") for a in "Ll" for q in "'’"}
 CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’][^\W\d_]+)?(?:-[^\W\d_]+)*"
 TITLED = re.compile(rf"((?:(?:[Ll]['’])?{TITLE}\s+)+)((?:{CAP}|[^\W\d_]\.)(?:\s+{CAP}){{0,2}})(?=\s|[,;.:)|]|$)")
-BEFORE_TITLE = re.compile(rf"(?<![\w@.+-])(?:[Ll]['’])?(?:{TITLE}\s+)+$")
+# Words before "M." that make it a form of address; elsewhere it is an initial.
+BEFORE_MONSIEUR = re.compile(r"(?:[.!?»”:]|\b(?:selon|de|par|à|pour|et|que|chez|avec|sur|contre))\s*$", re.I)
+BEFORE_TITLE = re.compile(rf"(?<![\w@+-])(?:[Ll]['’])?(?:{TITLE}\s+)+$")
 WORD = re.compile(r"(?<![\w@+])[^\W\d_]+(?:['’][^\W\d_]+)?(?:-[^\W\d_]+)*(?![\w@+])")
 INITIALS = re.compile(r"(?:(?<![\w.])[^\W\d_a-zß-öø-ÿ]\.\s*-?)+\s?$")
 LEGAL = re.compile(r"\s*(?:&\s*(?:Söhne|Sohn|Co|Fils|Figli|Sons|Partner)|(?:Bau|Transporte|Logistik|Garage|Treuhand|Immobilien|Reisen|Holz|Metall|Technik|Elektro|Handels)?\s*(?:AG|SA|Sagl|Sàrl|GmbH|Holding|KG|OHG|Srl|S\.?p\.?A|Ltd|LLC|Inc|plc|BV|NV|Genossenschaft|Stiftung)\b)", re.I)
 
-AT = r"\s?(?:@|\[\s?at\s?\]|\(\s?at\s?\))\s?"
-EMAIL = re.compile(rf"[\w.+%-]+(?:{AT})[\w-]+(?:\.[\w-]+)+", re.I)
+AT = r"\s?(?:@|[\[({<]\s?at\s?[\])}>])\s?"
+EMAIL = re.compile(rf"[\w.+%-]+(?:{AT})[\w-]+(?:\s?\.\s?[\w-]+)+", re.I)
 PHONE = re.compile(r"[+0(](?<![\w.,'’/+-][+0(])(?:(?<=\+)\d{2,3}|(?<=0)0\d{2}|(?<=\()0\d{1,3}\)|(?<=0)\d{1,4})(?:[ ./-]{0,2}\(0\))?(?:[ ./-]{0,1}\d+)+(?![\w'’])")
 SOCIAL = re.compile(r"(?<![\w.'’-])756[. ]?\d{4}[. ]?\d{4}[. ]?\d{2}(?![\w'’])")
 INSEE = re.compile(r"[12](?<![\w.'’-][12]) ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w'’])")
@@ -70,6 +72,7 @@ STREETS = [
     # Words of which one stands in any such address, and the grammar.
     (None, re.compile(rf"(?<![\w-])(?:Im|Am|An der|In der|Auf der|Auf dem|Zum|Zur|Beim|Hinter der)\s[A-ZÄÖÜ][^\W\d_]+\s{NO}(?=\s*(?:[,;|./\n]|$|//)|\s(?:in|kam|und|CH-)\b)(?!\w)")),
     ("rue route rte chemin ch. avenue av. boulevard bd place pl. impasse allée quai ruelle sentier passage cours square", re.compile(rf"(?<![\w,.'’/-]){NO},?\s(?:bis\s|ter\s)?(?:rue|route|rte|chemin|ch\.|avenue|av\.|boulevard|bd|place|pl\.|impasse|allée|quai|ruelle|sentier|passage|cours|square)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’]|le\s|la\s|les\s)?[^\W\d_][\w'’-]*", re.I)),
+    ("rue route rte chemin ch. avenue av. boulevard bd place pl. impasse allée quai ruelle sentier passage cours square", re.compile(rf"(?<![\w-])(?:rue|route|rte|chemin|ch\.|avenue|av\.|boulevard|bd|place|pl\.|impasse|allée|quai|ruelle|sentier|passage|cours|square)\s(?:de\sla\s|de\sl['’]|des\s|du\s|de\s|d['’]|le\s|la\s|les\s)?[^\W\d_][\w'’-]*,?\s{NO}(?![\w]|[.,]\d)", re.I)),
     ("via viale piazza piazzale piazzetta vicolo strada corso largo contrada salita riva", re.compile(rf"(?<![\w-])(?:via|viale|piazza|piazzale|piazzetta|vicolo|strada|corso|largo|contrada|salita|riva)\s(?:(?!km\b)[^\W\d_]+['’]?\s?){{1,4}}?,?\s{NO}(?![\w]|[.,]\d)", re.I)),
     ("street road lane close avenue drive court way place square terrace gardens hill row mews crescent walk grove rd st", re.compile(rf"(?<![\w,.'’/-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite)\s\d+[a-z]?,\s)?{NO}\s(?:[^\W\d_][\w'’-]*\s){{1,3}}(?:Street|Road|Lane|Close|Avenue|Drive|Court|Way|Place|Square|Terrace|Gardens|Hill|Row|Mews|Crescent|Walk|Grove|Rd|St)\b(?!\.?\w)", re.I)),
 ]
@@ -260,6 +263,14 @@ def streets(text: str) -> Iterator[tuple[int, int]]:
                 yield m.span()
 
 
+def monsieur(text: str, m: re.Match) -> bool:
+    """Is the "M." before a family name a form of address?"""
+    if m.group().strip() != "M.":
+        return False
+    before = text[max(0, m.start() - 12) : m.start()].rstrip()
+    return bool(BEFORE_MONSIEUR.search(before)) if before else len(text) >= 200
+
+
 def find(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in the given form, in order, not overlapping."""
     taken: list[tuple[str, int, int]] = []
@@ -303,7 +314,7 @@ def find(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
         kinds = ["s" if x[2].casefold() in lex.surnames else "g" for x in run]
         begin, end = run[0][0], run[-1][1]
         initials = INITIALS.search(text, max(0, begin - 12), begin) if kinds[0] == "s" else None
-        if initials and initials.group().strip() and not re.search(r"(?:^|\s)M\.\s?$", initials.group()):
+        if initials and initials.group().strip() and not monsieur(text, initials):
             begin = initials.start() + (len(initials.group()) - len(initials.group().lstrip()))
         titled = BEFORE_TITLE.search(text, max(0, run[0][0] - 40), run[0][0])
         full = "s" in kinds and ("g" in kinds or begin < run[0][0])
