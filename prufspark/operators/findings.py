@@ -68,20 +68,25 @@ def agent_scope(main_class: Column) -> Column:
     )
 
 
+def first_per_key(findings: DataFrame, *keys: Column) -> DataFrame:
+    """The finding of least id per key. A grouped minimum combines on the map side, so a hot key (such as an empty
+    one) moves one row per task, and only ids come back."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    least = findings.select("finding_id", *named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("finding_id").alias("finding_id"))
+    return findings.join(least.select("finding_id"), "finding_id", "left_semi")
+
+
 def dedup_two_stage(findings: DataFrame) -> DataFrame:
     """First per (sorted references, start of the rationale), then per start of the comparing span; empty spans stay."""
     refs = F.array_join(F.array_sort(F.coalesce("source_refs", F.array().cast("array<string>"))), "|")
-    one = Window.partitionBy(refs, F.substring(F.coalesce("rationale", F.lit("")), 1, 80)).orderBy("finding_id")
-    a = findings.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
+    one = first_per_key(findings, refs, F.substring(F.coalesce("rationale", F.lit("")), 1, 80))
     span = F.substring(F.lower(squeeze(F.coalesce("span_text", F.lit("")))), 1, 120)
-    two = Window.partitionBy("_span", F.when(F.col("_span") == "", F.col("finding_id"))).orderBy("finding_id")
-    return a.withColumn("_span", span).withColumn("_r", F.row_number().over(two)).where("_r = 1").drop("_r", "_span")
+    return first_per_key(one, span, F.when(span == "", F.col("finding_id")))
 
 
 def dedup_by_key(findings: DataFrame, *keys: Column) -> DataFrame:
     """The first finding per key (by id)."""
-    w = Window.partitionBy(*keys).orderBy("finding_id")
-    return findings.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return first_per_key(findings, *keys)
 
 
 def similar_token_pairs(rows: DataFrame, key: str, block: str, threshold: float) -> DataFrame:
