@@ -148,8 +148,13 @@ def on_protected_span(span: Column, protected: Column, least: float = 0.8) -> Co
 
 
 def save_numbered(findings: DataFrame, prefix: str) -> DataFrame:
-    """Ids ``PREFIX-case-0001`` in order within each case."""
-    w = Window.partitionBy("case_id").orderBy("segment_id", "pos", "finding_id")
-    return findings.withColumn("new_id", F.format_string(prefix + "-%s-%04d", F.col("case_id"), F.row_number().over(w)))
-
-
+    """Ids ``PREFIX-case-0001`` in order within each case.
+
+    Rows are numbered inside their segment; only one row per segment is summed up along its case."""
+    inside = Window.partitionBy("case_id", "segment_id").orderBy("pos", "finding_id")
+    ahead = Window.partitionBy("case_id").orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = findings.groupBy("case_id", "segment_id").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(F.col("case_id").alias("_c"), F.col("segment_id").alias("_s"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    same = F.col("case_id").eqNullSafe(F.col("_c")) & F.col("segment_id").eqNullSafe(F.col("_s"))
+    rows = findings.withColumn("_place", F.row_number().over(inside)).join(sizes, same).drop("_c", "_s")
+    return rows.withColumn("new_id", F.format_string(prefix + "-%s-%04d", F.col("case_id"), F.col("_before") + F.col("_place"))).drop("_before", "_place")

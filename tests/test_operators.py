@@ -149,3 +149,16 @@ def test_sections(spark):
     t = spark.createDataFrame([("1", "# Titel\nText hier.\n2.1 Befund\n\nLeer\nmehr text.")], "id string, text string")
     got = [(r["title"], r["n_lines"]) for r in chunking.sections(t).orderBy("section").collect()]
     assert got == [("# Titel", 1), ("Leer", 1)]
+
+
+def test_numbering_runs_through_segments(spark):
+    df = spark.createDataFrame([("c", "s2", 0, "x"), ("c", "s1", 1, "y"), ("c", "s1", 0, "z"), ("d", "s1", 0, "w"), ("c", None, 0, "n")], "case_id string, segment_id string, pos int, finding_id string")
+    got = {r["finding_id"]: r["new_id"] for r in findings.save_numbered(df, "P").collect()}
+    assert got == {"n": "P-c-0001", "z": "P-c-0002", "y": "P-c-0003", "x": "P-c-0004", "w": "P-d-0001"}
+
+
+def test_ordered_dedup_keeps_the_first(spark):
+    rows = [("1", "a b", "r", ["y", "x"]), ("2", "A  b", "s", ["z"]), ("3", "q", "r", ["x", "y"]), ("4", None, None, None), ("5", None, "t", None)]
+    df = spark.createDataFrame(rows, "finding_id string, span_text string, rationale string, source_refs array<string>")
+    assert {r["finding_id"] for r in findings.dedup_two_stage(df).collect()} == {"1", "4", "5"}
+    assert findings.dedup_two_stage(df.limit(0)).count() == 0
