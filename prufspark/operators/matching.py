@@ -1,6 +1,6 @@
 """One-to-one matching of predicted with gold findings, and the metrics on top.
 
-Pairs are built inside a scope (the segment by default; the case with ``scope=("case_id",)``), scored,
+Pairs are built inside a scope (``CASE`` in the catalogue; the segment by default), scored,
 and taken greedily from the best. Ties go by order of ids, so results are deterministic.
 """
 
@@ -8,31 +8,91 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from prufspark.functions.similarity import span_features, span_score
 from prufspark.functions.text import simplify
 
 SCOPE = ("case_id", "segment_id")
-
-
-def _side(df: DataFrame, name: str, scope: Sequence[str]) -> DataFrame:
-    cols = ["finding_id", "subclass", "change_type", "severity", "main_class"]
-    return df.select(
-        *scope,
-        *[F.col(c).alias(f"{name}_{c}") for c in cols],
-        simplify(F.coalesce("correction", F.lit(""))).alias(f"{name}_correction"),
-        span_features(simplify(F.coalesce("span_text", F.lit("")))).alias(f"{name}_f"),
-    )
+CASE = ("case_id",)
+BLOCK = 256  # Findings of one side that are scored together; a scope of more is split, so that no task holds all its pairs.
+FIELDS = ["finding_id", "subclass", "change_type", "severity", "main_class", "correction", "span"]
+
+
+def _blocks(df: DataFrame, name: str, scope: Sequence[str]) -> DataFrame:
+    """One row per scope and block of about ``BLOCK`` findings, as an array of structs ``name``."""
+    texts = {"correction": "correction", "span": "span_text"}
+    rows = df.select(*scope, F.struct(*[simplify(F.coalesce(texts[c], F.lit(""))).alias(c) if c in texts else F.col(c) for c in FIELDS]).alias("f"))
+    sizes = rows.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    block = F.pmod(F.xxhash64("f.finding_id"), F.col("_blocks")).alias("_block")
+    return rows.join(sizes, list(scope)).select(*scope, block, "f").groupBy(*scope, "_block").agg(F.collect_list("f").alias(name)).withColumnRenamed("_block", f"_{name}_block")
+
+
+def _bigrams(s: str) -> set[str]:
+    s = s.replace(" ", "")
+    return {s[i : i + 2] for i in range(len(s) - 1)} if len(s) != 1 else {s}
+
+
+def _shared(g: list[set[str]], p: list[set[str]]) -> np.ndarray:
+    """Sizes of all intersections: a product of incidence matrices over the elements that both sides have."""
+    both = set().union(*g) & set().union(*p)
+    place = {x: i for i, x in enumerate(both)}
+
+    def matrix(sets: list[set[str]]) -> np.ndarray:
+        at = [(i, place[x]) for i, xs in enumerate(sets) for x in xs if x in place]
+        m = np.zeros((len(sets), len(place)), np.float32)
+        if at:
+            m[tuple(np.array(at).T)] = 1
+        return m
+
+    return (matrix(g) @ matrix(p).T).astype(np.float64)
+
+
+def block_scores(gold: list[str], pred: list[str]) -> np.ndarray:
+    """``similarity.span_score`` of every pair of simplified spans.
+
+    Shared tokens and pairs of characters are counted for all pairs at once; of two spans one can hold the other only
+    if it has all its pairs (or is too short to have any)."""
+    t, b = [[set(filter(None, s.split(" "))) for s in x] for x in (gold, pred)], [[_bigrams(s) for s in x] for x in (gold, pred)]
+    size = lambda sets: np.array([len(x) for x in sets], np.float64)
+    (gt, pt), (gb, pb) = map(size, t), map(size, b)
+    nt, nb = _shared(*t), _shared(*b)
+    any_, total = gt[:, None] + pt - nt, gb[:, None] + pb
+    j = np.where(any_ == 0, 1.0, nt / np.maximum(any_, 1))
+    d = np.where(total == 0, 1.0, 2.0 * nb / np.maximum(total, 1))
+    brief = lambda x: np.array([len(s) < 12 for s in x])
+    short = brief(gold)[:, None] | brief(pred) | ((gt <= 2)[:, None] & (pt <= 2))
+    out = np.maximum(np.where(short, 0.5 * j, j), d)
+    tiny = lambda x: np.array([len(s.replace(" ", "")) < 2 for s in x])
+    held = (nb >= np.minimum(gb[:, None], pb)) | tiny(gold)[:, None] | tiny(pred)
+    for i, k in zip(*np.nonzero(held)):
+        g, p = gold[i], pred[k]
+        out[i, k] = 1.0 if g == p else 0.0 if not g or not p else 0.95 if g in p or p in g else out[i, k]
+    return out
 
 
 def candidates(gold: DataFrame, pred: DataFrame, least: float = 0.2, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Pairs in one scope whose span score is at least ``least``, with what agrees. Features are computed per row, not per pair."""
-    pairs = _side(gold, "gold", scope).join(_side(pred, "pred", scope), list(scope))
+    """Pairs in one scope whose span score is at least ``least``, with what agrees. Blocks of a scope meet each other and
+    are spread over all tasks, so a hot scope is no single task."""
+    met = _blocks(gold, "gold", scope).join(_blocks(pred, "pred", scope), list(scope)).repartition(*scope, "_gold_block", "_pred_block")
+    sides = [StructField(f"{n}_{f.name}", f.dataType) for n in ("gold", "pred") for f in met.schema[n].dataType.elementType if f.name != "span"]
+    schema = StructType([*[met.schema[c] for c in scope], *sides, StructField("raw", DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                sides = {n: b.column(n)[r].values for n in ("gold", "pred")}
+                raw = block_scores(*(x.field("span").to_pylist() for x in sides.values()))
+                at = dict(zip(sides, np.nonzero(raw >= least - 1e-6)))
+                n = len(at["gold"])
+                cols = [pa.repeat(b.column(c)[r], n) for c in scope] + [sides[x].field(c).take(pa.array(at[x])) for x in sides for c in FIELDS if c != "span"]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(raw[at["gold"], at["pred"]])], schema.names)
+
+    scored = met.select(*scope, "gold", "pred").mapInArrow(score, schema).withColumn("span_score", F.round("raw", 6)).where(F.col("span_score") >= least)
     same = lambda c: F.coalesce(F.col(f"gold_{c}") == F.col(f"pred_{c}"), F.lit(False)).alias(f"{c}_match")
-    scored = pairs.withColumn("span_score", F.round(span_score(F.col("gold_f"), F.col("pred_f")), 6)).where(F.col("span_score") >= least)
     correction = F.when((F.col("gold_correction") == "") & (F.col("pred_correction") == ""), F.lit(None)).otherwise(F.col("gold_correction") == F.col("pred_correction"))
     out = scored.select(
         *scope, "gold_finding_id", "pred_finding_id", "span_score", same("subclass"), same("change_type"), same("severity"), correction.alias("correction_match"),
@@ -45,11 +105,8 @@ def candidates(gold: DataFrame, pred: DataFrame, least: float = 0.2, scope: Sequ
 def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Greedy one-to-one assignment per scope, best span score first, then score, then ids.
 
-    A pair alone in its row and column is taken at once; the rest streams through workers in order, which hold the
-    ids taken in one scope at a time."""
-    alone = cands.withColumn("_g", F.count("*").over(Window.partitionBy("gold_finding_id"))).withColumn("_p", F.count("*").over(Window.partitionBy("pred_finding_id")))
-    sure = alone.where("_g = 1 and _p = 1").drop("_g", "_p")
-    rest = alone.where("not (_g = 1 and _p = 1)").drop("_g", "_p")
+    The pairs of a scope stream through one worker in order, which holds the ids taken in that scope. All columns of
+    ``cands`` are sorted along: ``without_classes`` makes them narrower, ``with_classes`` gives the classes back."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, gold, pred = None, set(), set()
@@ -66,7 +123,18 @@ def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_()))
 
     inside = [F.col("span_score").desc(), F.col("score").desc(), "gold_finding_id", "pred_finding_id"]
-    return sure.unionByName(rest.repartition(*scope).sortWithinPartitions(*scope, *inside).mapInArrow(pick, rest.schema))
+    return cands.repartition(*scope).sortWithinPartitions(*scope, *inside).mapInArrow(pick, cands.schema)
+
+
+def without_classes(cands: DataFrame) -> DataFrame:
+    return cands.drop("gold_subclass", "pred_subclass", "gold_main_class", "pred_main_class")
+
+
+def with_classes(matches: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Adds the classes of both findings to matches ``without_classes``."""
+    for name, side in (("gold", gold), ("pred", pred)):
+        matches = matches.join(side.select(*[F.col(c).alias(f"{name}_{c}") for c in ("finding_id", "subclass", "main_class")]), f"{name}_finding_id")
+    return matches
 
 
 def unmatched(side: DataFrame, matches: DataFrame, name: str) -> DataFrame:

@@ -201,13 +201,13 @@ def facts_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def span_scores(spark: SparkSession, d: str) -> DataFrame:
-    return matching.candidates(_gold(spark, d), _pred(spark, d)).select("gold_finding_id", "pred_finding_id", "span_score", "score", F.coalesce(F.col("correction_match").cast("string"), F.lit("none")).alias("correction_match"))
+    return matching.candidates(_gold(spark, d), _pred(spark, d), scope=matching.CASE).select("gold_finding_id", "pred_finding_id", "span_score", "score", F.coalesce(F.col("correction_match").cast("string"), F.lit("none")).alias("correction_match"))
 
 
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     g, p = cut(_gold(spark, d)), cut(_pred(spark, d))
-    c = cut(matching.candidates(g, p))
-    return g, p, c, matching.greedy_match(c)
+    c = matching.without_classes(matching.candidates(g, p, scope=matching.CASE))
+    return g, p, c, matching.with_classes(cut(matching.greedy_match(c, matching.CASE)), g, p)
 
 
 @query

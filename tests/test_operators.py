@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prufspark.functions.similarity import span_features, span_score
 from prufspark.operators import chunking, detectors, findings, matching, retrieval
+from prufspark.plans.queries import queries
 
 FINDING = "finding_id string, subclass_id string, change_type_id string, severity_id string, span_text string, correction string, rationale string, source string, source_refs array<string>, agent_scope string, detection_finding_id string"
 RESOLVED = "case_id string, segment_id string, finding_id string, subclass string, change_type string, severity string, main_class string, correction string, span_text string"
@@ -162,3 +164,46 @@ def test_ordered_dedup_keeps_the_first(spark):
     df = spark.createDataFrame(rows, "finding_id string, span_text string, rationale string, source_refs array<string>")
     assert {r["finding_id"] for r in findings.dedup_two_stage(df).collect()} == {"1", "4", "5"}
     assert findings.dedup_two_stage(df.limit(0)).count() == 0
+
+
+def test_block_scores_equal_the_column_score(spark):
+    rng = random.Random(3)
+    pool = "a b ab abc 12 der bremsweg endlage der endlage kollision zeuge über 7 𝔘x".split()
+    spans = ["", "a", "a b", "ab"] + [" ".join(rng.choices(pool, k=rng.randint(1, 7))) for _ in range(60)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(spans)], "i int, s string").select("i", span_features(F.col("s")).alias("f"))
+    pairs = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.i").alias("i"), F.col("b.i").alias("k"), span_score(F.col("a.f"), F.col("b.f")).alias("x"))
+    got = matching.block_scores(spans, spans)
+    assert all(got[r["i"], r["k"]] == r["x"] for r in pairs.collect())
+
+
+def test_registered_matching_ignores_segments(spark, tmp_path):
+    """A partner in another segment of the case counts; a case of more findings than a block loses no pair."""
+    rng = random.Random(6)
+    words = "Bremsspur Leitplanke Endlage Kollision Fahrbahn Zeuge Radstand Airbag".split()
+    side = lambda p, n: [("c", f"{p}{rng.randrange(9)}", f"{p}{i}", " ".join(rng.choices(words, k=3))) for i in range(n)] + [("d", p, p, "Nur im anderen Abschnitt")]
+    data = {"gold": side("g", 300), "predictions": side("p", 280)}
+    f = FINDING.replace(" string", ": string").replace(" array", ": array")
+    for t, field in (("gold", "gold_findings"), ("predictions", "predicted_findings")):
+        rows_ = [(c, s, [(i, None, None, None, x, None, None, None, [], None, None)]) for c, s, i, x in data[t]]
+        spark.createDataFrame(rows_, f"case_id string, segment_id string, {field} array<struct<{f}>>").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.createDataFrame([([], [], [])], "main_classes array<struct<id: string, label: string, subclasses: array<struct<id: string, label: string>>>>, change_types array<struct<id: string, label: string>>, severity_levels array<struct<id: string, label: string>>").write.parquet(f"{tmp_path}/taxonomy.parquet")
+
+    def pairs(x: str) -> set[str]:
+        s = x.lower().replace(" ", "")
+        return {s[i : i + 2] for i in range(len(s) - 1)}
+
+    def score(a: str, b: str) -> float:
+        t, u, v, w = set(a.split()), set(b.split()), pairs(a), pairs(b)
+        few = 0.5 if len(t) <= 2 and len(u) <= 2 else 1.0
+        return 1.0 if a == b else 0.95 if a in b or b in a else round(max(few * len(t & u) / len(t | u), 2 * len(v & w) / (len(v) + len(w))), 6)
+
+    cands = [(g[2], p[2], s) for g in data["gold"] for p in data["predictions"] if g[0] == p[0] and (s := score(g[3], p[3])) >= 0.2]
+    got = queries()["span_scores"](spark, str(tmp_path)).collect()
+    assert sorted((r["gold_finding_id"], r["pred_finding_id"], r["span_score"]) for r in got) == sorted(cands)
+    want, used = set(), set()
+    for g, p, _ in sorted(cands, key=lambda c: (-c[2], c[0], c[1])):
+        if f"g{g}" not in used and f"p{p}" not in used:
+            want.add((g, p))
+            used |= {f"g{g}", f"p{p}"}
+    assert {(r["gold_finding_id"], r["pred_finding_id"]) for r in queries()["greedy_match"](spark, str(tmp_path)).collect()} == want
+    assert ("g", "p") in want and queries()["micro_summary"](spark, str(tmp_path)).first()["tp"] == len(want)
