@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from prufspark.functions.similarity import jaccard
-from prufspark.functions.text import fold_case, simplify, squeeze, tokens
+from prufspark.functions.text import bind, fold_case, simplify, squeeze
 from prufspark.plans.lineage import cut
 
 
@@ -139,12 +140,27 @@ def dedup_leaders(findings: DataFrame, threshold: float = 0.85) -> DataFrame:
     return findings.join(keep, "finding_id", "left_semi")
 
 
-def on_protected_span(span: Column, protected: Column, least: float = 0.8) -> Column:
-    """Equal, one in the other, or at least that share of the span's tokens; spans of one token never."""
-    a, b = simplify(span), simplify(protected)
-    ta, tb = tokens(span), tokens(protected)
-    share = F.size(F.array_intersect(ta, tb)) / F.size(ta)
-    return (F.size(ta) >= 2) & ((a == b) | F.contains(a, b) | F.contains(b, a) | (share >= least))
+def protected_spans(facts: DataFrame) -> DataFrame:
+    """``(case_id, source_span)``: spans of more than one token with high or medium confidence, of every fact of
+    ``facts(case_id, facts)``, those in lists too."""
+    entry = lambda f: F.struct(f["source_span"].alias("source_span"), f["confidence"].alias("confidence"))
+    lists = [F.transform(F.col(f"facts.{f.name}"), entry) if isinstance(f.dataType, ArrayType) else F.array(entry(F.col(f"facts.{f.name}"))) for f in facts.schema["facts"].dataType]
+    rows = facts.select("case_id", F.inline(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))))
+    rows = rows.where("lower(trim(confidence)) in ('high', 'medium') and trim(source_span) <> ''").select("case_id", "source_span").distinct()
+    return rows.where(F.contains(simplify(F.col("source_span")), F.lit(" ")))
+
+
+def on_protected_span(a: Column, b: Column, least: float = 0.8) -> Column:
+    """Whether simplified span ``a`` lies on the protected one: equal, one in the other, or at least that share of the
+    span's tokens, repeated ones counted each time; spans of one token never. Both are structs of simplified text ``s``
+    and tokens ``t``."""
+    share = F.size(F.filter(a["t"], lambda x: F.array_contains(b["t"], x))) / F.size(a["t"])
+    return (F.size(a["t"]) >= 2) & (F.contains(a["s"], b["s"]) | F.contains(b["s"], a["s"]) | (share >= least))
+
+
+def simple_span(span: Column) -> Column:
+    """Simplified text and its tokens in order."""
+    return bind(simplify(span), lambda s: F.struct(s.alias("s"), F.split(s, " ").alias("t")))
 
 
 def save_numbered(findings: DataFrame, prefix: str) -> DataFrame:

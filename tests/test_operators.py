@@ -207,3 +207,33 @@ def test_registered_matching_ignores_segments(spark, tmp_path):
             used |= {f"g{g}", f"p{p}"}
     assert {(r["gold_finding_id"], r["pred_finding_id"]) for r in queries()["greedy_match"](spark, str(tmp_path)).collect()} == want
     assert ("g", "p") in want and queries()["micro_summary"](spark, str(tmp_path)).first()["tp"] == len(want)
+
+
+FACT = "struct<value: string, source_span: string, confidence: string>"
+PERSON_FACTS = ("sachverstaendige_person", "beschuldigte_person", "hauptsachbearbeitung")
+
+
+def facts_table(spark, folder, rows_):
+    """``reference_facts`` of dicts per case: single facts as (value, span, confidence), lists of them as (name, role, span, confidence)."""
+    single = ("auftraggeber", "gutachten_titel", "vorfall", "ereignisdatum", "ort", *PERSON_FACTS)
+    schema = ", ".join([f"{k}: {FACT}" for k in single] + ["personen: array<struct<name: string, rolle: string, source_span: string, confidence: string>>", "referenz_entitaeten: array<struct<bezeichnung: string, source_span: string, confidence: string>>"])
+    data = [(case, tuple(f.get(k) for k in (*single, "personen", "referenz_entitaeten"))) for case, f in rows_]
+    spark.createDataFrame(data, f"case_id string, facts struct<{schema}>").write.parquet(f"{folder}/reference_facts.parquet")
+
+
+def test_every_fact_protects_its_span(spark, tmp_path):
+    facts_table(
+        spark,
+        str(tmp_path),
+        [
+            ("c", {"vorfall": ("", "Unfall auf der Brücke", "high"), "gutachten_titel": ("", "Gutachten zur langen Bremsspur", " Medium "), "beschuldigte_person": ("", "Anna Müller", "low")}),
+            ("c", {"personen": [("", "", "Reto Koller Wied", "high"), ("", "", "Reto", "high")], "referenz_entitaeten": [("Fahrzeug 1", "der rote Gelenkbus", "medium")]}),
+            ("d", {"personen": None, "referenz_entitaeten": [], "ort": ("", "die Spur und die Tafel am Ort", "high")}),
+        ],
+    )
+    spans = [("c", "Unfall auf der Brücke"), ("c", "lange Spur"), ("c", "langen Bremsspur"), ("c", "Anna Müller"), ("c", "Koller Wied"), ("c", "Reto"), ("c", "rote gelenkbus"), ("d", "rote Gelenkbus"), ("d", "die Spur die Tafel neu"), ("c", None)]
+    f = FINDING.replace(" string", ": string").replace(" array", ": array")
+    data = [(c, "s", [(str(i), None, None, None, s, None, None, None, [], None, None)]) for i, (c, s) in enumerate(spans)]
+    spark.createDataFrame(data, f"case_id string, segment_id string, predicted_findings array<struct<{f}>>").write.parquet(f"{tmp_path}/predictions.parquet")
+    got = [r["finding_id"] for r in queries()["protected_span_filter"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == ["0", "2", "4", "6", "8"]
