@@ -341,9 +341,12 @@ def store_assembly(spark: SparkSession, d: str) -> DataFrame:
 # Aggregation -------------------------------------------------------------------------------------
 
 
+def _case_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("metadata.case_id is not null and text is not null").select("id", "metadata.case_id", "text").distinct()
+
+
 def _case_words(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where("metadata.case_id is not null and text is not null").select("id", "metadata.case_id", "text").distinct()
-    return c.select("case_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÄÖÜäöüß]{4,}"), F.lit(0))).alias("word"))
+    return _case_texts(spark, d).select("case_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÄÖÜäöüß]{4,}"), F.lit(0))).alias("word"))
 
 
 @query
@@ -458,10 +461,12 @@ def abbreviations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def name_consistency(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "reference_facts").select("case_id", F.explode("facts.personen").alias("p")).select("case_id", F.explode(F.split("p.name", " ")).alias("name"))
-    names = f.where(F.rlike("name", F.lit("^[A-Za-z]{5,}$")))
-    words = _case_words(spark, d).where(F.rlike("word", F.lit("^[A-Za-z]{4,}$")))
-    return detectors.name_slips(words, names)
+    f = table(spark, d, "reference_facts")
+    listed = f.select("case_id", F.explode("facts.personen").alias("p")).select("case_id", F.col("p.name").alias("name"))
+    single = f.select("case_id", F.explode(F.array(*[F.col(f"facts.{k}") for k in ("sachverstaendige_person", "beschuldigte_person", "hauptsachbearbeitung")])).alias("p"))
+    single = single.where("lower(trim(p.confidence)) in ('high', 'medium')").select("case_id", F.substring_index("p.value", ",", 1).alias("name"))
+    names = listed.unionByName(single).select("case_id", F.explode(F.split(text.squeeze(F.col("name")), " ")).alias("name")).where(F.length("name") >= 4)
+    return detectors.name_slips(detectors.name_words(_case_texts(spark, d)), names)
 
 
 def queries() -> dict[str, Query]:

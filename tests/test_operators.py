@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -237,3 +238,34 @@ def test_every_fact_protects_its_span(spark, tmp_path):
     spark.createDataFrame(data, f"case_id string, segment_id string, predicted_findings array<struct<{f}>>").write.parquet(f"{tmp_path}/predictions.parquet")
     got = [r["finding_id"] for r in queries()["protected_span_filter"](spark, str(tmp_path)).collect()]
     assert sorted(got) == ["0", "2", "4", "6", "8"]
+
+
+def test_names_of_any_letters_are_compared(spark, tmp_path):
+    """Against brute force: umlauts, accents, hyphens, four letters, and the facts of one person."""
+    facts_table(
+        spark,
+        str(tmp_path),
+        [
+            ("c", {"personen": [("Björn Jägerlehn", "", "", "low"), ("Reto Koller-Wied", "", "", "high")], "sachverstaendige_person": ("Élodie Öttenried, Dr.", "", "high")}),
+            ("d", {"beschuldigte_person": ("Süssbrunn Max", "", "medium"), "hauptsachbearbeitung": ("Grünacher", "", None)}),
+        ],
+    )
+    texts = {"c": "Bjorn Jägerlehm traf Retto, Koller-Weid und Élodye mit Öttenrid. Björn Reto Koller-Wied Jägerlehn", "d": "Süsbrunn Süssbrunn Grünachr Müll"}
+    spark.createDataFrame([(c, (c,), t) for c, t in texts.items()], "id string, metadata struct<case_id: string>, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    names = {"c": {"Björn", "Jägerlehn", "Reto", "Koller-Wied", "Élodie", "Öttenried"}, "d": {"Süssbrunn"}}
+
+    def edits(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for k, y in enumerate(b, 1):
+                row.append(min(last[k] + 1, row[-1] + 1, last[k - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for c, t in texts.items():
+        words = {w for rx in (r"[A-Za-zÄÖÜäöüß]{4,}", r"[^\W\d_]{4,}", r"[^\W\d_]+(?:-[^\W\d_]+)+") for w in re.findall(rx, t)}
+        want |= {(c, w, n) for w in words - names[c] for n in names[c] if abs(len(w) - len(n)) <= 2 and 1 <= edits(w.lower(), n.lower()) <= 3}
+    got = {tuple(r) for r in queries()["name_consistency"](spark, str(tmp_path)).select("case_id", "word", "name").collect()}
+    assert got == want
+    assert {("c", "Bjorn", "Björn"), ("c", "Jägerlehm", "Jägerlehn"), ("c", "Retto", "Reto"), ("c", "Koller-Weid", "Koller-Wied"), ("c", "Élodye", "Élodie"), ("d", "Süsbrunn", "Süssbrunn")} <= got
