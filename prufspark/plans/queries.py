@@ -169,8 +169,7 @@ def fuzzy_dedup_leader(spark: SparkSession, d: str) -> DataFrame:
 @query
 def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     g = findings.flatten(table(spark, d, "gold"), "gold_findings").where("span_text is not null")
-    rows = g.select("finding_id", F.col("case_id").alias("block"), F.array_sort(text.tokens(F.col("span_text"))).alias("toks"))
-    return findings.similar_token_pairs(rows, "finding_id", "block", 0.6).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return findings.similar_token_sets(g.select("finding_id", F.array_sort(text.tokens(F.col("span_text"))).alias("toks")), "finding_id", 0.6).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
 @query

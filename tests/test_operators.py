@@ -269,3 +269,16 @@ def test_names_of_any_letters_are_compared(spark, tmp_path):
     got = {tuple(r) for r in queries()["name_consistency"](spark, str(tmp_path)).select("case_id", "word", "name").collect()}
     assert got == want
     assert {("c", "Bjorn", "Björn"), ("c", "Jägerlehm", "Jägerlehn"), ("c", "Retto", "Reto"), ("c", "Koller-Weid", "Koller-Wied"), ("c", "Élodye", "Élodie"), ("d", "Süsbrunn", "Süssbrunn")} <= got
+
+
+def test_similar_spans_pair_across_cases(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    spans = [(rng.choice(["c", "d", None]), f"f{i:02d}", " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(70)]
+    f = FINDING.replace(" string", ": string").replace(" array", ": array")
+    data = [(c, "s", [(i, None, None, None, s, None, None, None, [], None, None)]) for c, i, s in spans]
+    spark.createDataFrame(data, f"case_id string, segment_id string, gold_findings array<struct<{f}>>").write.parquet(f"{tmp_path}/gold.parquet")
+    sets = [(i, set(s.split())) for _, i, s in spans if s]
+    want = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if len(x & y) >= 0.6 * len(x | y) - 1e-12]
+    assert sorted(tuple(r) for r in queries()["token_jaccard_pairs"](spark, str(tmp_path)).select("id_a", "id_b").collect()) == want
+    assert any(x == y for (_, x), (_, y) in itertools.combinations(sets, 2))
