@@ -31,8 +31,7 @@ CONFUSIONS = [
 ]
 RATIO = 20
 PRIME = (1 << 61) - 1
-# A word is frequent from this share of all words on, so there are at most 1 / SHARE of them.
-SHARE = 2e-6
+# A word is evidence from so many occurrences on, however large the corpus.
 LEAST = 5
 EDGE_SHARE = 1e-4
 EDGE_LEAST = 3
@@ -147,13 +146,12 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select("text").mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def corrections(words: DataFrame, total: int, ratio: int = RATIO) -> DataFrame:
+def corrections(words: DataFrame, total: int | None = None, ratio: int = RATIO) -> DataFrame:
     """``(wrong, right, n, n_right)``: each rare word with its most frequent confusable word.
 
     Equi-join on the anagram hash shifted by the confusion's difference, then an exact check that one
-    replacement turns the right word into the wrong one."""
+    replacement turns the right word into the wrong one. The size of the corpus (``total``) decides nothing."""
     spark = words.sparkSession
-    least = max(LEAST, int(SHARE * total))
 
     @F.pandas_udf("bigint")
     def hashed(s):
@@ -161,7 +159,7 @@ def corrections(words: DataFrame, total: int, ratio: int = RATIO) -> DataFrame:
 
     pairs = spark.createDataFrame([(a, b, (anagram_hash(a) - anagram_hash(b)) % PRIME) for a, b in CONFUSIONS], "good string, bad string, delta bigint")
     w = words.where((F.length("key") >= 3) & F.col("key").rlike(r"\p{L}")).select("key", "n", hashed("key").alias("h"))
-    frequent = w.where(F.col("n") >= least).select(F.col("key").alias("right"), F.col("n").alias("n_right"), F.col("h").alias("h_right"))
+    frequent = w.where(F.col("n") >= LEAST).select(F.col("key").alias("right"), F.col("n").alias("n_right"), F.col("h").alias("h_right"))
     rare = w.join(F.broadcast(pairs), F.instr(F.col("key"), F.col("bad")) > 0).select(F.col("key").alias("wrong"), "n", "good", "bad", F.expr(f"pmod(h + delta, {PRIME}L)").alias("h_right"))
     met = rare.join(frequent, "h_right").where(F.col("n_right") >= ratio * F.col("n"))
     places = F.sequence(F.lit(1), F.length("wrong"))
@@ -237,14 +235,12 @@ def wrong_number(token: str) -> bool:
 
 
 def gather(chunks: DataFrame) -> Evidence:
-    """Evidence over the whole corpus. Frequent words number at most 1 / SHARE, furniture skeletons at most
-    1 / EDGE_SHARE, and wrong forms at most the frequent words times their places and confusions."""
+    """Evidence over the whole corpus. Words grow with the vocabulary; furniture skeletons number at most 1 / EDGE_SHARE."""
     counts = cut(corpus_counts(chunks))
-    sums = {r["kind"]: r["n"] for r in counts.where("kind = 'w' or key = ''").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    total, n_lines = sums.get("w", 0), sums.get("e", 0)
+    n_lines = counts.where("kind = 'e' and key = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where("kind = 'w'").select("key", "n")
-    fixes = {r["wrong"]: r["right"] for r in corrections(words, total).select("wrong", "right").collect()}
-    frequent = {r["key"]: r["n"] for r in words.where((F.col("n") >= max(LEAST, int(SHARE * total))) & F.col("key").rlike(r"\p{L}")).collect()}
+    fixes = {r["wrong"]: r["right"] for r in corrections(words).select("wrong", "right").collect()}
+    frequent = {r["key"]: r["n"] for r in words.where((F.col("n") >= LEAST) & F.col("key").rlike(r"\p{L}")).collect()}
     edges = {r["key"] for r in counts.where((F.col("kind") == "e") & (F.col("key") != "") & (F.col("n") >= max(EDGE_LEAST, EDGE_SHARE * n_lines))).collect()}
     return Evidence(fixes, frequent, edges)
 

@@ -40,3 +40,9 @@ def test_tables(spark):
     got = [tuple(r) for r in scanrepair.damaged_lines(df).collect()]
     assert ("x", 1, "misread") in got and len(got) == 41 and {k for _, _, k in got} == {"misread", "furniture"}
     assert scanrepair.damaged_lines(df.limit(0)).count() == 0
+
+
+def test_word_evidence_counts_in_a_large_corpus_too(spark):
+    """A word seen a few hundred times among very many others stays evidence."""
+    df = spark.createDataFrame([("wurde", 200), ("wurcle", 2), ("und", 10**9)], "key string, n bigint")
+    assert {r["wrong"]: r["right"] for r in scanrepair.corrections(df, 10**9).collect()} == {"wurcle": "wurde"}
