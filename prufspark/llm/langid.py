@@ -1,13 +1,18 @@
 """Problem 9: language and confidence of documents and of each stretch of mixed ones.
 
 Text likelihoods come from letter trigrams whose counts per language are grouped aggregates over
-all documents: first by declared label, then by the language that a first model gives each piece.
-They are fused with the declared label (reliability learned by counting) and with priors of source
-and case, smoothed case to source to whole. A Viterbi pass over the pieces between possible sentence
-starts finds the stretches; a change of language inside a sentence costs more than between two.
+all documents: first by declared label, then by the language that a first model gives each document
+of one language. They are fused with the declared label (reliability learned by counting) and with
+priors of source and of case within source, smoothed case to source to whole; the priors are grouped
+counts joined to the documents, never collected. Documents are scored in batches, piece by piece
+between all signs that may end a sentence. Where no run of pieces could gain from another language
+what a change costs, the document is of one language; the others go through a Viterbi pass over the
+pieces between possible sentence starts. Markup languages and addresses are not in the tables:
+``lang`` stands for the declared language, ``source`` and ``case_id`` for the levels of a host.
 
 Defined results: null, empty and wordless texts have no language; a text whose evidence is level
-takes the prior; foreign quotations inside a sentence do not count as stretches.
+takes the prior; foreign quotations inside a sentence do not count as stretches. A language takes
+part with its words once ``LEAST_TRIGRAMS`` trigrams of it are known, however many others there are.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prufspark.llm.sentences import QUOTE, BoundaryModel, candidates, quoted_spans
+from prufspark.llm.sentences import ENDERS, QUOTE, BoundaryModel, candidates, quoted_spans
 from prufspark.plans.lineage import cut
 
 # ISO 639-1 code and the other notations of each language.
@@ -36,6 +42,7 @@ NOTATIONS = {
     "pt": "por portuguese português", "pl": "pol polish polski", "tr": "tur turkish türkçe", "sv": "swe swedish svenska", "da": "dan danish dansk", "ko": "kor korean 한국어", "uk": "ukr ukrainian українська", "cs": "ces cze czech čeština",
 }
 LANGS = list(NOTATIONS)
+POS = {lang: k for k, lang in enumerate(LANGS)}
 CANON = {x: k for k, v in NOTATIONS.items() for x in [k, *v.split()]}
 # Frequent short words, a start for languages with few labelled documents.
 SEEDS = {
@@ -54,8 +61,12 @@ CORE = ("de", "fr", "it", "en", "nl", "es")
 BITS = 16
 CELLS = 1 << BITS
 TEMPER = 0.35
+LEAST_TRIGRAMS = 1_000
+SMOOTH = 20.0  # How many documents a level's parent counts for in its prior.
+STEP = 2_000
 STAY = np.log(0.995)
 SWITCH = np.log(2e-3)
+ENDS = np.array(sorted(map(ord, ENDERS + "\n;\u037e")), dtype=np.uint32)
 WORD = re.compile(r"[^\W\d_]{2,}|[぀-ヿ一-鿿฀-๿]")
 INVISIBLE = re.compile(r"[\s­​-‏‪-‮⁠-⁤﻿]*")
 
@@ -101,15 +112,14 @@ def code_points(text: str) -> np.ndarray:
 
 @dataclass
 class Fusion:
-    """log P(trigram | language), log P(label | language) and the smoothed priors."""
+    """log P(trigram | language), log P(label | language), the prior of the whole, and counts of documents per language
+    as ``(source, counts)`` and ``(source, case_id, counts)``; without those two the whole's prior holds everywhere."""
 
     logp: np.ndarray
     label: dict[str | None, np.ndarray]
     whole: np.ndarray
-    source: dict[str | None, np.ndarray]
-
-    def prior(self, source: str | None) -> np.ndarray:
-        return self.source.get(source, self.whole)
+    sources: DataFrame | None = None
+    cases: DataFrame | None = None
 
 
 def trigram_model(counts: np.ndarray) -> np.ndarray:
@@ -122,8 +132,8 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
     back = (c.sum(0) + 0.5) / (c.sum() + 0.5 * CELLS)
     weight = 0.02 * c.sum(1, keepdims=True) + 50
     logp = np.log((c + weight * back) / (c.sum(1, keepdims=True) + weight))
-    # A language without documents can win by its script only.
-    absent = counts.sum(1) < 1e-5 * max(1, counts.sum())
+    # A language without documents of its own can win by its script only.
+    absent = counts.sum(1) < LEAST_TRIGRAMS
     absent &= np.array([k not in CORE for k in LANGS]) | (counts.sum() > 0) & np.array([k not in SEEDS for k in LANGS])
     logp[absent] = logp[~absent].min(0) - 1.0 if (~absent).any() else logp[absent]
     return np.maximum(logp, logp.max(0) - 6.0).astype(np.float32)
@@ -159,18 +169,7 @@ def piece_scores(text: str, starts: list[int], logp: np.ndarray) -> np.ndarray:
         own = pairs // CELLS
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         out[own[cut]] = np.add.reduceat(logp[:, pairs % CELLS].T.astype(np.float64), cut, axis=0) * TEMPER
-    letters = letter_table()[codes]
-    place = np.flatnonzero(letters > 0x36F)
-    if len(place):
-        n = len(starts)
-        own_all = np.searchsorted(starts, np.flatnonzero(letters != 32), side="right") - 1
-        total = np.bincount(own_all[own_all >= 0], minlength=n)
-        for lang, a, b in SCRIPTS:
-            hit = place[(letters[place] >= a) & (letters[place] <= b)]
-            if len(hit):
-                own = np.searchsorted(starts, hit, side="right") - 1
-                got = np.bincount(own[own >= 0], minlength=n)
-                out[:, LANGS.index(lang)] += np.where(got >= 0.3 * total, got, 0) * SCRIPT_WEIGHT.get(lang, 3.0)
+    _add_scripts(out, np.asarray(starts), letter_table()[codes])
     return out
 
 
@@ -206,107 +205,228 @@ def stretches(text: str, base: np.ndarray, logp: np.ndarray) -> list[tuple[int,
     return out
 
 
-def _count_pass(docs: DataFrame, model: np.ndarray | None) -> tuple[np.ndarray, list]:
-    """Trigram counts by language (declared at first, then of each piece), and rows ``(label, source, language, n)``."""
+class Batch:
+    """Texts scored together: flat code points and trigram cells, pieces between all signs that may end a sentence."""
+
+    def __init__(self, texts: list[str]) -> None:
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.begin = np.cumsum(size) - size
+        codes = code_points("\n".join(texts) + "\n")
+        self.letters = letter_table()[codes]
+        cells = trigram_cells(codes)
+        at = np.flatnonzero(cells >= 0)
+        # The middle letter says whose a trigram is.
+        self.cells, self.middle = cells[at], at + 1
+        self.doc = np.searchsorted(self.begin, self.middle, side="right") - 1
+        self.codes = codes
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all pieces, and of each document the place of its first piece."""
+        ends = np.flatnonzero(np.isin(self.codes, ENDS)) + 1
+        starts = np.union1d(ends[ends < len(self.codes)], self.begin)
+        return starts, np.searchsorted(starts, self.begin)
+
+    def scores(self, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Tempered log-likelihood of each piece under each language; a trigram counts once per piece."""
+        out = np.zeros((len(starts), len(LANGS)))
+        owner = np.searchsorted(starts, self.middle, side="right") - 1
+        pairs = np.sort((owner * CELLS + self.cells).astype(np.uint32 if len(starts) < CELLS else np.int64))
+        if len(pairs):
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])].astype(np.int64)
+            own = pairs // CELLS
+            cut_at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[cut_at]] = np.add.reduceat(table[pairs % CELLS], cut_at, axis=0) * TEMPER
+        _add_scripts(out, starts, self.letters)
+        return out
+
+    def mixed_scripts(self) -> np.ndarray:
+        """Documents with several letters of Latin and of another script."""
+        at = np.flatnonzero(self.letters != 32)
+        doc = np.searchsorted(self.begin, at, side="right") - 1
+        other = self.letters[at] > 0x36F
+        n = len(self.begin)
+        return (np.bincount(doc[other], minlength=n) >= 4) & (np.bincount(doc[~other], minlength=n) >= 4)
+
+
+def _add_scripts(out: np.ndarray, starts: np.ndarray, letters: np.ndarray) -> None:
+    place = np.flatnonzero(letters > 0x36F)
+    if not len(place):
+        return
+    n = len(starts)
+    own_all = np.searchsorted(starts, np.flatnonzero(letters != 32), side="right") - 1
+    total = np.bincount(own_all[own_all >= 0], minlength=n)
+    for lang, a, b in SCRIPTS:
+        hit = place[(letters[place] >= a) & (letters[place] <= b)]
+        if len(hit):
+            own = np.searchsorted(starts, hit, side="right") - 1
+            got = np.bincount(own[own >= 0], minlength=n)
+            out[:, LANGS.index(lang)] += np.where(got >= 0.3 * total, got, 0) * SCRIPT_WEIGHT.get(lang, 3.0)
+
+
+def of_one_language(b: Batch, base: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text of the batch: surely of one language, which one, and its confidence.
+
+    Surely means that no run of pieces gains by other languages, whatever they are, what one change costs; then the
+    best path of the Viterbi pass never changes. ``base`` holds the log-prior of each text, ``table`` log P by cell."""
+    starts, first = b.pieces()
+    score = b.scores(starts, table)
+    n = np.diff(np.append(first, len(starts)))
+    every = np.arange(len(n))
+    total = base + np.add.reduceat(score, first, axis=0)
+    lang = total.argmax(1)
+    sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    score[first] += base
+    own = np.repeat(every, n)
+    kept = score[np.arange(len(score)), lang[own]]
+    score[np.arange(len(score)), lang[own]] = -np.inf
+    gain = score.max(1) - kept
+    now, most = np.zeros(len(n)), np.full(len(n), -np.inf)
+    order = np.argsort(-n, kind="stable")
+    sizes = n[order]
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        d = order[: np.searchsorted(-sizes, -t, side="left")]
+        now[d] = np.maximum(now[d], 0) + gain[first[d] + t]
+        most[d] = np.maximum(most[d], now[d])
+    return (most <= STAY - SWITCH) & ~b.mixed_scripts(), lang, sure
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Small batches of the rows that have words, with their texts."""
+    for i in range(0, b.num_rows, STEP):
+        part = b.slice(i, STEP)
+        worded = [t is not None and WORD.search(t) is not None for t in part.column("text").to_pylist()]
+        part = part.filter(pa.array(worded, pa.bool_()))
+        if part.num_rows:
+            yield part, part.column("text").to_pylist()
+
+
+def _count_pass(docs: DataFrame, model: np.ndarray | None) -> tuple[np.ndarray, DataFrame]:
+    """Trigram counts by language (declared at first, then of each document surely of one language), and the counts
+    ``(label, source, case_id, lang, n)`` of those documents."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    shared = sc.broadcast(None if model is None else np.ascontiguousarray(model.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = shared.value
-        counts = np.zeros((len(LANGS), CELLS), dtype=np.int64)
-        seen: dict[tuple, int] = {}
-        flat = np.zeros(len(LANGS))
-        for b in batches:
-            for text, label, source in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("source").to_pylist()):
-                if not text or not WORD.search(text):
-                    continue
-                known = canonical(label)
-                cells = trigram_cells(code_points(text))
-                if logp is None:
-                    if known:
-                        np.add.at(counts[LANGS.index(known)], cells[cells >= 0], 1)
-                    continue
-                found = stretches(text, flat, logp)
-                ends = [at for at, _, _ in found[1:]] + [len(text)]
-                for (at, lang, sure), end in zip(found, ends):
-                    if sure > 0.9:
-                        part = cells[at:end]
-                        np.add.at(counts[LANGS.index(lang)], part[part >= 0], 1)
-                if len(found) == 1:
-                    key = (known or "", source, found[0][1])
-                    seen[key] = seen.get(key, 0) + 1
+        table = shared.value
+        counts = np.zeros(len(LANGS) * CELLS, dtype=np.int64)
+        seen: Counter = Counter()
+        for big in batches:
+            for b, texts in _slices(big):
+                known = [canonical(x) for x in b.column("lang").to_pylist()]
+                batch = Batch(texts)
+                if table is None:
+                    lang = np.array([POS[x] if x else -1 for x in known])
+                else:
+                    sure, lang, conf = of_one_language(batch, np.zeros((len(texts), len(LANGS))), table)
+                    sources, cases = b.column("source").to_pylist(), b.column("case_id").to_pylist()
+                    for i in np.flatnonzero(sure).tolist():
+                        seen[(known[i] or "", sources[i], cases[i], LANGS[lang[i]])] += 1
+                    lang = np.where(sure & (conf > 0.9), lang, -1)
+                whose = lang[batch.doc]
+                counts += np.bincount((whose * CELLS + batch.cells)[whose >= 0], minlength=len(counts))
+            if len(seen) > 200_000:
+                yield _counted(seen)
+                seen.clear()
+        if seen:
+            yield _counted(seen)
         for k, lang in enumerate(LANGS):
-            if counts[k].any():
-                yield _row("t", lang, None, lang, int(counts[k].sum()), np.minimum(counts[k], 2**31 - 1).astype(np.int32).tobytes())
-        for (label, source, lang), n in seen.items():
-            yield _row("d", label, source, lang, n, None)
+            part = counts[k * CELLS : (k + 1) * CELLS]
+            if part.any():
+                yield _row("t", "", None, None, lang, int(part.sum()), np.minimum(part, 2**31 - 1).astype(np.int32).tobytes())
 
-    schema = "kind string, label string, source string, lang string, n bigint, cells binary"
+    schema = "kind string, label string, source string, case_id string, lang string, n bigint, cells binary"
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(c, dtype=np.int32).astype(np.int64) for c in table.column("cells").to_pylist())
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "cells": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    rows = cut(docs.select("text", "lang", "source").mapInArrow(run, schema))
+    rows = cut(docs.select("text", "lang", "source", "case_id").mapInArrow(run, schema))
     counts = np.zeros((len(LANGS), CELLS), dtype=np.int64)
     for r in rows.where("kind = 't'").groupBy("lang").applyInArrow(add, "lang string, cells binary").collect():
-        counts[LANGS.index(r["lang"])] = np.frombuffer(r["cells"], dtype=np.int32)
-    joint = rows.where("kind = 'd'").groupBy("label", "source", "lang").agg(F.sum("n").alias("n"))
+        counts[POS[r["lang"]]] = np.frombuffer(r["cells"], dtype=np.int32)
+    joint = rows.where("kind = 'd'").groupBy("label", "source", "case_id", "lang").agg(F.sum("n").alias("n"))
     return counts, joint
 
 
-def _row(kind, label, source, lang, n, cells) -> pa.RecordBatch:
+def _row(kind, label, source, case, lang, n, cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind]), pa.array([label], pa.string()), pa.array([source], pa.string()), pa.array([lang], pa.string()), pa.array([n], pa.int64()), pa.array([cells], pa.binary())],
-        names=["kind", "label", "source", "lang", "n", "cells"],
+        [pa.array([kind]), pa.array([label], pa.string()), pa.array([source], pa.string()), pa.array([case], pa.string()), pa.array([lang], pa.string()), pa.array([n], pa.int64()), pa.array([cells], pa.binary())],
+        names=["kind", "label", "source", "case_id", "lang", "n", "cells"],
     )
 
 
-def fit(docs: DataFrame) -> Fusion:
-    """Two counting passes over all documents; the model's size is fixed (languages times cells).
+def _counted(seen: Counter) -> pa.RecordBatch:
+    keys = list(seen)
+    cols = [pa.array(c, pa.string()) for c in zip(*keys)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(["d"] * len(keys)), *cols, pa.array([seen[k] for k in keys], pa.int64()), pa.nulls(len(keys), pa.binary())], names=["kind", "label", "source", "case_id", "lang", "n", "cells"]
+    )
+
 
-    Sources that hold at least a ten-thousandth of the documents have a prior of their own, so at most
-    ten thousand travel; others use the whole's."""
+def fit(docs: DataFrame) -> Fusion:
+    """Two counting passes over all documents; what is collected has a fixed size (languages times cells, languages
+    times labels). Counts of sources and cases stay tables."""
     first, _ = _count_pass(docs, None)
     second, joint = _count_pass(docs, trigram_model(first))
-    pos = {lang: k for k, lang in enumerate(LANGS)}
     by_label = np.ones((len(LANGS), len(LANGS) + 1)) * 0.5 + np.pad(np.eye(len(LANGS)) * 4, ((0, 0), (0, 1)))
     for r in joint.groupBy("label", "lang").agg(F.sum("n").alias("n")).collect():
-        by_label[pos[r["lang"]], pos.get(r["label"], len(LANGS))] += r["n"]
+        by_label[POS[r["lang"]], POS.get(r["label"], len(LANGS))] += r["n"]
     whole = by_label.sum(1)
     whole = whole / whole.sum()
-    total = joint.agg(F.sum("n").alias("n")).first()["n"] or 0
-    size = joint.groupBy("source").agg(F.sum("n").alias("s")).where(F.col("s") >= max(1, total // 10_000))
-    source: dict[str | None, np.ndarray] = {}
-    for r in joint.groupBy("source", "lang").agg(F.sum("n").alias("n")).join(F.broadcast(size.withColumnRenamed("source", "src")), F.col("source").eqNullSafe(F.col("src"))).select("source", "lang", "n").collect():
-        source.setdefault(r["source"], 20 * whole.copy())[pos[r["lang"]]] += r["n"]
-    label = {lang: np.log(by_label[:, k] / by_label.sum(1)) for lang, k in pos.items()}
+    label = {lang: np.log(by_label[:, k] / by_label.sum(1)) for lang, k in POS.items()}
     label[None] = np.log(by_label[:, -1] / by_label.sum(1))
-    return Fusion(trigram_model(second), label, np.log(whole), {k: np.log(v / v.sum()) for k, v in source.items()})
+    counted = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("double") for x in LANGS]).alias("counts")
+    return Fusion(trigram_model(second), label, np.log(whole), joint.groupBy("source").agg(counted), joint.groupBy("source", "case_id").agg(counted))
+
+
+def with_priors(docs: DataFrame, f: Fusion) -> DataFrame:
+    """``docs`` with ``prior``, the log-priors of the languages. Counts of sources and cases are joined; how is left to
+    the planner, which broadcasts a side only when it measured it to be small and splits hot keys otherwise."""
+    whole = F.array(*[F.lit(float(np.exp(x))) for x in f.whole])
+    if f.sources is None or f.cases is None:
+        return docs.withColumn("prior", F.transform(whole, lambda x: F.log(x)))
+    src = f.sources.select(F.col("source").alias("_s"), F.col("counts").alias("_cs"))
+    case = f.cases.select(F.col("source").alias("_s2"), F.col("case_id").alias("_c2"), F.col("counts").alias("_cc"))
+    out = docs.join(src, F.col("source").eqNullSafe(F.col("_s")), "left").join(case, F.col("source").eqNullSafe(F.col("_s2")) & F.col("case_id").eqNullSafe(F.col("_c2")), "left")
+    none = F.array_repeat(F.lit(0.0), len(LANGS))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    smooth = lambda own, parent: F.zip_with(own, parent, lambda n, p: (n + SMOOTH * p) / (total(own) + SMOOTH))
+    out = out.withColumn("_p", smooth(F.coalesce("_cs", none), whole))
+    out = out.withColumn("prior", F.transform(smooth(F.coalesce("_cc", none), F.col("_p")), lambda x: F.log(x)))
+    return out.drop("_s", "_cs", "_s2", "_c2", "_cc", "_p")
 
 
 def language_stretches(docs: DataFrame, fusion: Fusion | None = None) -> DataFrame:
     """``(doc_id, start_pos, lang, confidence, declared, n_stretches)``, one row per stretch; wordless documents give none."""
-    shared = docs.sparkSession.sparkContext.broadcast(fusion or fit(docs))
+    docs = docs.select("doc_id", "text", "lang", "source", "case_id")
+    f = fusion or fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((f.logp, f.label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source")]
-            out = []
-            for doc, text, label, source in zip(*cols):
-                if not text:
-                    continue
-                known = canonical(label)
-                found = stretches(text, f.prior(source) + f.label[known], f.logp)
-                out += [(doc, at + 1, lang, sure, known, len(found)) for at, lang, sure in found]
-            c = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.string()), pa.array(c[5], pa.int32())],
-                names=["doc_id", "start_pos", "lang", "confidence", "declared", "n_stretches"],
-            )
-
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id bigint, start_pos bigint, lang string, confidence double, declared string, n_stretches int")
+        logp, label = shared.value
+        table = np.ascontiguousarray(logp.T)
+        for big in batches:
+            for b, texts in _slices(big):
+                known = [canonical(x) for x in b.column("lang").to_pylist()]
+                prior = np.asarray(b.column("prior").flatten().to_numpy(zero_copy_only=False)).reshape(len(texts), len(LANGS))
+                base = prior + np.array([label[x] for x in known])
+                sure, lang, conf = of_one_language(Batch(texts), base, table)
+                docs_ = b.column("doc_id").to_pylist()
+                out = []
+                for i, text in enumerate(texts):
+                    if sure[i]:
+                        out.append((docs_[i], INVISIBLE.match(text).end() + 1, LANGS[lang[i]], float(conf[i]), known[i], 1))
+                    else:
+                        found = stretches(text, base[i], logp)
+                        out += [(docs_[i], at + 1, x, p, known[i], len(found)) for at, x, p in found]
+                c = list(zip(*out)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.string()), pa.array(c[5], pa.int32())],
+                    names=["doc_id", "start_pos", "lang", "confidence", "declared", "n_stretches"],
+                )
+
+    rows = with_priors(docs, f).select("doc_id", "text", "lang", "prior")
+    return rows.mapInArrow(run, "doc_id bigint, start_pos bigint, lang string, confidence double, declared string, n_stretches int")
 
 
 def label_errors(found: DataFrame) -> DataFrame:
