@@ -83,11 +83,13 @@ def canonical(label: str | None) -> str | None:
 def letter_table() -> np.ndarray:
     """Lower-case code point of letters and marks, a space for all else."""
     t = np.full(sys.maxunicode + 1, 32, dtype=np.uint32)
-    for cp in range(sys.maxunicode + 1):
+    # Blocks of signs without case are letters as a whole; nothing is assigned above them.
+    for lo, hi in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x32000)):
+        t[lo:hi] = np.arange(lo, hi)
+    for cp in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0x20000)):
         c = chr(cp)
         if unicodedata.category(c)[0] in "LM":
-            low = c.lower()
-            t[cp] = ord(low[0])
+            t[cp] = ord(c.lower()[0])
     return t
 
 
@@ -169,7 +171,7 @@ def piece_scores(text: str, starts: list[int], logp: np.ndarray) -> np.ndarray:
         own = pairs // CELLS
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         out[own[cut]] = np.add.reduceat(logp[:, pairs % CELLS].T.astype(np.float64), cut, axis=0) * TEMPER
-    _add_scripts(out, np.asarray(starts), letter_table()[codes])
+    _add_scripts(out, np.searchsorted(starts, np.arange(len(codes)), side="right") - 1, letter_table()[codes])
     return out
 
 
@@ -217,8 +219,14 @@ class Batch:
         at = np.flatnonzero(cells >= 0)
         # The middle letter says whose a trigram is.
         self.cells, self.middle = cells[at], at + 1
-        self.doc = np.searchsorted(self.begin, self.middle, side="right") - 1
         self.codes = codes
+        self.doc_of = self.owners(self.begin)
+
+    def owners(self, starts: np.ndarray) -> np.ndarray:
+        """Number of the last start at or before each position."""
+        mark = np.zeros(len(self.codes), dtype=np.int32)
+        mark[starts] = 1
+        return np.cumsum(mark, dtype=np.int32) - 1
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all pieces, and of each document the place of its first piece."""
@@ -229,37 +237,36 @@ class Batch:
     def scores(self, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Tempered log-likelihood of each piece under each language; a trigram counts once per piece."""
         out = np.zeros((len(starts), len(LANGS)))
-        owner = np.searchsorted(starts, self.middle, side="right") - 1
-        pairs = np.sort((owner * CELLS + self.cells).astype(np.uint32 if len(starts) < CELLS else np.int64))
+        owner = self.owners(starts)
+        pairs = np.sort((owner[self.middle] * np.int64(CELLS) + self.cells).astype(np.uint32 if len(starts) < CELLS else np.int64))
         if len(pairs):
             pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])].astype(np.int64)
             own = pairs // CELLS
             cut_at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             out[own[cut_at]] = np.add.reduceat(table[pairs % CELLS], cut_at, axis=0) * TEMPER
-        _add_scripts(out, starts, self.letters)
+        _add_scripts(out, owner, self.letters)
         return out
 
     def mixed_scripts(self) -> np.ndarray:
         """Documents with several letters of Latin and of another script."""
         at = np.flatnonzero(self.letters != 32)
-        doc = np.searchsorted(self.begin, at, side="right") - 1
+        doc = self.doc_of[at]
         other = self.letters[at] > 0x36F
         n = len(self.begin)
         return (np.bincount(doc[other], minlength=n) >= 4) & (np.bincount(doc[~other], minlength=n) >= 4)
 
 
-def _add_scripts(out: np.ndarray, starts: np.ndarray, letters: np.ndarray) -> None:
-    place = np.flatnonzero(letters > 0x36F)
+def _add_scripts(out: np.ndarray, owner: np.ndarray, letters: np.ndarray) -> None:
+    """Adds what the letters of a script say to the pieces they own (-1: none)."""
+    place = np.flatnonzero((letters > 0x36F) & (owner >= 0))
     if not len(place):
         return
-    n = len(starts)
-    own_all = np.searchsorted(starts, np.flatnonzero(letters != 32), side="right") - 1
-    total = np.bincount(own_all[own_all >= 0], minlength=n)
+    n = len(out)
+    total = np.bincount(owner[(letters != 32) & (owner >= 0)], minlength=n)
     for lang, a, b in SCRIPTS:
         hit = place[(letters[place] >= a) & (letters[place] <= b)]
         if len(hit):
-            own = np.searchsorted(starts, hit, side="right") - 1
-            got = np.bincount(own[own >= 0], minlength=n)
+            got = np.bincount(owner[hit], minlength=n)
             out[:, LANGS.index(lang)] += np.where(got >= 0.3 * total, got, 0) * SCRIPT_WEIGHT.get(lang, 3.0)
 
 
@@ -322,7 +329,7 @@ def _count_pass(docs: DataFrame, model: np.ndarray | None) -> tuple[np.ndarray,
                     for i in np.flatnonzero(sure).tolist():
                         seen[(known[i] or "", sources[i], cases[i], LANGS[lang[i]])] += 1
                     lang = np.where(sure & (conf > 0.9), lang, -1)
-                whose = lang[batch.doc]
+                whose = lang[batch.doc_of[batch.middle]]
                 counts += np.bincount((whose * CELLS + batch.cells)[whose >= 0], minlength=len(counts))
             if len(seen) > 200_000:
                 yield _counted(seen)
@@ -375,7 +382,7 @@ def fit(docs: DataFrame) -> Fusion:
     whole = whole / whole.sum()
     label = {lang: np.log(by_label[:, k] / by_label.sum(1)) for lang, k in POS.items()}
     label[None] = np.log(by_label[:, -1] / by_label.sum(1))
-    counted = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("double") for x in LANGS]).alias("counts")
+    counted = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("float") for x in LANGS]).alias("counts")
     return Fusion(trigram_model(second), label, np.log(whole), joint.groupBy("source").agg(counted), joint.groupBy("source", "case_id").agg(counted))
 
 
@@ -388,7 +395,7 @@ def with_priors(docs: DataFrame, f: Fusion) -> DataFrame:
     src = f.sources.select(F.col("source").alias("_s"), F.col("counts").alias("_cs"))
     case = f.cases.select(F.col("source").alias("_s2"), F.col("case_id").alias("_c2"), F.col("counts").alias("_cc"))
     out = docs.join(src, F.col("source").eqNullSafe(F.col("_s")), "left").join(case, F.col("source").eqNullSafe(F.col("_s2")) & F.col("case_id").eqNullSafe(F.col("_c2")), "left")
-    none = F.array_repeat(F.lit(0.0), len(LANGS))
+    none = F.array_repeat(F.lit(0.0).cast("float"), len(LANGS))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     smooth = lambda own, parent: F.zip_with(own, parent, lambda n, p: (n + SMOOTH * p) / (total(own) + SMOOTH))
     out = out.withColumn("_p", smooth(F.coalesce("_cs", none), whole))
