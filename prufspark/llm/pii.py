@@ -5,9 +5,10 @@ ends) whose positions lead back to the stored text. Formats give emails, phones
 numbers; street grammars of four languages give addresses; names come from lexicons that grouped
 aggregation learns from titles and forms of address across the whole corpus.
 
-Replacement is by keyed surrogates inside typed placeholders: equal entities get equal surrogates
-(coreference), digits go through a keyed permutation of their format, names get names of the same
-gender and script; a grouped collision check lengthens surrogates that two entities would share.
+Replacement is by keyed surrogates inside typed placeholders: forms of one entity get forms of one
+surrogate (coreference), digits go through a keyed permutation of their format, names get names of the
+same gender and script, streets and towns keep their words of place; a grouped collision check, repeated
+until none is left, lengthens surrogates that two entities would share or that really occur.
 
 Defined results: null and empty values have no items and stay as they are; repeated rows count once.
 """
@@ -17,14 +18,16 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prufspark.llm.deliver import ENTRIES, MOST, deliver
 from prufspark.llm.unify import transducer
 from prufspark.plans.lineage import cut
 
@@ -139,8 +142,6 @@ def _joined(s: str, pos: list[int]) -> tuple[str, list[int]]:
 
 
 def _is_mark(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.category(c)[0] == "M"
 
 
@@ -198,51 +199,73 @@ def titled_words(text: str) -> Iterator[tuple[str, str, str]]:
             yield "last", named[-1].casefold(), gender
 
 
-def learn(values: DataFrame) -> Lexicon:
-    """Candidates are words behind titles, counted with how often each occurs at all. Surnames are words often single behind a title; given names stand before them. Both must do so in at
-    least a fiftieth of all their occurrences, and a millionth of all titled words, which bounds their number."""
+ANY_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
+
+def learn(values: DataFrame) -> DataFrame:
+    """``(word, role, gender)``: the lexicon of surnames (``s``) and given names (``g``) of the whole corpus.
 
-    def roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Candidates are words behind titles, counted with how often each occurs at all. Surnames are words single behind a
+    title; given names stand before another name there. Both must do so in at least a fiftieth of all their
+    occurrences. One use is enough at any size of the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        uses: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = [*seen, *(("any", w, "") for w in uses)]
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([*seen.values(), *uses.values()], pa.int64())], names=["role", "word", "gender", "n"])
+            seen.clear()
+            uses.clear()
+            return out
+
         for b in batches:
             for t in b.column("value").to_pylist():
                 if t:
                     seen.update(titled_words(t.replace("\n", " ")))
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["role", "word", "gender", "n"])
-
-    rows = values.select("value").mapInArrow(roles, "role string, word string, gender string, n bigint")
-    per = rows.groupBy("word").agg(
-        *[F.sum(F.when(F.col("role") == r, F.col("n")).otherwise(0)).alias(r) for r in ("single", "first", "last")],
-        F.sum(F.when((F.col("role") == "first") & (F.col("gender") == "f"), F.col("n")).otherwise(0)).alias("female"),
-    )
-    per = cut(per)
-    words = [r["word"] for r in per.where(F.length("word") >= 2).select("word").collect()]
-    if not words:
-        return Lexicon()
-    shared = values.sparkSession.sparkContext.broadcast(set(words))
-
-    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find_words, seen = automaton(shared.value), Counter()
-        for b in batches:
-            for t in b.column("value").to_pylist():
-                if not t:
-                    continue
-                low = t.casefold()
-                for end, w in find_words.iter(low):
-                    a = end - len(w)
-                    if (a < 0 or not low[a].isalpha()) and not low[end + 1 : end + 2].isalpha():
-                        seen[w] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    total_uses = values.select("value").mapInArrow(everywhere, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("any"))
-    per = cut(per.join(total_uses, "word"))
-    total = per.agg(F.sum(F.col("single") + F.col("first")).alias("n")).first()["n"] or 0
-    least = max(1, total // 1_000_000)
-    sure = (F.col("single") >= least) & (F.col("single") * 50 >= F.col("any")) & (F.col("single") >= F.col("first")) & (F.length("word") >= 3)
-    surnames = {r["word"] for r in per.where(sure).select("word").collect()}
-    given = {r["word"]: "f" if 2 * r["female"] >= r["first"] else "m" for r in per.where((F.col("first") >= least) & (F.col("first") * 50 >= F.col("any")) & (F.col("first") > F.col("single")) & (F.length("word") >= 2)).collect()}
-    return Lexicon(surnames - set(given), given)
+                    found = ANY_WORD.findall(t.casefold())
+                    uses.update(found)
+                    uses.update(p for w in found if not w.isalpha() for p in re.split("['’-]", w))
+            if len(uses) > 300_000:
+                yield flush()
+        if seen or uses:
+            yield flush()
+
+    n = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0)).alias(role)
+    female = F.sum(F.when((F.col("role") == "first") & (F.col("gender") == "f"), F.col("n")).otherwise(0)).alias("female")
+    per = values.select("value").mapInArrow(count, "role string, word string, gender string, n bigint").groupBy("word").agg(n("single"), n("first"), n("last"), n("any"), female)
+    # Words glued to others by signs are no words of their own there: a name counts at least as often as it is titled.
+    often = F.greatest("any", "single", "first")
+    given = (F.col("first") * 50 >= often) & (F.col("first") > F.col("single")) & (F.length("word") >= 2)
+    surname = (F.col("single") > 0) & (F.col("single") * 50 >= often) & (F.col("single") >= F.col("first")) & (F.length("word") >= 3)
+    return cut(per.where(given | surname).select("word", F.when(given, "g").otherwise("s").alias("role"), F.when(2 * F.col("female") >= F.col("first"), "f").otherwise("m").alias("gender")))
+
+
+def lexicon_of(entries: dict[str, str]) -> Lexicon:
+    """The lexicon from ``{word: role and gender}``; kept with the mapping's last use, as batches share one."""
+    got = _LAST.get("of")
+    if got is None or got[0] is not entries:
+        out = Lexicon()
+        for word, v in entries.items():
+            if v[0] == "s":
+                out.surnames.add(word)
+            else:
+                out.given[word] = v[1]
+        got = _LAST["of"] = (entries, out)
+    return got[1]
+
+
+_LAST: dict = {}
+
+
+def capital_words(text: str) -> set[str]:
+    return {w.casefold() for w in WORD.findall(aligned(text)[0]) if w[0].isupper()}
+
+
+def with_lexicon(values: DataFrame, names: DataFrame, most: int = MOST) -> tuple[DataFrame, Callable[[pa.RecordBatch], dict[str, str]]]:
+    """``values(tbl, record_key, value)`` and the names each batch of them needs."""
+    return deliver(values.select("tbl", "record_key", "value"), "value", names.select(F.col("word").alias("key"), F.concat("role", "gender").alias("value")), capital_words, most)
 
 
 TOWN = re.compile(r"(?:,?\s(?:CH-|D-|F-|I-|A-)?\d{4,5}\s|,?\s(?:in|à|a|im)\s)(?:St\.\s|Val-)?[^\W\d_][\w'’-]*")
@@ -326,25 +349,26 @@ def find(text: str, lex: Lexicon) -> list[tuple[str, int, int]]:
     return sorted(taken, key=lambda x: x[1])
 
 
-def found_items(values: DataFrame, lex: Lexicon | None = None) -> DataFrame:
+def found_items(values: DataFrame, names: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """``(tbl, record_key, value)`` to ``(tbl, record_key, kind, start_pos)``, 1-based in the stored text."""
-    shared = values.sparkSession.sparkContext.broadcast(lex or learn(values))
+    rows, entries = with_lexicon(values, names if names is not None else learn(values), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, kinds, starts = [], [], []
+            lex = lexicon_of(entries(b))
             for i, t in enumerate(b.column("value").to_pylist()):
                 if not t:
                     continue
                 form, pos = aligned(t)
-                for kind, a, _ in find(form, shared.value):
+                for kind, a, _ in find(form, lex):
                     rows.append(i)
                     kinds.append(kind)
                     starts.append((pos[a] if pos else a) + 1)
             out = b.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays([out.column("tbl"), out.column("record_key"), pa.array(kinds, pa.string()), pa.array(starts, pa.int64())], names=["tbl", "record_key", "kind", "start_pos"])
 
-    return values.select("tbl", "record_key", "value").mapInArrow(run, "tbl string, record_key string, kind string, start_pos bigint").distinct()
+    return rows.mapInArrow(run, "tbl string, record_key string, kind string, start_pos bigint").distinct()
 
 
 def personal_values(chunks: DataFrame, facts: DataFrame) -> DataFrame:
@@ -355,32 +379,69 @@ def personal_values(chunks: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 # Surrogates -----------------------------------------------------------------------------------
-
-ONSETS = "b d f g h k l m n p r s t v w br dr fl gr kl st tr".split()
-NUCLEI = "a e i o u au ei ie".split()
-ENDS = {"f": "a ea ina ia elle ine".split(), "m": "o in ar us er an".split(), "s": "berg mann wald hofer rieder acher inger".split()}
+#
+# Entities are taken apart into units, whose surrogates are put together again in the format of the stored text: words of
+# names, streets, towns and mails, and runs of digits. Forms of one entity (initial and given name, a phone number with and
+# without the country's code, "str." and "strasse") share their units, so they stay forms of one entity.
+
+# Sounds of the alphabets that surrogates are made of, consonants, vowels and endings by role.
+SOUNDS = {
+    "latin": ("b d f g h k l m n p r s t v w z".split(), "a e i o u au ei ie".split(), {"f": "a ea ina ia elle ine".split(), "m": "o in ar us er an".split(), "s": "berg mann wald hofer rieder acher inger".split()}),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у".split(), {"f": "а ия ина ела".split(), "m": "ан ор ий ен".split(), "s": "ов ин ский енко".split()}),
+    "greek": ("β γ δ ζ κ λ μ ν π ρ σ τ φ χ".split(), "α ε η ι ο ου".split(), {"f": "α η ία ίνα".split(), "m": "ος ης ας".split(), "s": "ίδης όπουλος άκης ίου".split()}),
+}
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+# Short forms of street words and the full ones, and words of addresses that are kept.
+STREET_SHORT = {"str": "strasse", "straße": "strasse", "rte": "route", "ch": "chemin", "av": "avenue", "bd": "boulevard", "pl": "place", "rd": "road"}
+ADDRESS_WORDS = set("""strasse straße str weg gasse platz allee steig ufer quai rain rue route rte chemin avenue av boulevard bd place pl impasse allée ruelle
+sentier passage cours square via viale piazza piazzale piazzetta vicolo strada corso largo contrada salita riva street road lane close drive court way terrace
+gardens hill row mews crescent walk grove rd st flat unit apt apartment suite im am an der in auf dem zum zur beim hinter de la des du le les d l à a bis ter
+alla alle al del della dei di alte alter altes neue neuer kleine grosse obere untere lange sankt ch""".split())
+# Codes of countries before a phone number.
+COUNTRY = re.compile(r"(?:\+|00)(41|49|43|423|33|39|44|31|32|34|351|352|30|7|1|\d{2})")
+UNIT_WORD = re.compile(r"[^\W\d_]+")
+PARTS = re.compile(r"[^\W\d_]+|\d+")
 
 
 def _keyed(key: bytes, *parts: str) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(parts).encode(), hashlib.sha256).digest()[:12], "big")
 
 
-def made_name(key: bytes, word: str, ending: str, salt: int = 0) -> str:
-    """A pronounceable word of the key; ``ending`` carries gender or family name."""
-    n = _keyed(key, "name", ending, word, str(salt))
-    out = ""
-    for _ in range(2 + (salt > 0)):
-        n, a = divmod(n, len(ONSETS))
-        n, b = divmod(n, len(NUCLEI))
-        out += ONSETS[a] + NUCLEI[b]
-    ends = ENDS[ending]
-    return (out + "lnrs"[n % 4] + ends[n // 4 % len(ends)]).capitalize()
+def alphabet_of(word: str) -> str:
+    c = ord(word[0])
+    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin"
+
+
+def moved_letter(key: bytes, letter: str) -> str:
+    """A keyed one-to-one map of an alphabet's letters: initials move with the names they stand for."""
+    alphabet = ALPHABETS[alphabet_of(letter)]
+    base = unicodedata.normalize("NFD", letter.casefold())[0]
+    order = sorted(alphabet, key=lambda c: _keyed(key, "letter", c))
+    return order[alphabet.find(base)] if base in alphabet else order[0]
+
+
+def made_word(key: bytes, role: str, word: str, salt: int = 0) -> str:
+    """A pronounceable word of the key in the alphabet of ``word``; ``role`` (f, m, s) chooses the ending and with it gender
+    or family name, and the first letter depends on the first letter only. Each salt adds a syllable."""
+    consonants, vowels, ends = SOUNDS[alphabet_of(word)]
+    n = _keyed(key, "word", role, word, str(salt))
+    out = moved_letter(key, word[0])
+    for i in range(2 + salt):
+        if i or out[0] in vowels:
+            n, a = divmod(n, len(consonants))
+            out += consonants[a]
+        n, b = divmod(n, len(vowels))
+        out += vowels[b]
+    n, c = divmod(n, len(consonants))
+    return out + consonants[c] + ends[role][n % len(ends[role])]
 
 
 def permuted_digits(key: bytes, kind: str, digits: str) -> str:
     """A keyed one-to-one map of digit strings of one length (alternating Feistel rounds), so no two collide."""
     n = len(digits)
-    if n < 2:
+    if n == 1:
+        return str(sorted(range(10), key=lambda d: _keyed(key, kind, str(d))).index(int(digits)))
+    if n == 0:
         return digits
     h = n // 2
     a, b = digits[:h], digits[h:]
@@ -392,68 +453,141 @@ def permuted_digits(key: bytes, kind: str, digits: str) -> str:
     return a + b
 
 
-def surrogate(key: bytes, kind: str, item: str, lex: Lexicon, salt: int = 0) -> str:
-    """The replacement of an item, of its kind and format; one item always gets one surrogate."""
+def street_stem(word: str) -> tuple[str, str]:
+    """Stem and ending of a word such as "Rebgasse"; no ending for others."""
+    low = word.casefold()
+    for e in sorted((x.strip(".") for x in STREET_ENDS), key=len, reverse=True):
+        if low.endswith(e) and len(low) > len(e) + 1:
+            return low[: -len(e)], STREET_SHORT.get(e, e)
+    return low, ""
+
+
+def units_of(kind: str, item: str, lex: Lexicon) -> list[tuple[str, str]]:
+    """``(role, word)`` of the words in an item that get surrogates: roles f, m and s of names, p of places, e of mails."""
+    out = []
     if kind == "name":
+        for w in UNIT_WORD.findall(item):
+            if len(w) > 1:
+                low = w.casefold()
+                whole = next((x.casefold() for x in WORD.findall(item) if low in x.casefold().split("-")), low)
+                out.append((lex.given.get(low) or lex.given.get(whole) or "s", low))
+    elif kind == "address":
+        for w in UNIT_WORD.findall(item):
+            if len(w) > 1 and w.casefold() not in ADDRESS_WORDS:
+                out.append(("p", street_stem(w)[0]))
+    elif kind == "email":
+        for w in UNIT_WORD.findall(re.split(AT, item, maxsplit=1)[0]):
+            low = w.casefold()
+            out.append((lex.given.get(low) or ("s" if low in lex.surnames else "e"), low))
+    return out
 
-        def name(m: re.Match) -> str:
-            w = m.group()
-            if len(w) == 1:
-                return made_name(key, w.casefold(), "s", salt)[0]
-            g = lex.given.get(w.casefold())
-            s = made_name(key, w.casefold(), g or "s", salt)
-            return s.upper() if w.isupper() else s
 
-        return re.sub(r"[^\W\d_]+(?:-[^\W\d_]+)*", name, item)
+def unit_surrogate(key: bytes, role: str, word: str, salt: int = 0) -> str:
+    return made_word(key, role if role in "fm" else "s", word, salt)
+
+
+def recased(like: str, word: str) -> str:
+    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
+
+
+def surrogate(key: bytes, kind: str, item: str, lex: Lexicon, salts: dict[tuple[str, str], int] | None = None) -> str:
+    """The replacement of an item, of its kind and format; forms of one entity get forms of one surrogate."""
+    salts = salts or {}
+    made = lambda role, w: unit_surrogate(key, role, w, salts.get((role, w), 0))
+    if kind == "name":
+        roles = dict((w, r) for r, w in units_of(kind, item, lex))
+        return UNIT_WORD.sub(lambda m: recased(m.group(), made(roles[m.group().casefold()], m.group().casefold())) if len(m.group()) > 1 else moved_letter(key, m.group()).upper(), item)
     if kind == "email":
-        return f"{made_name(key, item.casefold(), 's', salt).lower()}{_keyed(key, 'mail', item.casefold(), str(salt)) % 1000}@example.org"
+        roles = dict((w, r) for r, w in units_of(kind, item, lex))
+        local = re.split(AT, item, maxsplit=1)[0]
+        new = PARTS.sub(lambda m: permuted_digits(key, "mail", m.group()) if m.group().isdigit() else made(roles[m.group().casefold()], m.group().casefold()), local)
+        return f"{new}@{made_word(key, 's', item[len(local):].casefold().lstrip('@') or 'x')[:12]}.example"
     if kind == "address":
-        return f"{made_name(key, item.casefold(), 's', salt)}weg {_keyed(key, 'no', item.casefold(), str(salt)) % 199 + 1}"
+
+        def part(m: re.Match) -> str:
+            w = m.group()
+            if w.isdigit():
+                return w[0] + permuted_digits(key, "zip", w[1:]) if len(w) > 3 else str(1 + int(permuted_digits(key, "house", w)) % (10 ** len(w) - 1) if int(w) else 0)
+            if len(w) == 1 or w.casefold() in ADDRESS_WORDS:
+                return w
+            stem, end = street_stem(w)
+            return recased(w, made("p", stem) + end)
+
+        return PARTS.sub(part, item)
     plain = "".join(c for c in item if c.isdigit())
-    keep = 4 if kind == "phone" else 3 if kind == "id" and len(plain) >= 13 else 0
-    new = iter(plain[:keep] + permuted_digits(key, kind, plain[keep:]))
+    if kind == "phone":
+        code = COUNTRY.match(item)
+        head = len(re.sub(r"\D", "", code.group())) if code else 0
+        own = plain[head:].removeprefix("0") if code else plain.lstrip("0")
+        new = iter(plain[: len(plain) - len(own)] + own[:2] + permuted_digits(key, "phone" + own[:2], own[2:]))
+    else:
+        keep = 3 if len(plain) >= 13 else 0
+        new = iter(plain[:keep] + permuted_digits(key, kind, plain[keep:]))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return "".join(next(new) if c.isdigit() else letters[(letters.find(c.upper()) + _keyed(key, "letter", str(i))) % 26] if c.isascii() and c.isalpha() else c for i, c in enumerate(item))
+    return "".join(next(new) if c.isdigit() else letters[(letters.find(c.upper()) + _keyed(key, "letter", str(i))) % 26] if kind == "id" and c.isascii() and c.isalpha() else c for i, c in enumerate(item))
 
 
-def pseudonymised(values: DataFrame, key: bytes = b"change me", lex: Lexicon | None = None) -> DataFrame:
-    """``(tbl, record_key, text)`` with each item as ``[KIND surrogate]``.
+def distinct_units(units: DataFrame, key: bytes) -> DataFrame:
+    """``units(role, word)`` to the salts ``(role, word, salt)`` over zero that keep all surrogates apart.
 
-    Items that would share a surrogate with another one are found by a grouped count and get a longer
-    one; only those (rare by construction) travel to the workers."""
-    lex = lex or learn(values)
-    sc = values.sparkSession.sparkContext
-    shared = sc.broadcast(lex)
+    Of units that share a surrogate the first keeps it; one that makes a word which really occurs keeps nothing. The
+    others take the next salt, round by round, until none clashes. Grouped counts decide; nothing is collected."""
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = set()
+            made = [unit_surrogate(key, r, w, n) for r, w, n in zip(*(b.column(c).to_pylist() for c in ("role", "word", "salt")))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.string())], names=["role", "word", "salt", "made"])
+
+    schema = "role string, word string, salt int, made string"
+    state = cut(units.distinct().withColumn("salt", F.lit(0)).mapInArrow(make, schema))
+    while True:
+        # Words of names share one list, so that a surrogate of a given name is no surname either.
+        first = state.groupBy("made").agg(F.min(F.struct("salt", "word")).alias("first"))
+        real = state.select(F.col("word").alias("made")).distinct().withColumn("real", F.lit(True))
+        judged = state.join(first, "made").join(real, "made", "left")
+        judged = cut(judged.withColumn("clash", F.col("real").isNotNull() | (F.col("first.word") != F.col("word"))).select("role", "word", "salt", "made", "clash"))
+        if judged.where("clash").limit(1).count() == 0:
+            break
+        again = judged.where("clash").select("role", "word", (F.col("salt") + 1).alias("salt")).mapInArrow(make, schema)
+        state = judged.where("not clash").drop("clash").unionByName(again)
+    return judged.where("salt > 0").select("role", "word", "salt")
+
+
+def pseudonymised(values: DataFrame, key: bytes, names: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    """``(tbl, record_key, text)`` with each item as ``[KIND surrogate]``. The key is the caller's secret."""
+    if not key:
+        raise ValueError("a key is needed")
+    names = names if names is not None else learn(values)
+    rows, entries = with_lexicon(values.where("value is not null"), names, most)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lex, got = lexicon_of(entries(b)), set()
             for t in b.column("value").to_pylist():
                 form, _ = aligned(t)
-                got |= {(k, form[x:y].casefold()) for k, x, y in find(form, shared.value) if k in ("email", "address")}
-                for k, x, y in find(form, shared.value):
-                    if k == "name":
-                        got |= {("name", w.casefold()) for w in re.findall(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*", form[x:y])}
-            rows = sorted(got)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([surrogate(key, *r, shared.value) for r in rows], pa.string())], names=["kind", "item", "made"])
-
-    met = values.where("value is not null").select("value").mapInArrow(items, "kind string, item string, made string").distinct()
-    shared_by = Window.partitionBy("kind", F.lower("made"))
-    twice = met.withColumn("keeps", F.min("item").over(shared_by)).where("item <> keeps").select("kind", "item")
-    clash = {(r["kind"], r["item"]) for r in twice.collect()}
-    again = sc.broadcast(clash)
+                for kind, x, y in find(form, lex):
+                    got.update(units_of(kind, form[x:y], lex))
+            cols = list(zip(*got)) if got else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["role", "word"])
+
+    salts = cut(distinct_units(rows.mapInArrow(units, "role string, word string"), key))
+    salts = salts.groupBy("word").agg(F.concat_ws(",", F.collect_list(F.concat_ws(":", "role", "salt"))).alias("value")).withColumnRenamed("word", "key")
+    words = lambda t: {x for w in UNIT_WORD.findall(aligned(t)[0]) for x in (w.casefold(), street_stem(w)[0])}
+    rows, salted = deliver(rows.withColumnRenamed(ENTRIES, "_names"), "value", salts, words, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            lex = lexicon_of(entries(b.rename_columns([{"_names": ENTRIES, ENTRIES: "_salts"}.get(c, c) for c in b.schema.names])))
+            known = {(r, w): int(n) for w, v in salted(b).items() for r, n in (x.split(":") for x in v.split(","))}
             out = []
             for t in b.column("value").to_pylist():
                 form, pos = aligned(t)
                 at, parts = 0, []
-                for kind, x, y in find(form, shared.value):
+                for kind, x, y in find(form, lex):
                     i, j = (pos[x], pos[y - 1] + 1) if pos else (x, y)
-                    parts += [t[at:i], f"[{kind.upper()} {surrogate(key, kind, form[x:y], shared.value, int((kind, form[x:y].casefold()) in again.value))}]"]
+                    parts += [t[at:i], f"[{kind.upper()} {surrogate(key, kind, form[x:y], lex, known)}]"]
                     at = j
                 out.append("".join(parts) + t[at:])
             yield pa.RecordBatch.from_arrays([b.column("tbl"), b.column("record_key"), pa.array(out, pa.string())], names=["tbl", "record_key", "text"])
 
-    return values.where("value is not null").select("tbl", "record_key", "value").mapInArrow(run, "tbl string, record_key string, text string").distinct()
+    return rows.mapInArrow(run, "tbl string, record_key string, text string").distinct()
