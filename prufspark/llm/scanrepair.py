@@ -1,10 +1,13 @@
 """Problem 6: repair text of scanned pages.
 
-Corpus statistics come first: word counts, and skeletons of short lines that stand outside the
-running text. Rare words are joined in SQL with frequent words whose anagram hash differs by
-that of a known confusion; the most frequent partner is the correction. Edge lines are removed
-when their skeleton recurs or they are page numbers; a hyphen at a line's end is dropped when
-the joined word has better evidence than the hyphenated one.
+Corpus statistics come first: word counts, and skeletons of lines that stand alone by the page's layout.
+Rare words are joined in SQL with frequent words whose anagram hash differs by that of a known confusion;
+the most frequent partner is the correction. Edge lines are removed when their skeleton recurs or they are
+page numbers; a hyphen at a line's end is dropped when the joined word has better evidence than the
+hyphenated one.
+
+All evidence is counted per word and per skeleton and asks for fixed numbers, so what is found does not
+depend on how much other text there is. It reaches the texts through ``deliver``, which joins what is large.
 
 Defined results: null and empty texts have no lines to report and stay as they are; a repeated
 row counts once; lines are counted over ``\\n``.
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prufspark.llm.deliver import MOST, deliver
 from prufspark.llm.unify import transducer
 from prufspark.plans.lineage import cut
 
@@ -28,19 +32,27 @@ CONFUSIONS = [
     ("e", "c"), ("c", "e"), ("u", "ii"), ("ü", "ii"), ("n", "ri"), ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("h", "li"),
     ("w", "vv"), ("g", "q"), ("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("b", "8"), ("t", "†"), ("i", "l"), ("l", "i"),
     ("u", "n"), ("n", "u"), ("h", "b"), ("b", "h"), ("f", "t"), ("t", "f"), ("z", "2"), ("g", "9"), ("l", "|"), ("i", "|"),
+    ("é", "e'"), ("è", "e'"), ("ê", "e'"), ("à", "a'"), ("ä", "a'"), ("ö", "o'"), ("ü", "u'"), ("ä", 'a"'), ("ö", 'o"'), ("ü", 'u"'), ("ò", "o'"), ("ù", "u'"), ("ì", "i'"),
 ]
+# Digits and the letters that recognition makes of them.
+DIGIT_FORMS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "S": "5", "B": "8"})
 RATIO = 20
 PRIME = (1 << 61) - 1
 # A word is evidence from so many occurrences on, however large the corpus.
 LEAST = 5
-EDGE_SHARE = 1e-4
+# A line's skeleton is furniture when it stands alone so many times.
 EDGE_LEAST = 3
+# Narrower pages than this are taken to be so wide.
+PAGE_WIDTH = 50
 
 WORD = re.compile(r"[\w†|]+(?:-[\w†|]+)*")
 LETTER = re.compile(r"[^\W\d_]")
 PLAIN = re.compile(r"[\w†|]+")
 MIXED = re.compile(r"\d[OolISB]|[OolISB]\d")
-DIGIT_WORD = re.compile(r"(?<![\w†])[\dOolISB]+(?![\w†])")
+DIGIT_WORD = re.compile(r"(?<![\w†])[\dOolISB]+(?:(?<=\d)[.,:][\dOolISB]+|[.,](?=[\dOolISB]*\d)[\dOolISB]+)*(?![\w†])")
+# Words with a sign in place of an accent, as in "unvollsta'ndig".
+SIGNED = re.compile(r"[^\W\d_][\w†|]*(?:(?<=[aeiouAEIOU])['\"][\w†|]*)+")
+TOKEN = re.compile(SIGNED.pattern + r"|[\w†|]+(?:-[\w†|]+)*")
 ADDRESS = re.compile(r"\S*(?:@|\[at\]|\(at\)|www\.|://|_)\S*")
 BREAK = re.compile(r"([^\W\d_](?:[\w†'’|-]*[^\W\d_†|]|[\w†|]*)?)[-¬­‐‑]\s*$")
 GLUE = re.compile(r"[@_/\d]|www\.")
@@ -53,7 +65,9 @@ PAGE = re.compile(
 SEPARATOR = r"(?:\s*[|·•]\s*|\s{2,}|\s+[–—-]\s+)"
 LEAD = re.compile(rf"^\s*({PAGE.pattern}){SEPARATOR}(?=\S)", re.I)
 TAIL = re.compile(rf"{SEPARATOR}({PAGE.pattern})\s*$", re.I)
-CLOSED = re.compile(r"[.!?…:;,。！？]['\"»”“’)\]]*\s*$")
+# Scripts in which the end of a sentence may have no sign.
+UNCASED = re.compile("[\u0e00-\u0eff\u3040-\u9fff\uac00-\ud7af]")
+CLOSED = re.compile(r"[.!?…:;,。！？؟]['\"»”“’)\]]*\s*$")
 FOLDS = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("c", "e"), ("q", "g"), ("†", "t"), ("1", "l"), ("0", "o"), ("5", "s"), ("8", "b"), ("|", "l")]
 
 
@@ -72,11 +86,11 @@ def fold(s: str) -> str:
     return s
 
 
-def edge_parts(line: str) -> tuple[bool, str]:
-    """Does the line hold a page number set apart, and the skeleton of the rest: a title that ends in one number."""
+def edge_parts(line: str) -> tuple[bool, str, bool]:
+    """Does the line hold a page number set apart; the skeleton of the rest, numbers as ``#``; has that a number?"""
     s = line.strip()
     if PAGE.fullmatch(s):
-        return True, ""
+        return True, "", False
     paged = False
     for rx in (LEAD, TAIL):
         m = rx.search(s)
@@ -86,24 +100,44 @@ def edge_parts(line: str) -> tuple[bool, str]:
             break
     words = s.split()
     numbered = [i for i, w in enumerate(words) if re.search(r"\d", w)]
-    tail = " ".join(words[numbered[0] + 1 :]) if numbered else ""
-    titled = len(numbered) == 1 and 0 < numbered[0] <= 6 and (not tail or re.fullmatch(r"\([^()]*\)", tail))
-    skeleton = fold(" ".join(words[: numbered[0]] + [tail])).strip() if titled else ""
-    return paged, skeleton
+    if len(words) < 2 or numbered[:1] == [0] or len(numbered) > 2:
+        return paged, "", False
+    return paged, " ".join("#" if i in numbered else fold(w).strip() for i, w in enumerate(words)), bool(numbered)
+
+
+def standing_out(lines: list[str]) -> list[tuple[int, bool, str, bool]]:
+    """``(line, has a page number, skeleton, stands alone)`` of lines that may be furniture: page numbers, and lines
+    without a sentence end. A line stands alone when the next word would have fitted on it (the last one is left open); texts that have more such
+    lines than others are lists. A skeleton without a number is marked ``=`` and given only where the line breaks into a
+    sentence, which headings do not."""
+    out = list(_standing_out(lines))
+    if 2 * sum(alone for *_, k, alone in out if k) > sum(1 for x in lines if x.strip()):
+        out = [(i, paged, "", alone) for i, paged, _, alone in out if paged]
+    return out
 
 
-def standing_out(lines: list[str]) -> Iterator[tuple[int, bool, str]]:
-    """Lines that may be furniture: no sentence end, upper case or number first, and not the only line."""
+def _standing_out(lines: list[str]) -> Iterator[tuple[int, bool, str, bool]]:
     if len(lines) < 2:
         return
-    width = max(map(len, lines))
+    width = max(PAGE_WIDTH, *map(len, lines))
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 70 or CLOSED.search(s) or s[0].islower() or s[0] in "„«\"'“(•":
+        if not s or CLOSED.search(s) or s[0] in "„«\"'“(•":
             continue
-        paged, skeleton = edge_parts(s)
-        if paged or (skeleton and len(s) < max(width, 20)):
-            yield i, paged, skeleton
+        paged, skeleton, numbered = edge_parts(s)
+        if PAGE.fullmatch(s):
+            yield i, True, "", True
+            continue
+        if s[0].islower() or UNCASED.search(s):
+            continue
+        following = next((x for x in lines[i + 1 :] if x.strip()), "")
+        alone = following != "" and len(s) + 1 + len(following.split()[0]) <= width
+        if skeleton and not numbered:
+            before = next((x for x in reversed(lines[:i]) if x.strip()), "")
+            inside = before and not CLOSED.search(before) and following and following.lstrip()[0].islower()
+            skeleton = "=" + skeleton if inside else ""
+        if paged or skeleton:
+            yield i, paged, skeleton, alone
 
 
 def clean_lines(text: str) -> list[str]:
@@ -132,11 +166,13 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
                 if not t:
                     continue
                 lines = clean_lines(t)
-                found = WORD.findall("\n".join(lines).lower())
+                low = "\n".join(lines).lower()
+                found = WORD.findall(low)
                 words.update(found)
+                if "'" in low or '"' in low:
+                    words.update(SIGNED.findall(low))
                 words.update(p for w in found if "-" in w for p in w.split("-"))
-                edges.update(k for _, _, k in standing_out(lines) if k)
-                edges[""] += len(lines)
+                edges.update(k for _, _, k, alone in standing_out(lines) if k and alone)
             if len(words) > 500_000:
                 out.append(flush())
                 yield out.pop()
@@ -146,21 +182,22 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select("text").mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def corrections(words: DataFrame, total: int | None = None, ratio: int = RATIO) -> DataFrame:
+def corrections(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """``(wrong, right, n, n_right)``: each rare word with its most frequent confusable word.
 
-    Equi-join on the anagram hash shifted by the confusion's difference, then an exact check that one
-    replacement turns the right word into the wrong one. The size of the corpus (``total``) decides nothing."""
-    spark = words.sparkSession
+    Each word gives a row per confusion it may hold; an equi-join on the anagram hash shifted by the confusion's
+    difference finds the words it may stand for, then an exact check that one replacement turns the right word
+    into the wrong one."""
 
     @F.pandas_udf("bigint")
     def hashed(s):
         return s.map(anagram_hash)
 
-    pairs = spark.createDataFrame([(a, b, (anagram_hash(a) - anagram_hash(b)) % PRIME) for a, b in CONFUSIONS], "good string, bad string, delta bigint")
+    pairs = F.array(*[F.struct(F.lit(a).alias("good"), F.lit(b).alias("bad"), F.lit((anagram_hash(a) - anagram_hash(b)) % PRIME).cast("bigint").alias("delta")) for a, b in CONFUSIONS])
     w = words.where((F.length("key") >= 3) & F.col("key").rlike(r"\p{L}")).select("key", "n", hashed("key").alias("h"))
     frequent = w.where(F.col("n") >= LEAST).select(F.col("key").alias("right"), F.col("n").alias("n_right"), F.col("h").alias("h_right"))
-    rare = w.join(F.broadcast(pairs), F.instr(F.col("key"), F.col("bad")) > 0).select(F.col("key").alias("wrong"), "n", "good", "bad", F.expr(f"pmod(h + delta, {PRIME}L)").alias("h_right"))
+    held = w.select(F.col("key").alias("wrong"), "n", "h", F.inline(F.filter(pairs, lambda x: F.contains(F.col("key"), x["bad"]))))
+    rare = held.select("wrong", "n", "good", "bad", F.expr(f"pmod(h + delta, {PRIME}L)").alias("h_right"))
     met = rare.join(frequent, "h_right").where(F.col("n_right") >= ratio * F.col("n"))
     places = F.sequence(F.lit(1), F.length("wrong"))
     made = F.exists(
@@ -173,29 +210,43 @@ def corrections(words: DataFrame, total: int | None = None, ratio: int = RATIO)
 
 
 class Evidence:
-    """What a worker needs: wrong to right words, counts of frequent words, skeletons of furniture."""
+    """What a worker looks up in its entries: ``f`` wrong word to count and right word, ``c`` counts of words, ``e``
+    skeletons of furniture."""
+
+    def __init__(self, entries: dict[str, str]) -> None:
+        self.entries = entries
 
-    def __init__(self, fixes: dict[str, str], counts: dict[str, int], edges: set[str]) -> None:
-        self.fixes, self.counts, self.edges = fixes, counts, edges
+    def right(self, word: str) -> str | None:
+        got = self.entries.get("f" + word)
+        return got.split(" ", 1)[1] if got else None
+
+    def count(self, word: str) -> int:
+        """Uses of the word, or of the one it was misread from."""
+        got = self.entries.get("f" + word) or self.entries.get("c" + word)
+        return int(got.split(" ", 1)[0]) if got else 0
 
     def furniture(self, lines: list[str]) -> set[int]:
         out = set()
-        for i, paged, skeleton in standing_out(lines):
-            if skeleton in self.edges or (paged and (not skeleton or PAGE.fullmatch(lines[i].strip()))):
+        for i, paged, skeleton, alone in standing_out(lines):
+            if ((alone or paged or skeleton.count("#") == 1) and "e" + skeleton in self.entries) or (paged and (not skeleton or PAGE.fullmatch(lines[i].strip()))):
                 out.add(i)
         return out
 
+    def wrong_words(self, text: str) -> Iterator[re.Match]:
+        for m in TOKEN.finditer(text):
+            w = m.group().lower()
+            if "f" + w in self.entries or ("-" in w and any("f" + p in self.entries for p in w.split("-"))):
+                yield m
+
     def suspect(self, text: str) -> bool:
         """May any line of the text be misread?"""
-        return "†" in text or MIXED.search(text) is not None or not self.fixes.keys().isdisjoint(PLAIN.findall(text.lower()))
+        return "†" in text or MIXED.search(text) is not None or next(self.wrong_words(text), None) is not None
 
     def misread(self, line: str) -> bool:
         if "†" in line:
             return True
         plain = ADDRESS.sub(" ", line)
-        return not self.fixes.keys().isdisjoint(PLAIN.findall(plain.lower())) or (
-            MIXED.search(plain) is not None and any(wrong_number(m.group()) for m in DIGIT_WORD.finditer(plain))
-        )
+        return next(self.wrong_words(plain), None) is not None or (MIXED.search(plain) is not None and any(wrong_number(m.group()) for m in DIGIT_WORD.finditer(plain)))
 
     def broken(self, line: str, following: str) -> bool:
         """Is the last word of ``line`` continued by ``following``, with a hyphen that is not its own?"""
@@ -212,11 +263,7 @@ class Evidence:
         head = m.group(1).lower()
         tail = WORD.match(nxt)
         tail = tail.group().lower().split("-")[0] if tail else ""
-        fix = lambda w: self.fixes.get(w, w)
-        joined = self.counts.get(fix(head + tail), 0)
-        stem = head.rsplit("-", 1)[-1]
-        joined = max(joined, self.counts.get(fix(stem + tail), 0))
-        whole = max(self.counts.get(fix(head + "-" + tail), 0), self.counts.get(fix(stem + "-" + tail), 0))
+        joined, whole = (max(map(self.count, x)) for x in break_words(head, tail))
         if joined or whole:
             return joined >= whole
         if first[0].isupper():
@@ -224,25 +271,47 @@ class Evidence:
         return tail not in ("und", "oder", "bzw", "et", "ou", "e", "o", "and", "or")
 
 
+def break_words(head: str, tail: str) -> tuple[tuple[str, str], tuple[str, str]]:
+    """The words that a broken one may be: joined, and with its hyphen."""
+    stem = head.rsplit("-", 1)[-1]
+    return (head + tail, stem + tail), (head + "-" + tail, stem + "-" + tail)
+
+
 def wrong_number(token: str) -> bool:
     """Digits with a letter that looks like one; short labels such as S13 are none."""
     digits = sum(c.isdigit() for c in token)
-    if not digits or digits == len(token):
+    if not digits or digits == len(token) or not re.search("[OolISB|]", token):
         return False
     if re.fullmatch(r"[SBIO]\d{1,2}", token):
         return False
-    return digits >= 2 or (len(token) == 2 and token[-1] in "OolISB" and token[0].isdigit())
+    return digits >= 2 or (len(token) == 2 and token[-1] in "OolISB" and token[0].isdigit()) or re.search(r"\d[.,:][OolISB]|[OolISB][.,:]\d", token) is not None
 
 
-def gather(chunks: DataFrame) -> Evidence:
-    """Evidence over the whole corpus. Words grow with the vocabulary; furniture skeletons number at most 1 / EDGE_SHARE."""
+def keys_of(text: str) -> set[str]:
+    """All that ``Evidence`` may look up for a text."""
+    lines = clean_lines(text)
+    out = {"f" + w for t in TOKEN.findall("\n".join(lines).lower()) for w in (t, *t.split("-"))}
+    out |= {"e" + k for _, _, k, _ in standing_out(lines) if k}
+    ends = [(BREAK.search(s), k) for k, s in enumerate(lines)]
+    for m, k in ends:
+        if m:
+            # A line of furniture may stand between the parts of a word.
+            for following in [x for x in lines[k + 1 :] if x.strip()][:4]:
+                tail = WORD.match(following.lstrip())
+                if tail:
+                    for x in break_words(m.group(1).lower(), tail.group().lower().split("-")[0]):
+                        out |= {p + w for w in x for p in "cf"}
+    return out
+
+
+def evidence(chunks: DataFrame) -> DataFrame:
+    """``(key, value)`` over the whole corpus: corrections, counts of words and skeletons of furniture."""
     counts = cut(corpus_counts(chunks))
-    n_lines = counts.where("kind = 'e' and key = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where("kind = 'w'").select("key", "n")
-    fixes = {r["wrong"]: r["right"] for r in corrections(words).select("wrong", "right").collect()}
-    frequent = {r["key"]: r["n"] for r in words.where((F.col("n") >= LEAST) & F.col("key").rlike(r"\p{L}")).collect()}
-    edges = {r["key"] for r in counts.where((F.col("kind") == "e") & (F.col("key") != "") & (F.col("n") >= max(EDGE_LEAST, EDGE_SHARE * n_lines))).collect()}
-    return Evidence(fixes, frequent, edges)
+    fixes = corrections(words).select(F.concat(F.lit("f"), "wrong").alias("key"), F.concat_ws(" ", "n_right", "right").alias("value"))
+    frequent = words.where((F.col("n") >= LEAST) & F.col("key").rlike(r"\p{L}")).select(F.concat(F.lit("c"), "key").alias("key"), F.col("n").cast("string").alias("value"))
+    edges = counts.where((F.col("kind") == "e") & (F.col("n") >= EDGE_LEAST)).select(F.concat(F.lit("e"), "key").alias("key"), F.col("n").cast("string").alias("value"))
+    return cut(fixes.unionByName(frequent).unionByName(edges))
 
 
 def judge(text: str, e: Evidence) -> list[tuple[int, str]]:
@@ -259,10 +328,10 @@ def judge(text: str, e: Evidence) -> list[tuple[int, str]]:
             out.append((i + 1, "broken"))
             head, tail = lines[i].rstrip()[:-1].split()[-1], lines[j].split()[0]
             cut_word = WORD.findall((head + tail).lower())
-            if cut_word and cut_word[0] in e.fixes:
+            right = e.right(cut_word[0]) if cut_word else None
+            if right:
                 # The character stands in one of the two lines.
                 a = len(head)
-                right = e.fixes[cut_word[0]]
                 same = 0
                 while same < min(len(right), a) and right[same] == cut_word[0][same]:
                     same += 1
@@ -272,14 +341,14 @@ def judge(text: str, e: Evidence) -> list[tuple[int, str]]:
     return list(dict.fromkeys(out))
 
 
-def damaged_lines(chunks: DataFrame) -> DataFrame:
+def damaged_lines(chunks: DataFrame, most: int = MOST) -> DataFrame:
     """``(record_key, line_no, kind)`` with kind furniture, broken or misread, for ``chunks(id, text)``."""
     chunks = chunks.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    shared = chunks.sparkSession.sparkContext.broadcast(gather(chunks))
+    rows, entries = deliver(chunks, "text", evidence(chunks), keys_of, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = shared.value
         for b in batches:
+            e = Evidence(entries(b))
             keys, nos, kinds = [], [], []
             for k, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 for no, kind in judge(t, e):
@@ -288,7 +357,7 @@ def damaged_lines(chunks: DataFrame) -> DataFrame:
                     kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nos, pa.int64()), pa.array(kinds, pa.string())], names=["record_key", "line_no", "kind"])
 
-    return chunks.mapInArrow(run, "record_key string, line_no bigint, kind string").distinct()
+    return rows.mapInArrow(run, "record_key string, line_no bigint, kind string").distinct()
 
 
 def repair(text: str, e: Evidence) -> str:
@@ -310,30 +379,52 @@ def repair(text: str, e: Evidence) -> str:
         now += s[:-1] if e.broken(s, following) else s if BREAK.search(s) and LETTER.match(following.lstrip() or "0") else s + " "
     if now:
         paragraphs.append(now)
-    fixed = WORD.sub(lambda m: _recase(m.group(), e.fixes), "\n\n".join(p.strip() for p in paragraphs))
-    return fixed
+    return corrected("\n\n".join(p.strip() for p in paragraphs), e)
+
+
+def corrected(text: str, e: Evidence) -> str:
+    """Misread words and numbers replaced, each where ``Evidence.misread`` finds it; addresses stay as they are."""
 
+    def number(m: re.Match) -> str:
+        return m.group().translate(DIGIT_FORMS) if wrong_number(m.group()) else m.group()
 
-def _recase(word: str, fixes: dict[str, str]) -> str:
-    right = fixes.get(word.lower())
+    def word(m: re.Match) -> str:
+        w = _fixed(m.group(), e)
+        return w.replace("†", "T" if w.isupper() else "t")
+
+    at, out = 0, []
+    for m in [*ADDRESS.finditer(text), None]:
+        plain = text[at : m.start()] if m else text[at:]
+        if MIXED.search(plain):
+            plain = DIGIT_WORD.sub(number, plain)
+        out.append(TOKEN.sub(word, plain))
+        if m:
+            out.append(m.group().replace("†", "t"))
+            at = m.end()
+    return "".join(out)
+
+
+def _fixed(word: str, e: Evidence) -> str:
+    right = e.right(word.lower())
     if right is None:
+        if "-" in word:
+            return "-".join(_fixed(p, e) for p in word.split("-"))
         return word
     return right.upper() if word.isupper() and len(word) > 1 else right[0].upper() + right[1:] if word[0].isupper() or (word[0].isdigit() and len(word) > 1 and word[1:].islower() and right[0] in "bs") else right
 
 
-def repaired(chunks: DataFrame) -> DataFrame:
+def repaired(chunks: DataFrame, most: int = MOST) -> DataFrame:
     """``(record_key, text)``: list blocks keep their lines, all else comes out as running paragraphs."""
     chunks = chunks.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", F.coalesce(F.col("metadata.content_type") == "list_block", F.lit(False)).alias("listed"))
-    shared = chunks.sparkSession.sparkContext.broadcast(gather(chunks))
+    rows, entries = deliver(chunks, "text", evidence(chunks), keys_of, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = shared.value
         for b in batches:
+            e = Evidence(entries(b))
             out = [
-                "\n".join(WORD.sub(lambda m: _recase(m.group(), e.fixes), s) for s in clean_lines(t)) if listed else repair(t, e)
+                "\n".join(corrected(s, e) for s in clean_lines(t)) if listed else repair(t, e)
                 for t, listed in zip(b.column("text").to_pylist(), b.column("listed").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], names=["record_key", "text"])
 
-    return chunks.mapInArrow(run, "record_key string, text string").distinct()
-
+    return rows.mapInArrow(run, "record_key string, text string").distinct()
