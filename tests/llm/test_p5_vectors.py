@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from prufspark.llm import vectors
 
@@ -54,3 +55,37 @@ def test_visits_follow_the_queue():
     t = vectors.KMeansTree.fit(x, 40)
     order = t.visits(x[:20], t.n_leaves)
     assert all(sorted(o) == list(range(t.n_leaves)) for o in order.tolist())
+
+
+def test_a_vector_that_many_ids_have(spark):
+    x = data(300)
+    x[::3] = x[0]
+    ids = [f"v{(i * 7) % 300:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, vec array<float>").repartition(6)
+    got = {(r["id_a"], r["id_b"]) for r in vectors.similar_pairs(vectors.nearest_vectors([df, df], dim=12)).collect()}
+    assert got == brute(ids, x, 10, 0.8)
+
+
+def test_a_leaf_of_many_rows_gets_a_tree_of_its_own(spark, monkeypatch):
+    x = data(2400)
+    ids = [f"v{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, vec array<float>")
+    t = pa.table({"id": ids, "k1": list(range(len(x))), "k2": [0] * len(x), "home": [0] * len(x), "leaves": [[0]] * len(x), "vec": [v.tobytes() for v in x]})
+    monkeypatch.setattr(vectors, "SUB_ROWS", 300)
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 32)
+    got = {(ids[q], o) for b in vectors._search(t, 12, 11, 0.8, 0.99) for q, o in zip(b.column("k1").to_pylist(), b.column("other").to_pylist()) if ids[q] != o}
+    pairs = {(min(p), max(p)) for p in got}
+    want = brute(ids, x, 10, 0.8)
+    assert len(pairs & want) / len(want) >= 0.95
+
+
+def test_no_leaf_that_may_hold_a_similar_vector_is_left_out():
+    x = vectors.unit(data(800).astype(np.float64)).astype(np.float32)
+    t = vectors.KMeansTree.fit(x, 40)
+    home = t.visits(x, 1)[:, 0]
+    node = {t.leaf[i]: i for i in np.flatnonzero(t.leaf >= 0)}
+    low = np.array([min((x[home == v] @ t.centres[node[v]]).tolist(), default=1.0) for v in range(t.n_leaves)])
+    seen = vectors.allowed_visits(t, x, t.n_leaves, low, 0.8)
+    assert (seen < 0).any()
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.8)):
+        assert home[j] in seen[i]
