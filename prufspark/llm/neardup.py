@@ -1,9 +1,12 @@
 """Problem 1: near-duplicate texts over word shingles, exact above the threshold.
 
-1. A fixed-size count sketch of shingle hashes orders shingles from rare to frequent.
+1. A count sketch of shingle hashes orders shingles from rare to frequent. Its cells follow the
+   size of the input between two bounds (4 and 64 MB); beyond, the order among rare ones is left to chance.
 2. Every text sends its rare shingles (the prefix that any partner above the threshold must
    meet) to the partitions that own them, with its size and a token bitmap. Copies of one
-   shingle set travel as one: the set's hash is the key of the class.
+   shingle set travel as one: the set's hash is the key of the class. Partitions follow the input.
+   A shingle of many texts is split: its texts form blocks, and each two blocks meet in a group
+   of their own.
 3. Per shingle, a signature tree: nodes hold OR-combined bitmaps and size ranges; a dual
    traversal drops node pairs whose greatest possible overlap is below the need.
 4. Surviving pairs of classes are checked on the texts themselves.
@@ -27,6 +30,11 @@ from prufspark.llm.shingles import mix, shingle_hashes
 from prufspark.plans.lineage import cut
 
 SKETCH_BITS = 20
+MOST_SKETCH_BITS = 24
+SHINGLES_PER_CELL = 16
+SHINGLES_PER_PART = 4_000_000
+HOT = 20_000  # Texts of a shingle from which on they are split into blocks.
+COPIES = 1_000  # Members of a class that meet all others in one task.
 SKETCH_CHUNK = 1 << 14
 BITMAP_WORDS = 3
 FANOUT = 8
@@ -39,14 +47,23 @@ def _rows(b: pa.RecordBatch, step: int = 4000) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sketch(texts: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of shingle hashes in ``2**bits`` cells: the same few MB for any input."""
+    """Counts of shingle hashes in ``2**bits`` cells; a text repeated within a task counts once."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(size, dtype=np.int64)
+        seen: set[int] = set()
         for big in batches:
             for b in _rows(big):
-                h, _ = shingle_hashes(b.column("text").to_pylist(), width)
+                fresh = []
+                for t in b.column("text").to_pylist():
+                    k = hash(t)
+                    if k not in seen:
+                        seen.add(k)
+                        fresh.append(t)
+                if len(seen) > 500_000:
+                    seen.clear()
+                h, _ = shingle_hashes(fresh, width)
                 cells += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
         if cells.any():
             low = np.minimum(cells, 2**31 - 1).astype(np.int32)
@@ -111,9 +128,10 @@ def prefix_rows(texts: DataFrame, width: int, threshold: float, parts: int, cell
                 probe = n - _least(threshold, n) + 1
                 index = n - _least(2 * threshold / (1 + threshold), n) + 1
                 keep = (place < probe[owner]) & (cost > 1) & fresh[owner]
-                h, owner, is_index = h[keep], owner[keep], (place < index[owner])[keep]
+                h, owner, is_index, cost = h[keep], owner[keep], (place < index[owner])[keep], cost[keep]
                 if not len(h):
                     continue
+                h, owner, is_index = split_hot(h, owner, is_index, cost, keys)
                 part = (h % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((~is_index, owner * parts + part))
                 h, owner, part, is_index = h[order], owner[order], part[order], is_index[order]
@@ -140,6 +158,26 @@ def prefix_rows(texts: DataFrame, width: int, threshold: float, parts: int, cell
     return texts.select("text").mapInArrow(run, schema)
 
 
+def split_hot(h: np.ndarray, owner: np.ndarray, is_index: np.ndarray, cost: np.ndarray, keys: np.ndarray):
+    """Shingles of over ``HOT`` texts become a shingle per pair of blocks; a text belongs to one block, so any two texts
+    of the shingle meet, and no group holds more than two blocks."""
+    blocks = -(-cost // HOT)
+    hot = np.flatnonzero(blocks > 1)
+    if not len(hot):
+        return h, owner, is_index
+    times = blocks[hot]
+    row = np.repeat(hot, times)
+    other = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    mine = mix(keys[owner[row]]) % blocks[row].astype(np.uint64)
+    pair = np.minimum(mine, other) * np.uint64(1 << 20) + np.maximum(mine, other) + np.uint64(1)
+    cold = np.flatnonzero(blocks <= 1)
+    return (
+        np.concatenate([h[cold], mix(h[row] ^ mix(pair))]),
+        np.concatenate([owner[cold], owner[row]]),
+        np.concatenate([is_index[cold], is_index[row]]),
+    )
+
+
 class SignatureTree:
     """Trees over all groups of one partition, level by level.
 
@@ -243,16 +281,16 @@ def _partition_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Ite
 
 
 def classes(texts: DataFrame, width: int) -> DataFrame:
-    """``(id, text)`` to ``(doc, id, text)``: the class key of every text that has a shingle."""
+    """``(id, text)`` to ``(doc, id, th)``: the class key of every text that has a shingle, and the text's own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in _rows(big):
                 _, _, _, n, keys = text_sets(b.column("text").to_pylist(), width, None)
-                out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("id"), b.column("text")], names=["doc", "id", "text"])
+                out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("id"), b.column("th")], names=["doc", "id", "th"])
                 yield out.filter(pa.array(n > 0))
 
-    return texts.select("id", "text").mapInArrow(run, "doc bigint, id string, text string")
+    return texts.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc bigint, id string, th bigint")
 
 
 def _shingle_set(text: str, width: int) -> set[tuple[str, ...]]:
@@ -279,8 +317,10 @@ def _linked(texts: DataFrame, threshold: float, width: int) -> tuple[DataFrame,
     """Class pairs above the threshold and the members ``(doc, id)`` of all classes."""
     spark = texts.sparkSession
     texts = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = spark.sparkContext.broadcast(shingle_sketch(texts, width))
+    shingles = (texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 6
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // SHINGLES_PER_PART)
+    bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, (shingles // SHINGLES_PER_CELL).bit_length()))
+    cells = spark.sparkContext.broadcast(shingle_sketch(texts, width, bits))
     rows = prefix_rows(texts, width, threshold, parts, cells)
     candidates = (
         rows.repartitionById(parts, F.col("part"))
@@ -289,9 +329,11 @@ def _linked(texts: DataFrame, threshold: float, width: int) -> tuple[DataFrame,
         .distinct()
     )
     candidates = cut(candidates)
-    members = classes(texts, width)
+    members = cut(classes(texts, width).distinct())
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    one = members.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    # Each class in a pair is looked at by one of its texts.
+    chosen = members.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min(F.struct("id", "th")).alias("m")).select("doc", "m.*")
+    one = texts.withColumn("th", F.xxhash64("text")).join(chosen, ["id", "th"]).groupBy("doc").agg(F.min("text").alias("text"))
     pairs = (
         candidates.join(one.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
         .join(one.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
@@ -305,10 +347,13 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.6, width: int =
     """All pairs ``(id_a, id_b)``, ``id_a < id_b``, of ``texts(id, text)`` with Jaccard similarity of at least ``threshold``."""
     pairs, members = _linked(texts, threshold, width)
     members = cut(members)
+    # All members of a class are linked; each meets the others of a large class part by part.
     far = pairs.join(members.select(F.col("doc").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("doc").alias("b"), F.col("id").alias("y")), "b").where("x <> y").select("x", "y")
-    several = members.groupBy("doc").count().where("count > 1").select("doc")
-    copies = members.join(several, "doc", "left_semi")
-    near = copies.select("doc", F.col("id").alias("x")).join(copies.select("doc", F.col("id").alias("y")), "doc").where("x < y").select("x", "y")
+    several = members.groupBy("doc").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("salts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = members.join(several, "doc")
+    one = copies.select("doc", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("x"))
+    two = copies.select("doc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("y"))
+    near = one.join(two, ["doc", "salt"]).where("x < y").select("x", "y")
     return far.unionByName(near).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -73,3 +73,26 @@ def test_empty_table(spark):
 def test_long_chain_is_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {r["root"] for r in neardup.connected(edges).collect()} == {0}
+
+
+def test_a_large_class_is_paired_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 4)
+    rows = [(f"c{i:02d}", "eins zwei drei vier fünf sechs") for i in range(30)] + [("x", "eins zwei drei vier fünf acht")]
+    got = [(r["id_a"], r["id_b"]) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string")).collect()]
+    assert set(got) == brute(rows, 0.6, 3) and len(got) == len(set(got))
+
+
+def test_blocks_of_a_hot_shingle_all_meet(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "HOT", 10)
+    keys = neardup.mix(np.arange(1, 61, dtype=np.uint64))
+    owner = np.repeat(np.arange(60), 2)
+    h = np.tile(np.array([5, 9], dtype=np.uint64), 60)
+    cost = np.tile(np.array([60, 3]), 60)
+    nh, no, ni = neardup.split_hot(h, owner, np.ones(120, bool), cost, keys)
+    groups: dict = {}
+    for g, o in zip(nh.tolist(), no.tolist()):
+        groups.setdefault(g, set()).add(o)
+    met = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+    assert len(met) == 60 * 59 // 2 and 9 in groups and max(len(g) for k, g in groups.items() if k != 9) < 40 and ni.all()
