@@ -3,7 +3,9 @@
 Weights go down a tree of domains, languages and sources. A leaf (source in one language) can give
 at most ``max_repeats`` times its tokens; what it lacks goes to its siblings first, then to the
 siblings of its ancestors. Each leaf then gives whole epochs of its documents and the token-prefix
-of one more, in the seeded order of that epoch.
+of one more, in the seeded order of that epoch. What the prefixes of a source's leaves leave open,
+less than a document each, is passed on between them: leaves take the document that their prefix
+ends in as long as that brings the source nearer to its budget.
 
 Defined results: documents without tokens are never taken; a source without documents gives a row
 of zeros; weights are normalised per plan, weights of zero or null get nothing; a plan beyond what
@@ -25,20 +27,18 @@ from prufspark.plans.lineage import cut
 
 BUCKETS = 4096
 SEED = 17
-# The domain of each source; others are domains of their own.
-DOMAINS = {
-    "gutachten_archiv": "fallakten", "polizeirapport": "fallakten", "einvernahmen": "fallakten", "rechtshilfe": "fallakten",
-    "normbasis": "grundlagen", "schulung": "grundlagen", "glossar": "grundlagen", "korrespondenz": "verkehr", "pressespiegel": "verkehr",
-}
 
-
-def token_sizes(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, source, language, n_tokens)``; language is the declared one in ISO 639-1, ``und`` where unknown."""
+def token_sizes(docs: DataFrame, vocabulary: str | None = None, languages: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, source, language, n_tokens)``; the language is that of ``languages(doc_id, lang)`` where given (such as
+    the stretches of problem 9, the first of each document), else the declared one in ISO 639-1; ``und`` where unknown."""
 
     @F.pandas_udf("string")
     def language(s: pd.Series) -> pd.Series:
         return s.map(lambda x: canonical(x) or "und")
 
+    if languages is not None:
+        one = languages.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+        docs = docs.drop("lang").join(one, "doc_id", "left")
     return count_tokens(docs.select("doc_id", "source", language("lang").alias("language"), "text"), ["doc_id", "source", "language"], vocabulary)
 
 
@@ -113,10 +113,10 @@ def budgets(targets: list[dict], available: dict[tuple[str, str], int], total: i
     return out
 
 
-def _parts(docs: DataFrame, targets: DataFrame, vocabulary: str | None, domains: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def _parts(docs: DataFrame, targets: DataFrame, vocabulary: str | None, domains: dict[str, str], languages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sizes of all documents (cut) and the leaves of all plans. The leaves number at most the rows of ``targets`` times the languages."""
     spark = docs.sparkSession
-    sizes = cut(token_sizes(docs, vocabulary))
+    sizes = cut(token_sizes(docs, vocabulary, languages))
     plan_rows = [r.asDict() for r in targets.where("plan_name is not null and source is not null").groupBy("plan_name", "source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"), F.max("size_ratio").alias("size_ratio")).collect()]
     named = sizes.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source", "language").agg(F.sum("n_tokens").alias("n")).collect()
     total = sizes.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
@@ -125,9 +125,27 @@ def _parts(docs: DataFrame, targets: DataFrame, vocabulary: str | None, domains:
     return sizes, leaves
 
 
-def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, domains: dict[str, str] = DOMAINS, seed: int = SEED) -> DataFrame:
-    """``(plan_name, source, language, doc_id, n_tokens, copies)``: the documents of each plan and how often each is taken."""
-    return _select(*_parts(docs, targets, vocabulary, domains), seed)
+def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, domains: dict[str, str] | None = None, seed: int = SEED, languages: DataFrame | None = None) -> DataFrame:
+    """``(plan_name, source, language, doc_id, n_tokens, copies)``: the documents of each plan and how often each is taken.
+
+    ``domains`` names the domain of sources; others are domains of their own."""
+    return _select(*_parts(docs, targets, vocabulary, domains or {}, languages), seed)
+
+
+def crossing(rows: list[tuple]) -> list[tuple]:
+    """Of ``(plan, source, language, doc_id, tokens, open)``, one row per leaf whose prefix ends inside a document, those
+    whose document is taken: smallest first, while that brings the source's open tokens nearer to none."""
+    by_source: dict[tuple, list[tuple]] = defaultdict(list)
+    for r in rows:
+        by_source[r[:2]].append(r)
+    out = []
+    for rs in by_source.values():
+        left = sum(r[5] for r in rs)
+        for r in sorted(rs, key=lambda r: (r[4], r[2])):
+            if 2 * left >= r[4] > 0:
+                out.append(r[:4])
+                left -= r[4]
+    return out
 
 
 def _select(sizes: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
@@ -144,13 +162,19 @@ def _select(sizes: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     rows = rows.join(sums, [*key, "bucket"])
     whole = rows.where("before + s <= rest or before >= rest").withColumn("extra", (F.col("before") + F.col("s") <= F.col("rest")).cast("int"))
     inside = Window.partitionBy(*key, "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.where("not (before + s <= rest or before >= rest)").withColumn("extra", (F.col("before") + F.sum("n_tokens").over(inside) <= F.col("rest")).cast("int"))
+    edge = rows.where("not (before + s <= rest or before >= rest)").withColumn("ends", F.col("before") + F.sum("n_tokens").over(inside))
+    # One document per leaf at most: as many rows as there are leaves.
+    over = edge.where((F.col("ends") > F.col("rest")) & (F.col("ends") - F.col("n_tokens") <= F.col("rest")))
+    over = [tuple(r) for r in over.select(*key, "doc_id", "n_tokens", (F.col("rest") - F.col("ends") + F.col("n_tokens")).alias("open")).collect()]
+    doc_type = sizes.schema["doc_id"].dataType.simpleString()
+    taken = F.broadcast(sizes.sparkSession.createDataFrame(crossing(over), f"plan_name string, source string, language string, doc_id {doc_type}").withColumn("more", F.lit(1)))
+    edge = edge.join(taken, [*key, "doc_id"], "left").withColumn("extra", F.coalesce("more", (F.col("ends") <= F.col("rest")).cast("int"))).drop("more", "ends")
     return whole.unionByName(edge).withColumn("copies", (F.col("epochs") + F.col("extra")).cast("int")).where("copies > 0").select(*key, "doc_id", "n_tokens", "copies")
 
 
-def mixture_report(docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, domains: dict[str, str] = DOMAINS, seed: int = SEED) -> DataFrame:
+def mixture_report(docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, domains: dict[str, str] | None = None, seed: int = SEED, languages: DataFrame | None = None) -> DataFrame:
     """Per plan and source: target and actual tokens and shares, documents taken and the most often any was taken."""
-    sizes, leaves = _parts(docs, targets, vocabulary, domains)
+    sizes, leaves = _parts(docs, targets, vocabulary, domains or {}, languages)
     chosen = _select(sizes, leaves, seed).groupBy("plan_name", "source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies")
     )

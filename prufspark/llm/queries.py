@@ -87,12 +87,19 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+# The domains of these tables' sources.
+DOMAINS = {
+    "gutachten_archiv": "fallakten", "polizeirapport": "fallakten", "einvernahmen": "fallakten", "rechtshilfe": "fallakten",
+    "normbasis": "grundlagen", "schulung": "grundlagen", "glossar": "grundlagen", "korrespondenz": "verkehr", "pressespiegel": "verkehr",
+}
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,16 +115,14 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
 
-def _ranges(chars) -> str:
-    cps = sorted(map(ord, chars))
-    out, i = [], 0
-    while i < len(cps):
-        j = i
-        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
-            j += 1
-        out.append(f"\\x{{{cps[i]:x}}}" + (f"-\\x{{{cps[j]:x}}}" if j > i else ""))
-        i = j + 1
-    return "".join(out)
+# The cases of problem 2 as they are stated, as classes of a regular expression: spaces, invisible signs, hyphens, joined
+# and full-width letters and digits; and the letters a reader takes for Latin ones.
+ODD_CLASS = (
+    r"\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+    r"\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}"
+    r"\x{2010}\x{2011}\x{fe63}\x{ff0d}\x{fb00}-\x{fb04}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}"
+)
+LOOK_CLASS = "АВЕЗКМНОРСТУХЅІЈҮԚԜаеорсухѕіјԁһԛԝӀӏүΑΒΕΖΗΙΚΜΝΟΡΤΥΧονаικρυχγϲϳϹͿёїЁЇα"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -127,7 +132,7 @@ def oracle_sql() -> dict[str, str]:
 s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
 x AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s), o AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM o WHERE k >= 0.6 * (na + nb - k) - 1e-12"""
-    odd, look = _ranges(unify.build_mapping()), _ranges(unify.LOOK_ALIKES)
+    odd, look = ODD_CLASS, LOOK_CLASS
     run = "[\\p{L}\\p{M}]*"
     case = f"(nfc_normalize(v) <> v OR regexp_matches(v, '[{odd}]') OR regexp_matches(v, '\\p{{Latin}}{run}[{look}]|[{look}]{run}\\p{{Latin}}'))"
     p2 = f"""WITH g AS (SELECT 'gold' AS tbl, unnest(gold_findings) AS f FROM gold UNION ALL SELECT 'predictions', unnest(predicted_findings) FROM predictions),

@@ -1,8 +1,10 @@
 """Problem 2: bring equal-looking text to one form.
 
-A longest-match transducer over grapheme clusters, compiled from a conflict-checked
-mapping, rewrites widths, composed letters, spaces, invisible characters, hyphens,
-joined letters and look-alike letters in one pass.
+A longest-match transducer over grapheme clusters rewrites widths, letters with their marks,
+spaces, invisible characters, hyphens, joined letters and look-alike letters in one pass. All of
+them are entries of one automaton, compiled from a mapping that is generated from character
+properties and checked for conflicts; look-alikes carry two forms, and the word they stand in
+says which one holds.
 
 Defined results: a null value stays null and is never a case; an empty value stays
 empty; running the transducer twice gives what running it once gives.
@@ -15,6 +17,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -65,6 +68,42 @@ def build_mapping() -> dict[str, str]:
     return out
 
 
+def compositions() -> dict[str, str]:
+    """Letters with marks as they may be taken apart, whole or by the last mark, and their composed form."""
+    out = {}
+    for cp in (*range(0xC0, 0x3400), *range(0xF900, 0xFB50)):
+        c = chr(cp)
+        parts = unicodedata.decomposition(c)
+        if not parts or parts[0] == "<" or unicodedata.category(c)[0] != "L":
+            continue
+        whole = unicodedata.normalize("NFC", c)
+        for key in {c, unicodedata.normalize("NFD", c), "".join(chr(int(x, 16)) for x in parts.split())} - {whole}:
+            out[key] = whole
+    return out
+
+
+def build_clusters() -> dict[str, tuple[str, str]]:
+    """Every entry of the automaton: its form, and its form in a word with Latin letters. An entry with two forms in one
+    place, a form that holds an entry and a Latin form that holds one are errors."""
+    out: dict[str, tuple[str, str]] = {}
+
+    def put(src: str, form: str, latin: str) -> None:
+        if out.setdefault(src, (form, latin)) != (form, latin):
+            raise ValueError(f"two forms for {src!r}: {out[src]!r} and {(form, latin)!r}")
+
+    for src, form in build_mapping().items():
+        put(src, form, form)
+    for src, form in compositions().items():
+        put(src, form, LOOK_ALIKES.get(form, form))
+    for src, latin in LOOK_ALIKES.items():
+        put(src, src, latin)
+    for src, (form, latin) in out.items():
+        for x in (form, latin):
+            if x != src and any(c in out and out[c] != (c, LOOK_ALIKES.get(c, c)) for c in x) or any(c in LOOK_ALIKES for c in latin):
+                raise ValueError(f"the form of {src!r} is itself rewritten")
+    return out
+
+
 def _char_class(chars: Iterable[str]) -> str:
     """A regex class body with runs of code points written as ranges."""
     cps = sorted(map(ord, chars))
@@ -83,31 +122,51 @@ class Transducer:
 
     def __init__(self) -> None:
         self.single = build_mapping()
+        clusters = build_clusters()
+        self.automaton = ahocorasick.Automaton()
+        for key, (form, latin) in clusters.items():
+            self.automaton.add_word(key, (len(key), form, latin))
+        self.automaton.make_automaton()
         look = "".join(LOOK_ALIKES)
         # Any text without one of these and in composed form is already in the one form.
         self.quick = re.compile(f"[{_char_class([*self.single, *LOOK_ALIKES])}]")
         self.suspect = re.compile(f"[{_char_class(self.single)}]|[A-Za-zÀ-ɏＡ-Ｚａ-ｚ][{look}]|[{look}][A-Za-zÀ-ɏＡ-Ｚａ-ｚ]")
         odd = _char_class(self.single)
         self.unit = regex.compile(rf"[\p{{L}}\p{{M}}{odd}]+|[^\p{{L}}\p{{M}}{odd}]\p{{M}}+")
-        self.word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+        # A word is a run of letters; what will go counts as nothing, so it does not part them.
+        gone = _char_class(k for k, v in self.single.items() if not v)
+        self.before = regex.compile(rf"[\p{{L}}\p{{M}}{gone}]*", regex.REVERSE)
+        self.after = regex.compile(rf"[\p{{L}}\p{{M}}{gone}]*")
         self.latin = regex.compile(r"\p{Latin}")
 
-    def _word(self, m) -> str:
-        w = m.group()
-        if not self.latin.search(w):
-            return w
-        return "".join(LOOK_ALIKES.get(c, c) for c in w)
-
-    def _unit(self, m) -> str:
-        run = "".join(self.single.get(c, c) for c in m.group())
-        return self.word.sub(self._word, unicodedata.normalize("NFC", run))
+    def rewrite(self, text: str) -> str:
+        out: list[str] = []
+        at = end_of_word = 0
+        in_latin = False
+        for end, (size, form, latin) in self.automaton.iter_long(text):
+            start = end + 1 - size
+            if form != latin:
+                if start >= end_of_word:
+                    stop = self.after.match(text, start).end()
+                    begin = self.before.match(text, 0, start).start()
+                    end_of_word, in_latin = max(stop, start + 1), self.latin.search(text, begin, stop) is not None
+                if in_latin:
+                    form = latin
+            out += (text[at:start], form)
+            at = end + 1
+        return "".join(out) + text[at:] if out else text
 
     def __call__(self, text: str | None) -> str | None:
         if not text or text.isascii():
             return text
-        if unicodedata.is_normalized("NFC", text) and not (self.quick.search(text) and self.suspect.search(text)):
+        composed = unicodedata.is_normalized("NFC", text)
+        if composed and not (self.quick.search(text) and self.suspect.search(text)):
             return text
-        return unicodedata.normalize("NFC", self.unit.sub(self._unit, text))
+        out = self.rewrite(text)
+        # Marks in another order, or brought to their letter by what went between, are no entries; composed, they may be.
+        while not unicodedata.is_normalized("NFC", out):
+            out = self.rewrite(unicodedata.normalize("NFC", out))
+        return out
 
 
 @lru_cache(maxsize=1)
