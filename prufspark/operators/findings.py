@@ -5,6 +5,8 @@ A repeated segment row counts once. Labels and ids in any case resolve to the ta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -14,6 +16,11 @@ from prufspark.functions.text import bind, fold_case, simplify, squeeze
 from prufspark.plans.lineage import cut
 
 
+# Findings are consolidated within one document (a case), in the order in which they stand in it.
+DOCUMENT = ("case_id",)
+ORDER = ("segment_id", "pos", "finding_id")
+
+
 def first_nonblank(*cols: Column) -> Column:
     """The first value that is neither null nor blank, trimmed: aliases of one field."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols])
@@ -43,10 +50,13 @@ def lookup(taxonomy: DataFrame, kind: str) -> DataFrame:
 
 
 def flatten(segments: DataFrame, findings: str) -> DataFrame:
-    """One row per finding of each segment, in order ``pos``; segments repeated in full or in part count once."""
+    """One row per finding of each segment, in order ``pos``; segments repeated in full or in part count once.
+
+    A finding is known by its id, without one by its place; the first row of each is kept by a grouped minimum."""
     rows = segments.select("case_id", "segment_id", F.posexplode(findings).alias("pos", "f")).select("case_id", "segment_id", "pos", "f.*")
-    first = Window.partitionBy("finding_id").orderBy("case_id", "segment_id", "pos")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    known = F.coalesce(F.concat(F.lit("i"), F.col("finding_id")), F.concat_ws("|", F.lit("p"), "case_id", "segment_id", F.col("pos").cast("string")))
+    first = F.min_by(F.struct(*rows.columns), F.struct("case_id", "segment_id", "pos"))
+    return rows.groupBy(known.alias("_known")).agg(first.alias("r")).select("r.*")
 
 
 def resolve(findings: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -69,29 +79,48 @@ def agent_scope(main_class: Column) -> Column:
     )
 
 
-def first_per_key(findings: DataFrame, *keys: Column) -> DataFrame:
-    """The finding of least id per key. A grouped minimum combines on the map side, so a hot key (such as an empty
-    one) moves one row per task, and only ids come back."""
+def first_per_key(findings: DataFrame, *keys: Column, scope: Sequence[str] = DOCUMENT, order: Sequence[str] = ORDER) -> DataFrame:
+    """The first finding per key within its document. A grouped minimum combines on the map side, so a hot key (such as
+    an empty one) moves one row per task, and only places come back."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    least = findings.select("finding_id", *named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("finding_id").alias("finding_id"))
-    return findings.join(least.select("finding_id"), "finding_id", "left_semi")
+    least = findings.select(*scope, F.struct(*order).alias("_at"), *named).groupBy(*scope, *[f"_k{i}" for i in range(len(keys))]).agg(F.min("_at").alias("_first"))
+    least = least.select(*[F.col(c).alias(f"_s_{c}") for c in scope], *[F.col(f"_first.{c}").alias(f"_o_{c}") for c in order])
+    same = F.lit(True)
+    for kind, cols in (("s", scope), ("o", order)):
+        for c in cols:
+            same &= F.col(c).eqNullSafe(F.col(f"_{kind}_{c}"))
+    return findings.join(least, same, "left_semi")
 
 
-def dedup_two_stage(findings: DataFrame) -> DataFrame:
+def dedup_two_stage(findings: DataFrame, scope: Sequence[str] = DOCUMENT, order: Sequence[str] = ORDER) -> DataFrame:
     """First per (sorted references, start of the rationale), then per start of the comparing span; empty spans stay."""
     refs = F.array_join(F.array_sort(F.coalesce("source_refs", F.array().cast("array<string>"))), "|")
-    one = first_per_key(findings, refs, F.substring(F.coalesce("rationale", F.lit("")), 1, 80))
+    one = first_per_key(findings, refs, F.substring(F.coalesce("rationale", F.lit("")), 1, 80), scope=scope, order=order)
     span = F.substring(F.lower(squeeze(F.coalesce("span_text", F.lit("")))), 1, 120)
-    return first_per_key(one, span, F.when(span == "", F.col("finding_id")))
+    return first_per_key(one, span, *[F.when(span == "", F.col(c)) for c in order], scope=scope, order=order)
+
 
+def dedup_by_key(findings: DataFrame, *keys: Column, scope: Sequence[str] = DOCUMENT, order: Sequence[str] = ORDER) -> DataFrame:
+    """The first finding per key within its document."""
+    return first_per_key(findings, *keys, scope=scope, order=order)
 
-def dedup_by_key(findings: DataFrame, *keys: Column) -> DataFrame:
-    """The first finding per key (by id)."""
-    return first_per_key(findings, *keys)
+
+def dedup_calculations(findings: DataFrame, right: Column, scope: Sequence[str] = DOCUMENT, order: Sequence[str] = ORDER) -> DataFrame:
+    """The first finding per segment, comparing span, subclass and right value."""
+    span = F.lower(squeeze(F.coalesce("span_text", F.lit(""))))
+    return first_per_key(findings, F.col("segment_id"), span, F.coalesce("subclass_id", F.lit("")), F.coalesce(right, F.lit("")), scope=scope, order=order)
+
+
+def union_findings(*lists: DataFrame) -> DataFrame:
+    """Lists of findings with different columns as one; what a list lacks is null."""
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
 
 
 def similar_token_pairs(rows: DataFrame, key: str, block: str, threshold: float) -> DataFrame:
-    """``(a, b)`` of ``rows(key, block, toks)``, a before b, whose token sets reach the threshold.
+    """``(block, a, b)`` of ``rows(key, block, toks)``, a before b, whose token sets reach the threshold.
 
     Prefix filter on tokens from rare to frequent inside each block: no pair is lost, and none is built
     that shares only frequent tokens."""
@@ -99,16 +128,16 @@ def similar_token_pairs(rows: DataFrame, key: str, block: str, threshold: float)
     exploded = sized.select(key, block, "n", F.explode("toks").alias("tok"))
     freq = exploded.groupBy(block, "tok").agg(F.count("*").alias("df"))
     ranked = exploded.join(freq, [block, "tok"]).where("df > 1")
-    order = Window.partitionBy(key).orderBy("df", "tok")
+    order = Window.partitionBy(block, key).orderBy("df", "tok")
     # Tokens of one row only were dropped: they still take the first places of the prefix.
-    kept = ranked.withColumn("place", F.row_number().over(order) + F.col("n") - F.count("*").over(Window.partitionBy(key)))
+    kept = ranked.withColumn("place", F.row_number().over(order) + F.col("n") - F.count("*").over(Window.partitionBy(block, key)))
     prefix = kept.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select(key, block, "n", "tok")
     a, b = prefix.alias("a"), prefix.alias("b")
     met = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.tok") == F.col("b.tok")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9))
-    pairs = met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    sets = rows.select(key, "toks")
-    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col(key).alias("b"), F.col("toks").alias("tb")), "b")
-    return both.where(jaccard(F.col("ta"), F.col("tb")) >= threshold - 1e-12).select("a", "b")
+    pairs = met.select(F.col(f"a.{block}").alias(block), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    one, two = (rows.select(block, F.col(key).alias(x), F.col("toks").alias(f"t{x}")) for x in "ab")
+    both = pairs.join(one, [block, "a"]).join(two, [block, "b"])
+    return both.where(jaccard(F.col("ta"), F.col("tb")) >= threshold - 1e-12).select(block, "a", "b")
 
 
 def similar_token_sets(rows: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -117,40 +146,38 @@ def similar_token_sets(rows: DataFrame, key: str, threshold: float) -> DataFrame
     rows = cut(rows.where(F.size("toks") > 0))
     classes = cut(rows.groupBy("toks").agg(F.min(key).alias("first")))
     members = cut(rows.join(classes, "toks").select("first", key))
-    near = similar_token_pairs(classes.select("first", F.lit(0).alias("block"), "toks"), "first", "block", threshold)
+    near = similar_token_pairs(classes.select("first", F.lit(0).alias("block"), "toks"), "first", "block", threshold).select("a", "b")
     near = near.unionByName(members.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select(F.col("first").alias("a"), F.col("first").alias("b")))
     one, two = (members.select(F.col("first").alias(c), F.col(key).alias(f"key_{c}")) for c in "ab")
     pairs = near.join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("key_a") < F.col("key_b")))
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
-def dedup_leaders(findings: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Ordered fuzzy dedup per subclass: a finding goes when an earlier kept one is similar enough.
+def dedup_leaders(findings: DataFrame, threshold: float = 0.85, scope: Sequence[str] = DOCUMENT, order: Sequence[str] = ORDER) -> DataFrame:
+    """Ordered fuzzy dedup per document and subclass: a finding goes when an earlier kept one is similar enough.
 
     Exactly the one-by-one rule, decided in rounds over the graph of similar pairs: a finding is kept once
     all its earlier neighbours are dropped, and dropped once one of them is kept. Equal spans stand for
     their first finding, so copies build no pairs. Findings without span or subclass are kept."""
     span = F.substring(F.lower(squeeze(F.coalesce("span_text", F.lit("")))), 1, 120)
-    rows = findings.select("finding_id", F.col("subclass_id").alias("block"), span.alias("span"))
-    free = rows.where("span = '' or block is null or trim(block) = ''").select("finding_id")
-    held = rows.where("not (span = '' or block is null or trim(block) = '')")
-    toks = F.array_sort(F.array_distinct(F.split("span", " ")))
-    firsts = cut(held.withColumn("toks", toks).groupBy("block", "toks").agg(F.min("finding_id").alias("finding_id")))
-    edges = cut(similar_token_pairs(firsts, "finding_id", "block", threshold))
-    state = firsts.select("finding_id", F.lit(None).cast("boolean").alias("kept"))
+    bare = (F.col("_span") == "") | F.col("subclass_id").isNull() | (F.trim("subclass_id") == "")
+    rows = findings.withColumn("_span", span).withColumn("_at", F.struct(*[F.coalesce(F.col(c), F.lit(0 if c == "pos" else "")).alias(c) for c in order]))
+    block = F.concat_ws("\x01", *scope, "subclass_id").alias("block")
+    held = rows.where(~bare).select("_at", block, F.array_sort(F.array_distinct(F.split("_span", " "))).alias("toks"))
+    firsts = cut(held.groupBy("block", "toks").agg(F.min("_at").alias("at")))
+    edges = cut(similar_token_pairs(firsts, "at", "block", threshold))
+    state = firsts.select("block", "at", F.lit(None).cast("boolean").alias("kept"))
     while True:
-        before = edges.join(state.select(F.col("finding_id").alias("a"), F.col("kept").alias("ka")), "a").groupBy("b").agg(
+        before = edges.join(state.select("block", F.col("at").alias("a"), F.col("kept").alias("ka")), ["block", "a"]).groupBy("block", "b").agg(
             F.bool_or(F.coalesce("ka", F.lit(False))).alias("any_kept"), F.bool_and(F.coalesce(~F.col("ka"), F.lit(False))).alias("all_gone")
         )
-        state = cut(
-            state.join(before, state.finding_id == before.b, "left").select(
-                "finding_id", F.coalesce("kept", F.when(F.col("b").isNull() | F.col("all_gone"), True).when(F.col("any_kept"), False)).alias("kept")
-            )
-        )
+        new = state.join(before.withColumnRenamed("b", "at"), ["block", "at"], "left")
+        state = cut(new.select("block", "at", F.coalesce("kept", F.when(F.col("all_gone").isNull() | F.col("all_gone"), True).when(F.col("any_kept"), False)).alias("kept")))
         if not state.where("kept is null").limit(1).count():
             break
-    keep = state.where("kept").select("finding_id").unionByName(free)
-    return findings.join(keep, "finding_id", "left_semi")
+    keep = state.where("kept").select(F.col("block").alias("_b"), F.col("at").alias("_a"))
+    kept = rows.where(~bare).join(keep, (block == F.col("_b")) & (F.col("_at") == F.col("_a")), "left_semi")
+    return rows.where(bare).unionByName(kept).drop("_span", "_at")
 
 
 def protected_spans(facts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Pairs are built inside a scope (``CASE`` in the catalogue; the segment by default), scored,
 and taken greedily from the best. Ties go by order of ids, so results are deterministic.
+Two rules are there: by spans alone, and strict within one subclass.
 """
 
 from __future__ import annotations
@@ -102,8 +103,19 @@ def candidates(gold: DataFrame, pred: DataFrame, least: float = 0.2, scope: Sequ
     return out.withColumn("score", F.round(100 + 100 * F.col("span_score") + bonus, 6))
 
 
-def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Greedy one-to-one assignment per scope, best span score first, then score, then ids.
+def strict_candidates(cands: DataFrame) -> DataFrame:
+    """Pairs of one subclass, scored by span, change type, severity and correction."""
+    agree = lambda c, w: F.coalesce(F.col(f"{c}_match"), F.lit(False)).cast("int") * w
+    score = 100 + 20 * F.col("span_score") + agree("change_type", 5.0) + agree("severity", 2.0) + agree("correction", 1.0)
+    return cands.where("subclass_match").withColumn("score", F.round(score, 6))
+
+
+SPAN_FIRST = ("span_score", "score")
+SCORE_FIRST = ("score", "span_score", "change_type_match", "severity_match")
+
+
+def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE, best: Sequence[str] = SPAN_FIRST) -> DataFrame:
+    """Greedy one-to-one assignment per scope, largest values of ``best`` first, then by ids.
 
     The pairs of a scope stream through one worker in order, which holds the ids taken in that scope. All columns of
     ``cands`` are sorted along: ``without_classes`` makes them narrower, ``with_classes`` gives the classes back."""
@@ -122,7 +134,7 @@ def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
                     pred.add(p)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    inside = [F.col("span_score").desc(), F.col("score").desc(), "gold_finding_id", "pred_finding_id"]
+    inside = [*[F.col(c).desc() for c in best], "gold_finding_id", "pred_finding_id"]
     return cands.repartition(*scope).sortWithinPartitions(*scope, *inside).mapInArrow(pick, cands.schema)
 
 
@@ -142,12 +154,33 @@ def unmatched(side: DataFrame, matches: DataFrame, name: str) -> DataFrame:
     return side.join(matches.select(F.col(f"{name}_finding_id").alias("finding_id")), "finding_id", "left_anti")
 
 
-def best_unmatched(side: DataFrame, cands: DataFrame, matches: DataFrame, name: str, top: int = 3) -> DataFrame:
-    """Of each unmatched finding the ``top`` best counterparts that are unmatched too."""
-    other = "gold" if name == "pred" else "pred"
-    free = cands.join(matches.select(f"{name}_finding_id"), f"{name}_finding_id", "left_anti").join(matches.select(f"{other}_finding_id"), f"{other}_finding_id", "left_anti")
-    w = Window.partitionBy(f"{name}_finding_id").orderBy(F.col("span_score").desc(), f"{other}_finding_id")
-    return free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(f"{name}_finding_id", f"{other}_finding_id", "span_score", "rank")
+def best_counterparts(side: DataFrame, other: DataFrame, top: int = 3, scope: Sequence[str] = CASE) -> DataFrame:
+    """``(finding_id, rank, other_finding_id, span_score, same_subclass, same_main_class, same_change_type, same_severity)``:
+    of each finding of ``side`` the ``top`` best of ``other`` in its scope, however low their score; ties by id.
+
+    Blocks meet as in ``candidates``; of each pair of blocks only the best ``top`` go on."""
+    met = _blocks(side, "side", scope).join(_blocks(other, "other", scope), list(scope)).repartition(*scope, "_side_block", "_other_block")
+    same = ("subclass", "main_class", "change_type", "severity")
+    schema = "finding_id string, other_finding_id string, raw double, " + ", ".join(f"same_{c} boolean" for c in same)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                one, two = b.column("side")[r].values, b.column("other")[r].values
+                ids, others = (np.array(x.field("finding_id").to_pylist(), dtype=object) for x in (one, two))
+                raw = block_scores(one.field("span").to_pylist(), two.field("span").to_pylist())
+                order = np.argsort(others, kind="stable")
+                pick = order[np.argsort(-np.round(raw[:, order], 6), axis=1, kind="stable")[:, :top]]
+                i, j = np.repeat(np.arange(len(ids)), pick.shape[1]), pick.ravel()
+                cols = [pa.array(ids[i], pa.string()), pa.array(others[j], pa.string()), pa.array(raw[i, j])]
+                for c in same:
+                    x, y = (np.array(z.field(c).to_pylist(), dtype=object) for z in (one, two))
+                    cols.append(pa.array(x[i] == y[j], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names=["finding_id", "other_finding_id", "raw", *[f"same_{c}" for c in same]])
+
+    found = met.select("side", "other").mapInArrow(score, schema).withColumn("span_score", F.round("raw", 6)).drop("raw")
+    w = Window.partitionBy("finding_id").orderBy(F.col("span_score").desc(), "other_finding_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -178,9 +211,44 @@ def summary(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     return out.select("tp", "fp", "fn", "precision", "recall", "f1", *[f"{c}_accuracy" for c in ("subclass", "change_type", "severity", "correction")])
 
 
-def confusion(matches: DataFrame) -> DataFrame:
-    """How often a gold class met each predicted class."""
+def confusion(matches: DataFrame, gold: DataFrame, pred: DataFrame, best: DataFrame) -> DataFrame:
+    """``(kind, gold_class, pred_class, n)``: how often a gold class met each predicted class, in pairs that were matched
+    and (``unmatched``) with the best counterpart, ``best(finding_id, other_finding_id)``, of findings left over."""
     cls = lambda c: F.coalesce(F.col(c), F.lit("UNKNOWN"))
-    return matches.groupBy(cls("gold_subclass").alias("gold_class"), cls("pred_subclass").alias("pred_class")).agg(F.count("*").alias("n"))
-
-
+    pairs = matches.select(F.lit("matched").alias("kind"), cls("gold_subclass").alias("gold_class"), cls("pred_subclass").alias("pred_class"))
+    g = gold.select("finding_id", cls("subclass").alias("gold_class"))
+    p = pred.select(F.col("finding_id").alias("other_finding_id"), cls("subclass").alias("pred_class"))
+    left = best.join(g, "finding_id").join(p, "other_finding_id").select(F.lit("unmatched").alias("kind"), "gold_class", "pred_class")
+    return pairs.unionByName(left).groupBy("kind", "gold_class", "pred_class").agg(F.count("*").alias("n"))
+
+
+def consensus(spans: DataFrame, models: Sequence[str], threshold: float = 0.5, scope: Sequence[str] = CASE) -> DataFrame:
+    """``(finding_id, models_agreed)``: findings of the first model to which each other model has one in the same scope
+    whose token sets are similar enough. ``spans(model, finding_id, span_text)`` and the scope; partners may be used again,
+    empty spans agree with none.
+
+    Candidates share one of the tokens, from rare to frequent, that any partner must share; nothing pairs all."""
+    from prufspark.functions.similarity import jaccard
+    from prufspark.functions.text import simple_tokens
+
+    base, *others = models
+    rows = spans.select(*scope, "model", "finding_id", simple_tokens(simplify(F.coalesce("span_text", F.lit("")))).alias("toks")).where(F.size("toks") > 0)
+    n = F.size("toks")
+    exploded = rows.select(*scope, "model", "finding_id", "toks", F.explode("toks").alias("tok"))
+    rare = exploded.groupBy(*scope, "tok").agg(F.count("*").alias("df"))
+    w = Window.partitionBy(*scope, "model", "finding_id").orderBy("df", "tok")
+    prefix = exploded.join(rare, [*scope, "tok"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n - F.ceil(threshold * n - 1e-9) + 1)
+    one = prefix.where(F.col("model") == base).select(*scope, "tok", "finding_id", F.col("toks").alias("a"))
+    two = prefix.where(F.col("model").isin(others)).select(*scope, "tok", "model", F.col("toks").alias("b"))
+    agreed = one.join(two, [*scope, "tok"]).where(jaccard(F.col("a"), F.col("b")) >= threshold - 1e-12).select("finding_id", "model").distinct()
+    full = agreed.groupBy("finding_id").agg(F.count("*").alias("n")).where(F.col("n") == len(others))
+    return full.select("finding_id", F.lit(" | ".join(models)).alias("models_agreed"))
+
+
+def wide_matches(matches: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """One row per matched pair with the fields of both findings and what agrees."""
+    fields = ("main_class", "subclass", "change_type", "severity", "span_text")
+    kept = matches.select("gold_finding_id", "pred_finding_id", "span_score", "score", *[f"{c}_match" for c in ("subclass", "change_type", "severity", "correction")])
+    for name, side in (("gold", gold), ("pred", pred)):
+        kept = kept.join(side.select(F.col("finding_id").alias(f"{name}_finding_id"), *[F.col(c).alias(f"{name}_{c}") for c in fields]), f"{name}_finding_id")
+    return kept

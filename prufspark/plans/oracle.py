@@ -53,7 +53,7 @@ def _flat(table: str, field: str, name: str) -> str:
     return f"""{name}_raw AS (SELECT case_id, segment_id, unnest(range(len({field}))) AS pos, unnest({field}) AS f FROM {table} WHERE len({field}) > 0),
 {name}_flat AS (SELECT case_id, segment_id, pos, f.finding_id AS finding_id, f.subclass_id AS subclass_id, f.change_type_id AS change_type_id, f.severity_id AS severity_id,
   f.span_text AS span_text, f.correction AS correction, f.rationale AS rationale, f.source AS source, f.source_refs AS source_refs, f.agent_scope AS agent_scope
-  FROM {name}_raw QUALIFY row_number() OVER (PARTITION BY f.finding_id ORDER BY case_id, segment_id, pos) = 1)"""
+  FROM {name}_raw QUALIFY row_number() OVER (PARTITION BY coalesce('i' || f.finding_id, concat_ws('|', 'p', case_id, segment_id, pos)) ORDER BY case_id, segment_id, pos) = 1)"""
 
 
 TAX = f"""mc AS (SELECT unnest(main_classes) AS m FROM taxonomy), sub AS (SELECT m.id AS main_id, m.label AS main_label, unnest(m.subclasses) AS s FROM mc),
@@ -83,20 +83,32 @@ def _features(name: str) -> str:
 SCORE = f"""CASE WHEN g.s = p.s THEN 1.0 WHEN g.s = '' OR p.s = '' THEN 0.0 WHEN contains(g.s, p.s) OR contains(p.s, g.s) THEN 0.95
   WHEN length(g.s) < 12 OR length(p.s) < 12 OR (len(g.t) <= 2 AND len(p.t) <= 2) THEN greatest(0.5 * ({_jaccard('g.t', 'p.t')}), {_dice('g.b', 'p.b')})
   ELSE greatest({_jaccard('g.t', 'p.t')}, {_dice('g.b', 'p.b')}) END"""
-MATCH = f"""WITH RECURSIVE {GOLD}, {PRED}, {_features('g')}, {_features('p')},
-scored AS (SELECT case_id, segment_id, g.finding_id AS gid, p.finding_id AS pid, round(({SCORE})::DOUBLE, 6) AS span_score, coalesce(g.subclass = p.subclass, false) AS sm, coalesce(g.change_type = p.change_type, false) AS cm,
+SCORED = f"""{GOLD}, {PRED}, {_features('g')}, {_features('p')},
+scored AS (SELECT case_id, g.finding_id AS gid, p.finding_id AS pid, round(({SCORE})::DOUBLE, 6) AS span_score, coalesce(g.subclass = p.subclass, false) AS sm, coalesce(g.change_type = p.change_type, false) AS cm,
   coalesce(g.severity = p.severity, false) AS vm, CASE WHEN g.corr = '' AND p.corr = '' THEN NULL ELSE g.corr = p.corr END AS om, g.subclass AS gsub, p.subclass AS psub, g.main_class AS gmain, p.main_class AS pmain
-  FROM g_f g JOIN p_f p USING (case_id, segment_id)),
-cand AS (SELECT *, round(100 + 100 * span_score + 0.5 * sm::INT + 0.2 * cm::INT + 0.1 * vm::INT, 6) AS score FROM scored WHERE span_score >= 0.2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id, segment_id ORDER BY span_score DESC, score DESC, gid, pid) AS rn FROM cand),
-fold AS (SELECT case_id, segment_id, 0::BIGINT AS rn, []::VARCHAR[] AS gs, []::VARCHAR[] AS ps FROM (SELECT DISTINCT case_id, segment_id FROM cand)
-  UNION ALL SELECT f.case_id, f.segment_id, r.rn, CASE WHEN list_contains(f.gs, r.gid) OR list_contains(f.ps, r.pid) THEN f.gs ELSE list_append(f.gs, r.gid) END,
+  FROM g_f g JOIN p_f p USING (case_id))"""
+
+
+def _greedy(cand: str, order: str) -> str:
+    """Pairs in order, each taken when both ends are free."""
+    return f"""WITH RECURSIVE {SCORED}, cand AS ({cand}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {order}, gid, pid) AS rn FROM cand),
+fold AS (SELECT case_id, 0::BIGINT AS rn, []::VARCHAR[] AS gs, []::VARCHAR[] AS ps FROM (SELECT DISTINCT case_id FROM cand)
+  UNION ALL SELECT f.case_id, r.rn, CASE WHEN list_contains(f.gs, r.gid) OR list_contains(f.ps, r.pid) THEN f.gs ELSE list_append(f.gs, r.gid) END,
   CASE WHEN list_contains(f.gs, r.gid) OR list_contains(f.ps, r.pid) THEN f.ps ELSE list_append(f.ps, r.pid) END
-  FROM fold f JOIN ranked r ON r.case_id = f.case_id AND r.segment_id = f.segment_id AND r.rn = f.rn + 1),
-last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY case_id, segment_id ORDER BY rn DESC) = 1),
+  FROM fold f JOIN ranked r ON r.case_id = f.case_id AND r.rn = f.rn + 1),
+last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY rn DESC) = 1),
 pairs AS (SELECT unnest(gs) AS gid, unnest(ps) AS pid FROM last), m AS (SELECT cand.* FROM cand JOIN pairs USING (gid, pid))"""
 
 
+CAND = "SELECT *, round(100 + 100 * span_score + 0.5 * sm::INT + 0.2 * cm::INT + 0.1 * vm::INT, 6) AS score FROM scored WHERE span_score >= 0.2"
+MATCH = _greedy(CAND, "span_score DESC, score DESC")
+STRICT = _greedy("SELECT *, round(100 + 20 * span_score + 5 * cm::INT + 2 * vm::INT + coalesce(om, false)::INT, 6) AS score FROM scored WHERE span_score >= 0.2 AND sm", "score DESC, span_score DESC, cm DESC, vm DESC")
+# Findings left over, and their counterparts from the best on.
+LEFT = f"""{MATCH}, u AS (SELECT s.*, pg.change_type AS pc, gg.change_type AS gc, pg.severity AS pv, gg.severity AS gv FROM scored s JOIN p pg ON pg.finding_id = s.pid JOIN g gg ON gg.finding_id = s.gid
+  WHERE pid NOT IN (SELECT pid FROM m) AND gid NOT IN (SELECT gid FROM m))"""
+
+
 def _metrics(level: str, g: str, p: str) -> str:
     return f"""{MATCH}, n AS (SELECT coalesce({level}, 'UNKNOWN') AS class, 1 AS g, 0 AS p, 0 AS t FROM g UNION ALL SELECT coalesce({level}, 'UNKNOWN'), 0, 1, 0 FROM p
   UNION ALL SELECT coalesce({g}, 'UNKNOWN'), 0, 0, 1 FROM m WHERE coalesce({g}, 'UNKNOWN') = coalesce({p}, 'UNKNOWN')),
@@ -163,25 +175,26 @@ SELECT id, section::BIGINT AS section, max(CASE WHEN h THEN line END) AS title,
     out["id_validate"] = f"WITH {GOLD}, {PRED}, a AS (SELECT 'gold' AS side, * FROM g UNION ALL SELECT 'pred', * FROM p) SELECT side, count(*) AS n, {bad.format('subclass')}, {bad.format('change_type')}, {bad.format('severity')} FROM a GROUP BY side"
     out["duplicate_segments"] = "SELECT case_id, segment_id, count(*) AS n FROM gold GROUP BY ALL HAVING count(*) > 1"
     span = f"substr(lower({_squeeze(chr(99) + 'oalesce(span_text, ' + chr(39) * 2 + ')')}), 1, 120)"
-    out["two_stage_dedup"] = f"""WITH {PRED_FLAT}, a AS (SELECT *, {span} AS sp FROM p_flat QUALIFY row_number() OVER (PARTITION BY array_to_string(list_sort(coalesce(source_refs, [])), '|'), substr(coalesce(rationale, ''), 1, 80) ORDER BY finding_id) = 1)
-SELECT finding_id FROM a QUALIFY row_number() OVER (PARTITION BY sp, CASE WHEN sp = '' THEN finding_id END ORDER BY finding_id) = 1"""
+    out["two_stage_dedup"] = f"""WITH {PRED_FLAT}, a AS (SELECT *, {span} AS sp FROM p_flat QUALIFY row_number() OVER (PARTITION BY case_id, array_to_string(list_sort(coalesce(source_refs, [])), '|'), substr(coalesce(rationale, ''), 1, 80) ORDER BY segment_id, pos, finding_id) = 1)
+SELECT finding_id FROM a QUALIFY row_number() OVER (PARTITION BY case_id, sp, CASE WHEN sp = '' THEN finding_id END ORDER BY segment_id, pos, finding_id) = 1"""
     low = lambda c: f"lower(coalesce(trim({c}), ''))"
-    out["language_dedup"] = f"WITH {PRED_FLAT} SELECT finding_id FROM p_flat QUALIFY row_number() OVER (PARTITION BY {low('span_text')}, {low('correction')}, {low('subclass_id')} ORDER BY finding_id) = 1"
+    out["language_dedup"] = f"WITH {PRED_FLAT} SELECT finding_id FROM p_flat QUALIFY row_number() OVER (PARTITION BY case_id, {low('span_text')}, {low('correction')}, {low('subclass_id')} ORDER BY segment_id, pos, finding_id) = 1"
     out["exact_dedup"] = f"WITH {CHUNKS} SELECT min(id) AS kept, count(*) AS n FROM c GROUP BY {_squeeze('text')} HAVING count(*) > 1"
     near = f"{_jaccard('x', 'r.t')} >= 0.85 - 1e-12"
-    out["fuzzy_dedup_leader"] = f"""WITH RECURSIVE {PRED_FLAT}, x AS (SELECT finding_id, subclass_id, {span} AS sp FROM p_flat), free AS (SELECT finding_id FROM x WHERE sp = '' OR subclass_id IS NULL OR trim(subclass_id) = ''),
-o AS (SELECT finding_id, subclass_id, list_sort(list_distinct(string_split(sp, ' '))) AS t, row_number() OVER (PARTITION BY subclass_id ORDER BY finding_id) AS n FROM x WHERE NOT (sp = '' OR subclass_id IS NULL OR trim(subclass_id) = '')),
-f AS (SELECT subclass_id, 0::BIGINT AS n, []::VARCHAR[][] AS kept, []::VARCHAR[] AS ids FROM (SELECT DISTINCT subclass_id FROM o)
- UNION ALL SELECT r.subclass_id, r.n, CASE WHEN len(list_filter(f.kept, lambda x: {near})) > 0 THEN f.kept ELSE list_append(f.kept, r.t) END, CASE WHEN len(list_filter(f.kept, lambda x: {near})) > 0 THEN f.ids ELSE list_append(f.ids, r.finding_id) END
- FROM f JOIN o r ON r.subclass_id = f.subclass_id AND r.n = f.n + 1),
-l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY subclass_id ORDER BY n DESC) = 1) SELECT unnest(ids) AS finding_id FROM l UNION ALL SELECT finding_id FROM free"""
-    out["token_jaccard_pairs"] = f"""WITH {_flat('gold', 'gold_findings', 'g')}, x AS (SELECT finding_id, case_id, {_tokens(_simplify('span_text'))} AS t FROM g_flat WHERE span_text IS NOT NULL)
-SELECT a.finding_id AS id_a, b.finding_id AS id_b FROM x a JOIN x b ON a.case_id = b.case_id AND a.finding_id < b.finding_id AND len(a.t) > 0 AND len(b.t) > 0 WHERE {_jaccard('a.t', 'b.t')} >= 0.6 - 1e-12"""
+    out["fuzzy_dedup_leader"] = f"""WITH RECURSIVE {PRED_FLAT}, x AS (SELECT finding_id, case_id, segment_id, pos, subclass_id, {span} AS sp FROM p_flat), free AS (SELECT finding_id FROM x WHERE sp = '' OR subclass_id IS NULL OR trim(subclass_id) = ''),
+o AS (SELECT finding_id, case_id, subclass_id, list_sort(list_distinct(string_split(sp, ' '))) AS t, row_number() OVER (PARTITION BY case_id, subclass_id ORDER BY segment_id, pos, finding_id) AS n FROM x WHERE NOT (sp = '' OR subclass_id IS NULL OR trim(subclass_id) = '')),
+f AS (SELECT case_id, subclass_id, 0::BIGINT AS n, []::VARCHAR[][] AS kept, []::VARCHAR[] AS ids FROM (SELECT DISTINCT case_id, subclass_id FROM o)
+ UNION ALL SELECT r.case_id, r.subclass_id, r.n, CASE WHEN len(list_filter(f.kept, lambda x: {near})) > 0 THEN f.kept ELSE list_append(f.kept, r.t) END, CASE WHEN len(list_filter(f.kept, lambda x: {near})) > 0 THEN f.ids ELSE list_append(f.ids, r.finding_id) END
+ FROM f JOIN o r ON r.case_id = f.case_id AND r.subclass_id = f.subclass_id AND r.n = f.n + 1),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY case_id, subclass_id ORDER BY n DESC) = 1) SELECT unnest(ids) AS finding_id FROM l UNION ALL SELECT finding_id FROM free"""
+    out["token_jaccard_pairs"] = f"""WITH {_flat('gold', 'gold_findings', 'g')}, x AS (SELECT finding_id, {_tokens(_simplify('span_text'))} AS t FROM g_flat WHERE span_text IS NOT NULL)
+SELECT a.finding_id AS id_a, b.finding_id AS id_b FROM x a JOIN x b ON a.finding_id < b.finding_id AND len(a.t) > 0 AND len(b.t) > 0 WHERE {_jaccard('a.t', 'b.t')} >= 0.6 - 1e-12"""
     out["save_numbering"] = f"WITH {GOLD}, {PRED} SELECT finding_id, 'PRED-' || case_id || '-' || lpad(row_number() OVER (PARTITION BY case_id ORDER BY segment_id, pos, finding_id)::VARCHAR, 4, '0') AS new_id FROM p WHERE subclass IS NOT NULL"
-    facts = " UNION ALL ".join(f"SELECT case_id, facts.{k} AS f FROM reference_facts" for k in ("vorfall", "auftraggeber", "ort"))
-    out["protected_span_filter"] = f"""WITH {PRED_FLAT}, f AS ({facts}), sp AS (SELECT DISTINCT case_id, {_simplify('f.source_span')} AS b FROM f WHERE lower(f.confidence) IN ('high', 'medium') AND trim(f.source_span) <> ''),
-pt AS (SELECT case_id, finding_id, {_simplify('span_text')} AS a FROM p_flat WHERE span_text IS NOT NULL), x AS (SELECT finding_id, a, b, {_tokens('a')} AS ta, {_tokens('b')} AS tb FROM pt JOIN sp USING (case_id))
-SELECT DISTINCT finding_id FROM x WHERE len(tb) >= 2 AND len(ta) >= 2 AND (a = b OR contains(a, b) OR contains(b, a) OR len(list_intersect(ta, tb))::DOUBLE / len(ta) >= 0.8)"""
+    facts = " UNION ALL ".join(f"SELECT case_id, facts.{k}.source_span AS span, facts.{k}.confidence AS c FROM reference_facts" for k in FACT_KEYS)
+    facts += " UNION ALL " + " UNION ALL ".join(f"SELECT case_id, e.source_span, e.confidence FROM (SELECT case_id, unnest(facts.{k}) AS e FROM reference_facts)" for k in ("personen", "referenz_entitaeten"))
+    out["protected_span_filter"] = f"""WITH {PRED_FLAT}, f AS ({facts}), sp AS (SELECT DISTINCT case_id, {_simplify('span')} AS b FROM f WHERE lower(trim(c)) IN ('high', 'medium') AND trim(span) <> ''),
+x AS (SELECT finding_id, {_simplify('span_text')} AS a, b FROM p_flat JOIN sp USING (case_id) WHERE span_text IS NOT NULL), y AS (SELECT *, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM x)
+SELECT DISTINCT finding_id FROM y WHERE len(tb) >= 2 AND len(ta) >= 2 AND (contains(a, b) OR contains(b, a) OR len(list_filter(ta, lambda w: list_contains(tb, w)))::DOUBLE / len(ta) >= 0.8)"""
     long = " UNION ALL ".join(f"SELECT file_name, case_id, '{k}' AS key, trim(facts.{k}.value) AS value, lower(trim(facts.{k}.confidence)) AS c FROM reference_facts" for k in FACT_KEYS)
     out["facts_long"] = f"WITH f AS ({long}) SELECT DISTINCT file_name, case_id, key, value, CASE WHEN c IN ('high', 'medium', 'low') THEN c ELSE 'low' END AS confidence FROM f WHERE value <> ''"
     out["span_scores"] = f"{MATCH} SELECT gid AS gold_finding_id, pid AS pred_finding_id, span_score, score, coalesce(om::VARCHAR, 'none') AS correction_match FROM cand"
@@ -192,9 +205,18 @@ SELECT DISTINCT finding_id FROM x WHERE len(tb) >= 2 AND len(ta) >= 2 AND (a = b
     out["micro_summary"] = f"""{MATCH}, k AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng)
 SELECT tp, np - tp AS fp, ng - tp AS fn, round(CASE WHEN np = 0 THEN 0 ELSE tp / np END, 6)::DOUBLE AS precision, round(CASE WHEN ng = 0 THEN 0 ELSE tp / ng END, 6)::DOUBLE AS recall, round(CASE WHEN np + ng = 0 THEN 0 ELSE 2.0 * tp / (np + ng) END, 6)::DOUBLE AS f1,
 {acc('sm')} AS subclass_accuracy, {acc('cm')} AS change_type_accuracy, {acc('vm')} AS severity_accuracy, {acc('om')} AS correction_accuracy FROM k"""
-    out["confusion"] = f"{MATCH} SELECT coalesce(gsub, 'UNKNOWN') AS gold_class, coalesce(psub, 'UNKNOWN') AS pred_class, count(*) AS n FROM m GROUP BY ALL"
-    out["best_unmatched"] = f"""{MATCH} SELECT pid AS pred_finding_id, gid AS gold_finding_id, span_score, row_number() OVER (PARTITION BY pid ORDER BY span_score DESC, gid) AS rank
-FROM cand WHERE pid NOT IN (SELECT pid FROM m) AND gid NOT IN (SELECT gid FROM m) QUALIFY rank <= 3"""
+    out["confusion"] = f"""{LEFT}, b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY gid ORDER BY span_score DESC, pid) = 1),
+x AS (SELECT 'matched' AS kind, gsub, psub FROM m UNION ALL SELECT 'unmatched', gsub, psub FROM b) SELECT kind, coalesce(gsub, 'UNKNOWN') AS gold_class, coalesce(psub, 'UNKNOWN') AS pred_class, count(*) AS n FROM x GROUP BY ALL"""
+    same = lambda a, b, n: f"({a} IS NOT DISTINCT FROM {b}) AS same_{n}"
+    out["best_unmatched"] = f"""{LEFT} SELECT pid AS pred_finding_id, gid AS gold_finding_id, span_score, row_number() OVER (PARTITION BY pid ORDER BY span_score DESC, gid) AS rank,
+{same('gsub', 'psub', 'subclass')}, {same('gmain', 'pmain', 'main_class')}, {same('gc', 'pc', 'change_type')}, {same('gv', 'pv', 'severity')} FROM u QUALIFY rank <= 3"""
+    out["strict_match"] = f"{STRICT} SELECT gid AS gold_finding_id, pid AS pred_finding_id, span_score, score FROM m"
+    fields = ", ".join(f"{t}.{c} AS {n}_{c}" for t, n in (("g", "gold"), ("p", "pred")) for c in ("main_class", "subclass", "change_type", "severity", "span_text"))
+    out["match_rows"] = f"""{MATCH} SELECT gid AS gold_finding_id, pid AS pred_finding_id, span_score, score, sm AS subclass_match, cm AS change_type_match, vm AS severity_match, coalesce(om::VARCHAR, 'none') AS correction_match, {fields}
+FROM m JOIN g ON g.finding_id = gid JOIN p ON p.finding_id = pid"""
+    out["consensus_fp"] = f"""WITH {PRED_FLAT}, x AS (SELECT case_id, agent_scope AS a, finding_id, {_tokens(_simplify('span_text'))} AS t FROM p_flat WHERE span_text IS NOT NULL),
+k AS (SELECT DISTINCT b.finding_id, o.a FROM x b JOIN x o USING (case_id) WHERE b.a = 'agent_2' AND o.a IN ('agent_4', 'agent_5') AND len(b.t) > 0 AND len(o.t) > 0 AND {_jaccard('b.t', 'o.t')} >= 0.1 - 1e-12)
+SELECT finding_id, 'agent_2 | agent_4 | agent_5' AS models_agreed FROM k GROUP BY finding_id HAVING count(*) = 2"""
     out["fp_by_agent"] = f"""{MATCH}, f AS (SELECT coalesce(agent_scope, 'none') AS a, coalesce(severity, 'none') AS s FROM p WHERE finding_id NOT IN (SELECT pid FROM m))
 SELECT coalesce(a, '(all)') AS agent, coalesce(s, '(all)') AS severity_level, count(*) AS n FROM f GROUP BY CUBE (a, s)"""
     out["proposal_counts"] = f"""WITH {GOLD}, f AS (SELECT coalesce(subclass, 'UNKNOWN') AS s, coalesce(change_type, 'UNKNOWN') AS c, source FROM g WHERE source IN ('manual', 'injected'))
@@ -203,7 +225,7 @@ SELECT coalesce(s, '(all)') AS subclass, coalesce(c, '(all)') AS change_type, co
     out["topk_filtered"] = f"{_topk('label < 5', 8)} SELECT query_id, rank, id, score FROM r"
     out["topk_postfiltered"] = f"{_topk('true', 40)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, id, score FROM r WHERE label < 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8"
     rec = ", ".join(f"round(avg(coalesce((first <= {k})::INT, 0)), 6)::DOUBLE AS recall_{k}" for k in (1, 3, 5, 10))
-    out["recall_mrr"] = f"""{_topk('true', 12)}, x AS (SELECT r.query_id, rank - 1 AS rank, r.label = w.label AS ok FROM r JOIN e w ON w.id = r.query_id WHERE r.id <> r.query_id),
+    out["recall_mrr"] = f"""{_topk('true', 12)}, x AS (SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS rank, r.label = w.label AS ok FROM r JOIN e w ON w.id = r.query_id WHERE r.id <> r.query_id),
 f AS (SELECT query_id, min(CASE WHEN ok THEN rank END) AS first FROM x GROUP BY query_id) SELECT count(*) AS n_queries, {rec}, round(avg(coalesce(1.0 / first, 0.0)), 6)::DOUBLE AS mrr FROM f"""
     out["rank_histogram"] = "SELECT rank::BIGINT AS rank, count(*) AS n FROM (SELECT DISTINCT query_id, id, rank FROM retrieved WHERE query_id IS NOT NULL AND id IS NOT NULL) GROUP BY rank"
     out["multi_query_merge"] = f"WITH {HITS} SELECT query_id, rank, id, score FROM mh"
@@ -244,7 +266,14 @@ SELECT id, c AS claimed, r AS right FROM y WHERE c <> r AND c <> 0 AND r <= 100
     out["statement_candidates"] = f"WITH {docs}, k AS (SELECT id, n::BIGINT AS n, CASE {kinds} END AS kind FROM s) SELECT * FROM k WHERE kind IS NOT NULL"
     ab = " UNION ALL ".join("SELECT id, '{0}' AS wrong, '{1}' AS right, len(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}]){2}(?:$|[^\\p{{L}}\\p{{N}}])'))::BIGINT AS n FROM t".format(w, r, w.replace(".", "\\.")) for w, r in detectors.ABBREVIATIONS)
     out["abbreviations"] = f"WITH {ROWS}, a AS ({ab}) SELECT * FROM a WHERE n > 0"
-    out["name_consistency"] = f"""WITH {CASE_WORDS}, p AS (SELECT case_id, unnest(facts.personen) AS p FROM reference_facts), nm AS (SELECT DISTINCT case_id, name FROM (SELECT case_id, unnest(string_split(p.name, ' ')) AS name FROM p) WHERE regexp_matches(name, '^[A-Za-z]{{5,}}$')),
-w AS (SELECT DISTINCT case_id, word FROM cw WHERE regexp_matches(word, '^[A-Za-z]{{4,}}$'))
-SELECT case_id, word, name FROM w JOIN nm USING (case_id) WHERE abs(length(word) - length(name)) <= 2 AND levenshtein(lower(word), lower(name)) BETWEEN 1 AND 3 AND NOT EXISTS (SELECT 1 FROM nm x WHERE x.case_id = w.case_id AND x.name = w.word)"""
+    # This engine counts bytes: letters with marks are written as one byte, which no word holds otherwise.
+    marked = "äöüéèêëàâáåãçñîïíìôóòõøûúùýßасеорухіѕјһԁԛԝӏүανικουχγρ"
+    plain = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "!#$%&()*+,./:;<=>?@[]^_`{|}~")[: len(marked)]
+    low = lambda c: f"translate(lower({c}), '{marked}', '{plain}')"
+    single = " UNION ALL ".join(f"SELECT case_id, string_split(facts.{k}.value, ',')[1] AS name FROM reference_facts WHERE lower(trim(facts.{k}.confidence)) IN ('high', 'medium')" for k in ("sachverstaendige_person", "beschuldigte_person", "hauptsachbearbeitung"))
+    runs = " UNION ALL ".join(f"SELECT case_id, unnest(regexp_extract_all(text, '{rx}')) AS word FROM ct" for rx in ("[A-Za-zÄÖÜäöüß]{4,}", "\\p{L}{4,}", "\\p{L}+(?:-\\p{L}+)+"))
+    out["name_consistency"] = f"""WITH ct AS (SELECT DISTINCT id, metadata.case_id AS case_id, text FROM chunks WHERE metadata.case_id IS NOT NULL AND text IS NOT NULL), w AS (SELECT DISTINCT case_id, word FROM ({runs})),
+nn AS (SELECT case_id, p.name AS name FROM (SELECT case_id, unnest(facts.personen) AS p FROM reference_facts) UNION ALL {single}),
+nm AS (SELECT DISTINCT case_id, name FROM (SELECT case_id, unnest(string_split({_squeeze('name')}, ' ')) AS name FROM nn) WHERE length(name) >= 4)
+SELECT case_id, word, name FROM w JOIN nm USING (case_id) WHERE abs(length(word) - length(name)) <= 2 AND levenshtein({low('word')}, {low('name')}) BETWEEN 1 AND 3 AND NOT EXISTS (SELECT 1 FROM nm x WHERE x.case_id = w.case_id AND x.name = w.word)"""
     return out

@@ -234,15 +234,42 @@ def micro_summary(spark: SparkSession, d: str) -> DataFrame:
     return matching.summary(g, p, m)
 
 
+def _left_over(g: DataFrame, p: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return cut(matching.unmatched(g, m, "gold")), cut(matching.unmatched(p, m, "pred"))
+
+
 @query
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    return matching.confusion(_matched(spark, d)[3])
+    g, p, _, m = _matched(spark, d)
+    ug, up = _left_over(g, p, m)
+    return matching.confusion(m, ug, up, matching.best_counterparts(ug, up, 1))
 
 
 @query
 def best_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    _, p, c, m = _matched(spark, d)
-    return _long(matching.best_unmatched(p, c, m, "pred"))
+    g, p, _, m = _matched(spark, d)
+    ug, up = _left_over(g, p, m)
+    return _long(matching.best_counterparts(up, ug).withColumnsRenamed({"finding_id": "pred_finding_id", "other_finding_id": "gold_finding_id"}))
+
+
+@query
+def strict_match(spark: SparkSession, d: str) -> DataFrame:
+    c = cut(matching.strict_candidates(matching.candidates(_gold(spark, d), _pred(spark, d), scope=matching.CASE)))
+    return matching.greedy_match(c, matching.CASE, matching.SCORE_FIRST).select("gold_finding_id", "pred_finding_id", "span_score", "score")
+
+
+@query
+def match_rows(spark: SparkSession, d: str) -> DataFrame:
+    g, p, _, m = _matched(spark, d)
+    out = matching.wide_matches(m.drop("gold_subclass", "pred_subclass", "gold_main_class", "pred_main_class"), g, p)
+    return out.withColumn("correction_match", F.coalesce(F.col("correction_match").cast("string"), F.lit("none")))
+
+
+@query
+def consensus_fp(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted findings of agent_2 that agents 4 and 5 have too in the same case."""
+    p = findings.flatten(table(spark, d, "predictions"), "predicted_findings").select("case_id", F.col("agent_scope").alias("model"), "finding_id", "span_text")
+    return matching.consensus(p, ["agent_2", "agent_4", "agent_5"], 0.1)
 
 
 @query
@@ -294,9 +321,11 @@ def topk_postfiltered(spark: SparkSession, d: str) -> DataFrame:
 @query
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
-    hits = retrieval.topk_cosine(_twentieth(e), e, 12).where("id <> query_id")
+    # One more than is looked at, as a vector may be among its own hits.
+    w = Window.partitionBy("query_id").orderBy("rank")
+    hits = retrieval.topk_cosine(_twentieth(e), e, 12).where("id <> query_id").withColumn("rank", F.row_number().over(w))
     own = e.select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
-    hits = hits.withColumn("rank", F.col("rank") - 1).join(e.select("id", "label"), "id").join(own, "query_id")
+    hits = hits.join(e.select("id", "label"), "id").join(own, "query_id")
     return retrieval.recall_and_mrr(hits, F.col("label") == F.col("wanted"))
 
 

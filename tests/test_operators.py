@@ -62,7 +62,7 @@ def test_leader_dedup_equals_the_one_by_one_rule(spark):
     data = [(f"f{i:03d}", rng.choice(["A", "B", None]), " ".join(rng.sample(words, rng.randint(4, 9))) if rng.random() > 0.1 else "") for i in range(120)]
     data += [(f"g{i}", "A", "immer der gleiche text hier") for i in range(40)]
     df = spark.createDataFrame(data, "finding_id string, subclass_id string, span_text string")
-    got = {r["finding_id"] for r in findings.dedup_leaders(df, 0.6).collect()}
+    got = {r["finding_id"] for r in findings.dedup_leaders(df, 0.6, scope=(), order=("finding_id",)).collect()}
     kept: dict = {}
     want = set()
     for i, sub, span in sorted(data):
