@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from prufspark.functions.text import STOP_WORDS
 from prufspark.operators import detectors
+from prufspark.plans.samples import sample_sql
 
 
 def _words(xs) -> str:
@@ -131,18 +132,24 @@ HITS = """h AS (SELECT query_id, id, max(score) AS score FROM retrieved WHERE qu
 mh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h)"""
 LAST_CHUNK = "lc AS (SELECT id, text, metadata FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY metadata.ingested_at_utc DESC) = 1)"
 CASE_WORDS = "cw AS (SELECT case_id, unnest(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]{4,}')) AS word FROM (SELECT DISTINCT id, metadata.case_id AS case_id, text FROM chunks WHERE metadata.case_id IS NOT NULL AND text IS NOT NULL))"
-MONTHS = "|".join(detectors.MONTHS)
+MONTH_WORDS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Mär Apr Jun Jul Aug Sept Sep Okt Nov Dez".split()
+MONTH_OF = {"Jan": 1, "Feb": 2, "Mär": 3, "Apr": 4, "Mai": 5, "Jun": 6, "Jul": 7, "Aug": 8, "Sep": 9, "Okt": 10, "Nov": 11, "Dez": 12}
+MENTIONS = f"list_concat(regexp_extract_all(text, '\\b(\\d{{1,2}}[./-]\\d{{1,2}}[./-]\\d{{4}})\\b', 1), regexp_extract_all(text, '\\b(\\d{{1,2}}\\. ?(?:{'|'.join(MONTH_WORDS)})\\.? \\d{{4}})\\b', 1))"
 
 
 def _day(x: str) -> str:
-    month = "CASE regexp_extract(%s, '^\\d{1,2}\\. (\\p{L}+) \\d{4}$', 1) " % x + " ".join(f"WHEN '{m}' THEN '{i + 1}'" for i, m in enumerate(detectors.MONTHS)) + " END"
-    return f"""coalesce(CASE WHEN regexp_matches({x}, '^\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}$') THEN try_strptime({x}, '%d.%m.%Y')::DATE END,
+    month = f"CASE substr(regexp_extract({x}, '(\\p{{L}}+)', 1), 1, 3) " + " ".join(f"WHEN '{m}' THEN '{i}'" for m, i in MONTH_OF.items()) + " END"
+    return f"""coalesce(CASE WHEN regexp_matches({x}, '^\\d{{1,2}}[./-]\\d{{1,2}}[./-]\\d{{4}}$') THEN try_strptime(regexp_replace({x}, '[/-]', '.', 'g'), '%d.%m.%Y')::DATE END,
   CASE WHEN regexp_matches({x}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_strptime({x}, '%Y-%m-%d')::DATE END,
-  CASE WHEN regexp_matches({x}, '^\\d{{1,2}}\\. \\p{{L}}+ \\d{{4}}$') THEN try_strptime(regexp_extract({x}, '^(\\d{{1,2}})\\.', 1) || '.' || ({month}) || '.' || right({x}, 4), '%d.%m.%Y')::DATE END)"""
+  CASE WHEN regexp_matches({x}, '^\\d{{1,2}}\\. ?\\p{{L}}+\\.? \\d{{4}}$') THEN try_strptime(regexp_extract({x}, '^(\\d{{1,2}})\\.', 1) || '.' || ({month}) || '.' || right({x}, 4), '%d.%m.%Y')::DATE END)"""
 
 
-DATES = f"""{ROWS}, d1 AS (SELECT id, unnest(list_concat(regexp_extract_all(text, '\\b(\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}})\\b', 1), regexp_extract_all(text, '\\b(\\d{{1,2}}\\. (?:{MONTHS}) \\d{{4}})\\b', 1))) AS mention FROM t),
-dm AS (SELECT DISTINCT id, mention, {_day('mention')} AS day FROM d1)"""
+def _dates(rows: str) -> str:
+    return f"{rows}, d1 AS (SELECT id, unnest({MENTIONS}) AS mention FROM t), dm AS (SELECT DISTINCT id, mention, {_day('mention')} AS day FROM d1)"
+
+
+DATES = _dates(ROWS)
+STOPS = """s AS (SELECT id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM (SELECT id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda z: trim(z)), lambda z: z <> '') AS ss FROM t))"""
 FACT_KEYS = ["auftraggeber", "gutachten_titel", "vorfall", "ereignisdatum", "beschuldigte_person", "ort", "sachverstaendige_person", "hauptsachbearbeitung"]
 
 
@@ -251,21 +258,51 @@ best AS (SELECT id, page_index::BIGINT AS page_index, c.reader AS reader, (c.cha
     out["json_alias_coalesce"] = f"SELECT coalesce({alias('key')}, {alias('name')}, {alias('k')}) AS key, count(*) AS n FROM events GROUP BY ALL"
     out["hourly_events"] = "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY ALL"
     out["date_mentions"] = f"WITH {DATES} SELECT id, mention, day FROM dm"
-    out["date_window"] = f"""WITH {DATES}, ev AS (SELECT case_id, min(day) AS event_day FROM (SELECT case_id, {_day('trim(facts.ereignisdatum.value)')} AS day FROM reference_facts) WHERE day IS NOT NULL GROUP BY case_id),
+    out["date_window"] = f"""WITH {DATES}, ev AS (SELECT case_id, min(day) AS event_day FROM (SELECT case_id, coalesce({_day('trim(facts.ereignisdatum.value)')}, {_day("m[1]")}) AS day FROM (SELECT *, {MENTIONS.replace("(text,", "(coalesce(facts.ereignisdatum.source_span, ''),")} AS m FROM reference_facts)) WHERE day IS NOT NULL GROUP BY case_id),
 cc AS (SELECT DISTINCT id, metadata.case_id AS case_id FROM chunks WHERE metadata.case_id IS NOT NULL) SELECT id, mention, day FROM dm JOIN cc USING (id) JOIN ev USING (case_id) WHERE day > event_day + INTERVAL 36 MONTH"""
-    units = "list_sort(list_distinct(list_filter(regexp_extract_all(s, '(\\d+(?:[.,]\\d+)?)\\s?(km/h|mm|cm|km|m/s|m|s)\\b', 2), lambda u: u IN ('mm', 'cm', 'm', 'km'))))"
-    out["unit_conflict"] = f"WITH {SENT}, u AS (SELECT id, n, s, {units} AS us FROM s WHERE NOT regexp_matches(s, '(?i){detectors.CONVERSIONS}')) SELECT id, n::BIGINT AS n, array_to_string(us, ',') AS units, substr(s, 1, 120) AS span FROM u WHERE len(us) >= 2"
-    out["time_difference"] = """WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS id, abs(l_orderkey % 997 - l_partkey % 499) AS r, CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS e FROM lineitem) SELECT id, (r + e)::DOUBLE AS said, r::DOUBLE AS right FROM x WHERE e = 1"""
-    out["calc_verify"] = """WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS id, round(l_extendedprice * 100)::BIGINT AS a, (100 - round(l_discount * 100))::BIGINT AS b FROM lineitem), y AS (SELECT id, a, a * b // 100 AS r, a * b // 100 + CASE WHEN a % 11 = 0 THEN 7 ELSE 0 END AS c FROM x)
-SELECT id, c AS claimed, r AS right FROM y WHERE c <> r AND c <> 0 AND r <= 100 * c AND c <= 100 * r"""
-    terms = " UNION ALL ".join(f"SELECT id, '{w}' AS term FROM t WHERE contains(lower(text), '{w.lower()}')" for w in detectors.FORBIDDEN)
-    out["forbidden_terms"] = f"WITH {ROWS} {terms}"
-    out["hedging"] = f"WITH {SENT} SELECT id, n::BIGINT AS n, length(s)::BIGINT AS n_chars FROM s WHERE length(s) > 20 AND regexp_matches(lower(s), '(^|[^a-zäöüß])({'|'.join(detectors.HEDGES)})($|[^a-zäöüß])')"
-    docs = f"d AS (SELECT doc_id, {_sentences(_squeeze('text'))} AS ss FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id AS id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM d)"
-    kinds = " ".join(f"WHEN regexp_matches(s, '{rx}') THEN '{k}'" for k, rx in detectors.STATEMENTS)
-    out["statement_candidates"] = f"WITH {docs}, k AS (SELECT id, n::BIGINT AS n, CASE {kinds} END AS kind FROM s) SELECT * FROM k WHERE kind IS NOT NULL"
-    ab = " UNION ALL ".join("SELECT id, '{0}' AS wrong, '{1}' AS right, len(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}]){2}(?:$|[^\\p{{L}}\\p{{N}}])'))::BIGINT AS n FROM t".format(w, r, w.replace(".", "\\.")) for w, r in detectors.ABBREVIATIONS)
-    out["abbreviations"] = f"WITH {ROWS}, a AS ({ab}) SELECT * FROM a WHERE n > 0"
+    dims = {"length": "mm cm dm m km", "time": "s ms sekunde sekunden minute minuten stunde stunden h", "mass": "g kg mg t", "freq": "hz khz mhz", "angle": "grad °", "concentration": "promille %", "data": "bit byte kb mb"}
+    alternatives = "|".join(sorted((u for us in dims.values() for u in us.split()), key=len, reverse=True))
+    dim = "CASE " + " ".join(f"WHEN u IN ({_words(us.split())}) THEN '{k}'" for k, us in dims.items()) + " END"
+
+    def units(rows: str) -> str:
+        return f"""WITH {rows}, {STOPS}, f AS (SELECT id, n, substr(s, 1, 120) AS span, list_transform(regexp_extract_all(s, '(?i)\\d(?:[.,]\\d+)?\\s*({alternatives})(?:$|[^\\p{{L}}\\p{{N}}/²³])', 1), lambda x: lower(x)) AS us FROM s
+ WHERE NOT regexp_matches(s, '(?i)entspricht|gleich|entsprechen|umgerechnet|ergibt|bzw\\.|d\\.h\\.|=\\s*\\d')), e AS (SELECT id, n, span, unnest(us) AS u, unnest(range(len(us))) AS pl FROM f),
+k AS (SELECT id, n, span, {dim} AS dimension, u, count(*) AS c, min(pl) AS pl FROM e GROUP BY ALL),
+g AS (SELECT id, n, span, dimension, list(u ORDER BY u) AS us, first(u ORDER BY c DESC, pl) AS most FROM k GROUP BY id, n, span, dimension HAVING count(*) >= 2)
+SELECT id, n::BIGINT AS n, dimension, array_to_string(us, ',') AS units, most AS majority, array_to_string(list_filter(us, lambda x: x <> most), ',') AS outliers, span FROM g"""
+
+    out["unit_conflict"], out["unit_conflict_samples"] = units(ROWS), units(sample_sql())
+    out["date_samples"] = f"WITH {_dates(sample_sql())} SELECT id, mention, day FROM dm"
+    out["time_difference"] = """WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS id, abs(l_orderkey % 997 - l_partkey % 499)::DOUBLE AS r, l_suppkey % 7 = 0 AS e, l_suppkey % 97 + 0.5 AS c, l_orderkey % 5 = 0 AS f FROM lineitem)
+SELECT id, 0::BIGINT AS n, r + 1 AS said, r AS right FROM x WHERE e UNION ALL SELECT id, 1, (c + 2)::DOUBLE, c::DOUBLE FROM x WHERE f"""
+    calc = "x AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS k, l_quantity::BIGINT AS q, l_linenumber::BIGINT AS l, (l_quantity::BIGINT * round(l_extendedprice * 100)::BIGINT) // 4 AS c FROM lineitem)"
+    money = lambda c: f"(({c})::DECIMAL(20, 0) / 100)::DECIMAL(20, 2)::VARCHAR"
+    out["calc_verify"] = f"""WITH {calc} SELECT id, 0::BIGINT AS n, {money('c + 700')} AS claimed, {money('c')} AS right FROM x WHERE k % 11 = 0 AND c + 700 <= 100 * c UNION ALL
+SELECT id, 1, (q - l + 1)::VARCHAR, (q - l)::VARCHAR FROM x WHERE k % 13 = 0 AND NOT (q - l + 1 <> 0 AND (abs(q - l) > 100 * abs(q - l + 1) OR 100 * abs(q - l) < abs(q - l + 1)))"""
+    out["calc_status"] = f"""WITH {calc}, y AS (SELECT 0 AS n, c AS v, c + CASE WHEN k % 11 = 0 THEN 700 ELSE 0 END AS said FROM x UNION ALL SELECT 1, q - l, q - l + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END FROM x)
+SELECT n::BIGINT AS n, CASE WHEN said <> 0 AND (abs(v) > 100 * abs(said) OR 100 * abs(v) < abs(said)) THEN 'implausible' WHEN v <> said THEN 'wrong' ELSE 'ok' END AS status, count(*) AS rows FROM y GROUP BY ALL"""
+    out["calc_candidates"] = f"WITH {calc} SELECT id, (q - l)::VARCHAR AS claimed, (q - l + 1)::VARCHAR AS wrong FROM x WHERE k % 13 <> 0"
+    out["number_forms"] = "SELECT l_orderkey || '-' || l_linenumber AS id, (round(l_extendedprice * 100) / 100)::DOUBLE AS value FROM lineitem"
+    banned = ["zweifelsfrei", "ohne Zweifel", "begründete Zweifel", "Restzweifel", "keine Zweifel mehr", "Zweifel säen", "Zweifel ausräumen", "räumt Zweifel aus", "bestehen keine Zweifel", "ist zweifelsfrei bewiesen"]
+    out["forbidden_terms"] = f"WITH {sample_sql()}, b AS (SELECT unnest([{_words(banned)}]) AS term) SELECT id, term FROM t, b WHERE contains(lower(text), lower(term))"
+    word = lambda ws: f"regexp_matches(s, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{ws})(?:$|[^\\p{{L}}\\p{{N}}_])')"
+
+    def kinds(rows: str, last: str) -> str:
+        h, k, b = word(detectors.HEDGES), word(detectors.SUBJUNCTIVES), word(detectors.JUDGEMENTS)
+        return f"""WITH {rows}, {STOPS}, l AS (SELECT * FROM s WHERE length(s) > 20), k AS (SELECT id, n, s, 'HEDGING' AS kind FROM l WHERE {h} UNION ALL SELECT id, n, s, CASE WHEN {k} THEN 'KONJUNKTIV' ELSE 'BEWERTUNG' END FROM l WHERE {k} OR ({b} AND {h}))
+SELECT id, n::BIGINT AS n, kind, {last} FROM k"""
+
+    out["hedging"], out["reformulation_samples"] = kinds(ROWS, "length(s)::BIGINT AS n_chars"), kinds(sample_sql(), "s AS sentence")
+    out["hypothesis_texts"] = f"WITH {ROWS}, s AS (SELECT id, text AS s FROM t) SELECT id FROM s WHERE {word(detectors.HYPOTHESES)}"
+    out["statement_candidates"] = f"""WITH {sample_sql()}, {STOPS}, k AS (SELECT id, n, s, CASE WHEN {word(detectors.SURE)} THEN 0 WHEN {word(detectors.INTENT)} THEN 1 WHEN {word(detectors.MODAL)} THEN 2
+ WHEN regexp_matches(s, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{detectors.CONDITION})[^,;.!?]{{5,120}},?\\s*(?:{detectors.INDICATIVE})[^.!?]{{0,180}}[.!?]') AND NOT {word(detectors.OPEN)} THEN 3 END AS r FROM s),
+f AS (SELECT * FROM k WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, lower(s) ORDER BY r, n) = 1)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY r, n) AS candidate_index, (['absolute_source_assertion', 'intent_or_will_attribution', 'modal_counterfactual_as_fact', 'conditional_indikativ'])[r + 1] AS kind, s AS sentence FROM f"""
+    # Which of the invented sentences hold which wrong form, and whether a word of law is near in the text.
+    law = "regexp_matches(text, 'Art\\.|Urteil|Gesetz')"
+    held = [("Stpo", "StPO", "true"), ("Stgb", "StGB", "true"), ("Bge", "BGE", law), ("not", "Not.", law), ("ivm", "i.V.m.", "true")]
+    places = " UNION ALL ".join(f"SELECT id, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, {len(w) + 2}) = ' {w} ')) + 1 AS start_pos, '{w}' AS wrong, '{r}' AS right FROM t WHERE {c}" for w, r, c in held)
+    out["abbreviations"] = f"WITH {sample_sql()} {places}"
     # This engine counts bytes: letters with marks are written as one byte, which no word holds otherwise.
     marked = "äöüéèêëàâáåãçñîïíìôóòõøûúùýßасеорухіѕјһԁԛԝӏүανικουχγρ"
     plain = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "!#$%&()*+,./:;<=>?@[]^_`{|}~")[: len(marked)]

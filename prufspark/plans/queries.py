@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prufspark.functions import text
-from prufspark.operators import chunking, detectors, findings, matching, retrieval
+from prufspark.functions import numbers, text
+from prufspark.operators import arithmetic, chunking, detectors, findings, matching, retrieval
 from prufspark.plans.lineage import cut
+from prufspark.plans.samples import sample_texts
 from prufspark.sources.readers import case_id, document_type
 from prufspark.sources.tables import table
 from prufspark.streaming.append import new_rows, windowed_counts
@@ -436,7 +437,8 @@ def date_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def date_window(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "reference_facts").select("case_id", detectors.parse_date(F.trim("facts.ereignisdatum.value")).alias("event_day")).where("event_day is not null").groupBy("case_id").agg(F.min("event_day").alias("event_day"))
+    day = detectors.event_day(F.col("facts.ereignisdatum.value"), F.coalesce("facts.ereignisdatum.source_span", F.lit("")))
+    f = table(spark, d, "reference_facts").select("case_id", day.alias("event_day")).where("event_day is not null").groupBy("case_id").agg(F.min("event_day").alias("event_day"))
     c = table(spark, d, "chunks").where("metadata.case_id is not null").select("id", "metadata.case_id").distinct()
     m = detectors.date_mentions(detectors.text_rows(table(spark, d, "chunks"))).where("day is not null").join(c, "id")
     return detectors.dates_after_window(m, f).select("id", "mention", "day")
@@ -447,44 +449,95 @@ def unit_conflict(spark: SparkSession, d: str) -> DataFrame:
     return _long(detectors.unit_conflicts(detectors.text_rows(table(spark, d, "chunks"))))
 
 
+@query
+def unit_conflict_samples(spark: SparkSession, d: str) -> DataFrame:
+    return _long(detectors.unit_conflicts(sample_texts(spark, d)))
+
+
 @query
 def time_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Two differences a text, the first in whole seconds, the second with a decimal comma."""
     li = table(spark, d, "lineitem")
     a, b = F.col("l_orderkey") % 997, F.col("l_partkey") % 499
     said = F.abs(a - b) + F.when(F.col("l_suppkey") % 7 == 0, 1).otherwise(0)
-    t = F.concat(F.lit("Zeitdifferenz von "), said.cast("string"), F.lit(" Sekunden ("), a.cast("string"), F.lit(" Sekunden – "), b.cast("string"), F.lit(" Sekunden)"))
+    word = F.element_at(F.array(*map(F.lit, ("zeitliche Differenz", "Differenz", "Zeitdifferenz", "Zeitdauer"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    c = F.col("l_suppkey") % 97
+    second = F.concat(c + F.when(F.col("l_orderkey") % 5 == 0, 2).otherwise(0), F.lit(",5 s ("), c + 10, F.lit(",5 s - 10 s)"))
+    t = F.concat(F.lit("Die "), word, F.lit(" von "), said, F.lit(" Sekunden ("), a, F.lit(" Sekunden – "), b, F.lit(" Sekunden) und eine Differenz von "), second, F.lit("."))
     rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), t.alias("text"))
-    return detectors.time_differences(rows).select("id", F.col("said").cast("double").alias("said"), F.col("right").cast("double").alias("right"))
+    return _long(detectors.time_differences(rows).select("id", "n", F.col("said").cast("double").alias("said"), F.col("right").cast("double").alias("right")))
+
+
+def _calculations(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that claim (quantity * price) / 4, cut to two decimals, and a difference; some claims are off."""
+    q, k = F.col("l_quantity").cast("bigint"), F.col("l_orderkey")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    claimed = F.expr("cast((quantity * cents) div 4 + if(l_orderkey % 11 = 0, 700, 0) as decimal(20, 0)) / cast(100 as decimal(3, 0))").cast("decimal(20,2)")
+    off = q - F.col("l_linenumber") + F.when(k % 13 == 0, 1).otherwise(0)
+    li = table(spark, d, "lineitem").withColumn("quantity", q).withColumn("cents", cents)
+    price = (F.col("cents").cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)")
+    t = F.concat(F.lit("Es gilt ("), q, F.lit(" * "), price, F.lit(") / 4 = "), claimed, F.lit(". Dazu "), q, F.lit(" – "), F.col("l_linenumber"), F.lit(" = "), off, F.lit(" Stück."))
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), t.alias("text"))
 
 
 @query
 def calc_verify(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    a, b = F.round(F.col("l_extendedprice") * 100).cast("bigint"), (100 - F.round(F.col("l_discount") * 100)).cast("bigint")
-    rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), a.alias("a"), b.alias("b"), F.lit(100).cast("bigint").alias("scale"))
-    rows = rows.withColumn("claimed", F.expr("a * b div scale") + F.when(F.expr("pmod(a, 11) = 0"), 7).otherwise(0))
-    return detectors.verify_product(rows)
+    return _long(arithmetic.verify(arithmetic.equations(_calculations(spark, d))).where("status = 'wrong'").select("id", "n", "claimed", "right"))
+
+
+@query
+def calc_status(spark: SparkSession, d: str) -> DataFrame:
+    return arithmetic.verify(arithmetic.equations(_calculations(spark, d))).groupBy("n", "status").agg(F.count("*").alias("rows")).transform(_long)
+
+
+@query
+def calc_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return arithmetic.injectable(arithmetic.equations(_calculations(spark, d))).where("subtype = 'DIFFERENZ'").select("id", "claimed", "wrong")
+
+
+@query
+def number_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Prices written in four ways and read again."""
+    k, cents = F.col("l_orderkey"), F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    whole, rest = F.expr("cast(round(l_extendedprice * 100) as bigint) div 100"), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0")
+    parted = lambda sign: F.when(whole >= 1000, F.concat(F.floor(whole / 1000), F.lit(sign), F.lpad(F.pmod(whole, F.lit(1000)).cast("string"), 3, "0"))).otherwise(whole.cast("string"))
+    form = F.when(k % 4 == 0, F.concat(parted("'"), F.lit(","), rest)).when(k % 4 == 1, F.concat(parted("’"), F.lit("."), rest)).when(k % 4 == 2, F.concat(parted("."), F.lit(","), rest)).otherwise(F.concat(whole, F.lit(","), rest))
+    return table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), numbers.parse_number(form).alias("value"))
 
 
 @query
 def forbidden_terms(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.terms(detectors.text_rows(table(spark, d, "chunks")), detectors.FORBIDDEN)
+    return detectors.terms(sample_texts(spark, d), detectors.FORBIDDEN)
 
 
 @query
 def hedging(spark: SparkSession, d: str) -> DataFrame:
-    return _long(detectors.hedged_sentences(detectors.text_rows(table(spark, d, "chunks"))).select("id", "n", F.length("sentence").alias("n_chars")))
+    return _long(detectors.reformulation_candidates(detectors.text_rows(table(spark, d, "chunks"))).select("id", "n", "kind", F.length("sentence").alias("n_chars")))
+
+
+@query
+def reformulation_samples(spark: SparkSession, d: str) -> DataFrame:
+    return _long(detectors.reformulation_candidates(sample_texts(spark, d)).select("id", "n", "kind", "sentence"))
+
+
+@query
+def hypothesis_texts(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.hypothesis_texts(detectors.text_rows(table(spark, d, "chunks"))).select("id")
 
 
 @query
 def statement_candidates(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text.squeeze(F.col("text")).alias("text"))
-    return _long(detectors.statement_candidates(docs))
+    return _long(detectors.statement_candidates(sample_texts(spark, d)))
 
 
 @query
 def abbreviations(spark: SparkSession, d: str) -> DataFrame:
-    return _long(detectors.abbreviation_variants(detectors.text_rows(table(spark, d, "chunks"))))
+    return detectors.abbreviation_variants(sample_texts(spark, d))
+
+
+@query
+def date_samples(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.date_mentions(sample_texts(spark, d))
 
 
 @query

@@ -161,9 +161,10 @@ def test_numbering_runs_through_segments(spark):
 
 
 def test_ordered_dedup_keeps_the_first(spark):
-    rows = [("1", "a b", "r", ["y", "x"]), ("2", "A  b", "s", ["z"]), ("3", "q", "r", ["x", "y"]), ("4", None, None, None), ("5", None, "t", None)]
-    df = spark.createDataFrame(rows, "finding_id string, span_text string, rationale string, source_refs array<string>")
-    assert {r["finding_id"] for r in findings.dedup_two_stage(df).collect()} == {"1", "4", "5"}
+    rows = [("c", "s1", 0, "5", "a b", "r", ["y", "x"]), ("c", "s1", 1, "2", "A  b", "s", ["z"]), ("c", "s2", 0, "3", "q", "r", ["x", "y"]), ("c", "s2", 1, None, None, None, None), ("c", "s3", 0, "1", None, "t", None), ("d", "s1", 0, "7", "a b", "r", ["y", "x"])]
+    df = spark.createDataFrame(rows, "case_id string, segment_id string, pos int, finding_id string, span_text string, rationale string, source_refs array<string>")
+    # Another document's like finding takes nothing away, and the place decides, not the id.
+    assert {(r["case_id"], r["finding_id"]) for r in findings.dedup_two_stage(df).collect()} == {("c", "5"), ("c", None), ("c", "1"), ("d", "7")}
     assert findings.dedup_two_stage(df.limit(0)).count() == 0
 
 
