@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_CLASS = r"[^\p{L}\p{N}_]+"
-# German words that carry no topic.
-STOP_WORDS = """aber alle also auch auf aus bei bis dann das dass dem den der des die dies diese dieser durch ein eine einem einen einer eines
-fuer für gegen hat hatte ich ihr ihre im in ist kann mit nach nicht noch nur oder ohne sich sie sind so über um und unter vom von vor war
-waren was weil wenn werden wie wird wurde wurden zu zum zur zwischen""".split()
+# German words that carry no topic in a question.
+STOP_WORDS = """als am an auch aus bei bis dabei das dass dem den der des die dies diese dieser doch durch ein eine einem einen einer eines er es für habe haben
+hat hinter ich im in ist ja kann können mich mir mit muss müssen nach noch nun oder sehr sein sind so soll sollen tue tun und unter vom von vor war was welche
+welcher welches wenn wer wie wir wird wo zu zum zur""".split()
 
 
 def fold_case(c: Column) -> Column:
@@ -95,3 +95,19 @@ def rule_sentences(c: Column) -> Column:
 def paragraphs(c: Column) -> Column:
     """Blocks between blank lines."""
     return split_marked(c, r"\n[ \t]*\n\s*", "\x01")
+
+
+def composed(c: Column) -> Column:
+    """Canonical composition without soft hyphens, all white space as single spaces; null for null."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def run(s):
+        return s.map(lambda t: " ".join(unicodedata.normalize("NFC", t.replace("\u00ad", "").replace("\u00a0", " ")).split()), na_action="ignore")
+
+    return run(c)
+
+
+def first_lines(c: Column, most: int = 25) -> Column:
+    """The first lines that are not blank: the header of a document."""
+    return F.array_join(F.slice(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), 1, most), "\n")

@@ -67,7 +67,7 @@ def names_institution(span: Column, rationale: Column) -> Column:
 
 
 def without_known_words(findings: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
-    """Findings none of whose words of ``least`` letters is a known one of the case, ``words(case_id, word)``."""
-    found = findings.select("case_id", "finding_id", F.explode(F.regexp_extract_all(F.coalesce("span_text", F.lit("")), F.lit(r"[\p{L}\p{N}_\-]+"), F.lit(0))).alias("word"))
+    """Findings none of whose words of ``least`` letters is a known one of the case, ``words(case_id, word)`` in lower case."""
+    found = findings.select("case_id", "finding_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("span_text", F.lit(""))), F.lit(r"[\p{L}\p{N}_\-]+"), F.lit(0))).alias("word"))
     hit = found.where(F.length("word") >= least).join(words.distinct(), ["case_id", "word"], "left_semi").select("case_id", "finding_id").distinct()
     return findings.join(hit, ["case_id", "finding_id"], "left_anti")

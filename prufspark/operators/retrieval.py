@@ -140,3 +140,77 @@ def assemble_store(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     v = vectors.groupBy("name", "source_kind", "id").agg(F.first("emb", ignorenulls=True).alias("emb"))
     c = chunks.groupBy("id").agg(F.max_by(F.struct("text", "metadata.case_id", "metadata.source_path"), "metadata.ingested_at_utc").alias("c"))
     return v.join(c, "id", "left").select("name", "source_kind", "id", "emb", F.coalesce("c.text", F.lit("")).alias("text"), "c.case_id", "c.source_path", F.col("c").isNotNull().alias("known"))
+
+
+# Words of a question about a procedure, and what its keyword variants ask for.
+PROCEDURE = ["wie ", "vorgehen", "ablauf", "prozess", "schritte", "checkliste"]
+VARIANTS = ["vorgehen", "schritte", "checkliste"]
+
+
+def query_variants(query: Column, segment: bool = False, most: int = 4) -> Column:
+    """The question, its keywords, and for segments and questions about a procedure three keyword variants: distinct
+    without regard to case, at most ``most``; none for a blank question."""
+    from prufspark.functions.text import bind, keywords, squeeze
+
+    def of(q: Column) -> Column:
+        low = F.lower(q)
+
+        def with_words(words: Column) -> Column:
+            asked = F.lit(True) if segment else F.exists(F.array(*map(F.lit, PROCEDURE)), lambda x: F.contains(low, x))
+            more = F.when((words != "") & asked, F.array(*[F.concat(words, F.lit(f" {v}")) for v in VARIANTS])).otherwise(F.array().cast("array<string>"))
+            every = F.concat(F.array(q), F.when((words != "") & (words != low), F.array(words)).otherwise(F.array().cast("array<string>")), more)
+            keys = F.transform(every, lambda x: F.lower(x))
+            return F.slice(F.filter(every, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1), 1, most)
+
+        return F.when(q == "", F.array().cast("array<string>")).otherwise(bind(F.array_join(keywords(q), " "), with_words))
+
+    return bind(squeeze(F.coalesce(query, F.lit(""))), of)
+
+
+def source_key(*paths: Column) -> Column:
+    """What counts as the source of a hit: the first path that is not blank."""
+    return F.coalesce(*[F.nullif(F.trim(p), F.lit("")) for p in paths])
+
+
+def retrieve_by_kind(hits: DataFrame, per_kind: dict[str, int], top_k: int = 0, weight: float = 0.75, per_source: int = 2) -> DataFrame:
+    """``(query_id, rank, id, score, source_kind)``: of the hits of all variants the best per id, diversified within each
+    kind of store (so many each), then merged by score; at most ``top_k`` where that is positive."""
+    best = hits.groupBy("query_id", "id", "source_kind").agg(F.max("score").alias("score"), F.max_by(F.struct("vec", "source"), F.struct("score", "rank")).alias("b")).select("query_id", "id", "source_kind", "score", "b.vec", "b.source")
+    out = None
+    for kind, k in sorted(per_kind.items()):
+        mine = best.where(F.col("source_kind") == kind)
+        chosen = mmr(mine, k, weight, per_source).select("query_id", "id").join(mine.select("query_id", "id", "score", "source_kind"), ["query_id", "id"])
+        out = chosen if out is None else out.unionByName(chosen)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source_kind", "id")
+    out = out.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "id", "score", "source_kind")
+    return out.where(F.col("rank") <= top_k) if top_k > 0 else out
+
+
+def distinct_material(hits: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """``hits(query_id, id, score, text)`` without those that are like a better one of their query (token sets); queries of
+    two hits or fewer stay as they are. A query's hits are the few that a search returned."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
+        if len(pdf) > 2:
+            kept: list[set[str]] = []
+            mask = []
+            for t in pdf["text"]:
+                mine = set((t or "").lower().split())
+                ok = all(len(mine & k) < threshold * len(mine | k) - 1e-12 or not (mine | k) for k in kept)
+                mask.append(ok)
+                if ok:
+                    kept.append(mine)
+            pdf = pdf[mask]
+        return pdf[["query_id", "id"]]
+
+    types = {f.name: f.dataType.simpleString() for f in hits.schema}
+    return hits.select("query_id", "id", "score", "text").groupBy("query_id").applyInPandas(choose, f"query_id {types['query_id']}, id {types['id']}")
+
+
+def case_chunks(chunks: DataFrame, case: str, most: int = 80) -> DataFrame:
+    """``(source_path, chunk_index, id, preview)`` of one case's chunks, in order."""
+    from prufspark.functions.text import preview
+
+    mine = chunks.where(F.col("metadata.case_id") == case).select("metadata.source_path", "metadata.chunk_index", "id", preview(F.col("text"), most).alias("preview")).distinct()
+    return mine.orderBy("source_path", "chunk_index", "id")

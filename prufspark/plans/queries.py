@@ -551,4 +551,6 @@ def name_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from prufspark.plans import review_queries  # noqa: F401  (adds its own)
+
     return dict(CATALOGUE)

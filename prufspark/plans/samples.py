@@ -15,6 +15,15 @@ SENTENCES = [
     "Der Fahrer nahm in Kauf, dass es regnet.", "Die Hypothese H1 wird klar gestützt.", "Die Fahrt dauerte 2 Stunden und 2 Stunden und 30 Minuten.", "Ein Wert von 3 kg, 4 kg und 500 g wurde gemessen.", "Es war ein gewöhnlicher Tag ohne Befund.",
 ]
 
+# Invented language findings: span, correction, rationale, and why they are dropped.
+LANGUAGE = [
+    (None, "x", "falsch", "no_span"), ("Haus", "Haus", "falsch", "no_change"), ("Xylo", None, "Möglicher Tippfehler gefunden.", "unknown_word"), ("Er ging.", "Er ging. ", "Punkt fehlt", "no_change"),
+    ("Er ging.", "Er lief nun.", "Schlusspunkt fehlt", "stop_is_there"), ("das «Wort»", "das Wort", "Zeichensetzung", "quotation"), ("Strasse", "Straße", "Rechtschreibung", "sharp_s"), ("die Beschuldigte Person", "die beschuldigte Person", "Attributives Adjektiv klein", "kept"),
+    ("FOR ZH", "For Zürich heute", "Schreibweise", "capitals"), ("Wagen hier", "Auto hier und dort so", "nicht konsistent", "taste"), ("fuhr Wagen langsam davon", "fuhr der Wagen langsam davon", "Grammatik", "article"), ("Wagen", "Auto", "schöner so", "short_replacement"),
+    ("Wagn", "Wagen", "Tippfehler", "kept"), ("befind-lichen", "befindlichen", "Rechtschreibung", "hyphenated"), ("Ergän-", "Ergänzung", "Rechtschreibung", "cut_word"), ("zung", "zungen", "Möglicher Tippfehler gefunden.", "scrap"),
+    ("map", None, "falsch", "foreign"), ("das das Haus steht", "das Haus steht", "Doppelung, falsch", "kept"),
+]
+
 
 def sample_texts(spark: SparkSession, d: str) -> DataFrame:
     """``(id, text)``: two sentences for every order."""
