@@ -313,4 +313,6 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY r, n) AS candidate_index,
 nn AS (SELECT case_id, p.name AS name FROM (SELECT case_id, unnest(facts.personen) AS p FROM reference_facts) UNION ALL {single}),
 nm AS (SELECT DISTINCT case_id, name FROM (SELECT case_id, unnest(string_split({_squeeze('name')}, ' ')) AS name FROM nn) WHERE length(name) >= 4)
 SELECT case_id, word, name FROM w JOIN nm USING (case_id) WHERE abs(length(word) - length(name)) <= 2 AND levenshtein({low('word')}, {low('name')}) BETWEEN 1 AND 3 AND NOT EXISTS (SELECT 1 FROM nm x WHERE x.case_id = w.case_id AND x.name = w.word)"""
-    return out
+    from prufspark.plans import review_oracle
+
+    return out | review_oracle.oracle_sql(out)
