@@ -252,3 +252,9 @@ def wide_matches(matches: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFr
     for name, side in (("gold", gold), ("pred", pred)):
         kept = kept.join(side.select(F.col("finding_id").alias(f"{name}_finding_id"), *[F.col(c).alias(f"{name}_{c}") for c in fields]), f"{name}_finding_id")
     return kept
+
+
+def count_matrix(rows: DataFrame, row: str, column: str, columns: Sequence[str]) -> DataFrame:
+    """Counts of ``row`` by the given values of ``column``, zero where there are none, and their ``total``."""
+    cells = [F.count_if(F.col(column) == c).alias(c) for c in columns]
+    return rows.groupBy(row).agg(*cells, F.count("*").alias("total"))

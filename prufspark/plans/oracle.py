@@ -171,11 +171,24 @@ coalesce(nullif(trim(regexp_replace(regexp_replace(lower(regexp_extract(metadata
     out["sentence_split"] = f"WITH {CHUNKS}, l AS (SELECT id, {_sentences(_squeeze('text'))} AS ss FROM c) SELECT id, len(ss)::BIGINT AS n, list_max(list_transform(ss, lambda x: length(x)))::BIGINT AS longest FROM l"
     paras = "list_filter(list_transform(string_split(regexp_replace(text, '\\n[ \\t]*\\n\\s*', chr(1), 'g'), chr(1)), lambda z: trim(z)), lambda z: z <> '')"
     out["paragraph_split"] = f"WITH {CHUNKS}, l AS (SELECT id, {paras} AS ps FROM c), x AS (SELECT id, unnest(range(len(ps)))::BIGINT AS n, unnest(ps) AS p FROM l) SELECT id, n, length(p)::BIGINT AS n_chars FROM x"
-    head = r"""regexp_matches(line, '^#{1,6} \S') OR (regexp_matches(line, '^\d+(\.\d+)*\.? \S') AND length(line) <= 120 AND NOT regexp_matches(line, '[.!?:;,]$'))
-  OR (length(line) <= 90 AND len(string_split(line, ' ')) <= 10 AND NOT regexp_matches(line, '[.!?:;,…]$') AND regexp_matches(line, '^[A-ZÄÖÜ]') AND NOT regexp_matches(line, '\d'))"""
-    out["section_split"] = f"""WITH {CHUNKS}, l AS (SELECT id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10)))) AS line FROM c), k AS (SELECT *, ({head}) AS h FROM l WHERE line <> ''),
-w AS (SELECT *, sum(h::INT) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM k)
-SELECT id, section::BIGINT AS section, max(CASE WHEN h THEN line END) AS title, sum((NOT h)::INT)::BIGINT AS n_lines FROM w GROUP BY id, section HAVING sum((NOT h)::INT) > 0"""
+    letters, capitals = "length(regexp_replace(line, '[^\\p{L}]', '', 'g'))", "length(regexp_replace(line, '[^\\p{Lu}]', '', 'g'))"
+    n_words = "len(regexp_split_to_array(line, '\\s+'))"
+    level = f"""CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(line, '^#+')) WHEN regexp_matches(line, '(?i)^(kapitel|chapter|abschnitt|section|teil|annex|anhang)($|[^\\p{{L}}\\p{{N}}_])') THEN 1
+ WHEN regexp_matches(line, '^(\\d+(\\.\\d+){{0,4}}|[A-Z])[.)]\\s+\\S') AND length(line) <= 120 THEN 2
+ WHEN length(line) <= 90 AND NOT regexp_matches(line, '[.!?:]$') AND NOT regexp_matches(line, '^([-*•]\\s+|\\d+[.)]\\s+)') AND {n_words} <= 10 AND {letters} > 0
+  AND (({capitals} > 0.8 * {letters} AND {n_words} >= 2) OR (NOT regexp_matches(line, '(^|[^\\p{{L}}])\\p{{Ll}}') AND NOT regexp_matches(line, '\\p{{L}}\\p{{Lu}}'))) THEN 3 ELSE 0 END"""
+    rule = "regexp_matches(coalesce({0}, ''), '^[-=]{{3,}}$')"
+    lined = f"""{CHUNKS}, l0 AS (SELECT id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM c), l1 AS (SELECT *, lead(line) OVER w AS nx, coalesce(lag(line) OVER w, '') AS pv FROM l0 WINDOW w AS (PARTITION BY id ORDER BY n)),
+l2 AS (SELECT *, {rule.format('line')} AND pv <> '' AS ruled, CASE WHEN line <> '' AND {rule.format('nx')} THEN CASE WHEN nx LIKE '=%' THEN 1 ELSE 2 END WHEN {rule.format('line')} AND pv <> '' THEN 0 ELSE {level} END AS lv FROM l1),
+l3 AS (SELECT *, sum((lv > 0)::INT) OVER w AS section, coalesce(last_value(CASE WHEN lv > 0 THEN trim(regexp_replace(line, '^#+', '')) END IGNORE NULLS) OVER w, '') AS title, coalesce(last_value(CASE WHEN lv > 0 THEN lv END IGNORE NULLS) OVER w, 0) AS level FROM l2 WINDOW w AS (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+sl AS (SELECT * FROM l3 WHERE lv = 0 AND NOT ruled)"""
+    out["section_split"] = f"WITH {lined} SELECT id, section::BIGINT AS section, level::BIGINT AS level, title, trim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(10)) AS body FROM sl GROUP BY id, section, level, title HAVING trim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(10)) <> ''"
+    lk = """CASE WHEN regexp_matches(line, '^([-*•]\\s+|\\d+[.)]\\s+)') THEN CASE WHEN contains(line, '?') THEN 'question_block' ELSE 'list_block' END WHEN line LIKE '%?' OR regexp_matches(line, '(?i)^(frage|fragen)($|[^\\p{L}\\p{N}_])') THEN 'question_block'
+ WHEN regexp_matches(line, '(?i)^(checkliste|checklist|todo|to-do)($|[^\\p{L}\\p{N}_])') THEN 'checklist_block' ELSE 'paragraph' END"""
+    out["structural_units"] = f"""WITH {lined}, u0 AS (SELECT id, n, line, section, coalesce(lag(line) OVER w = '', true) OR coalesce(lag(section) OVER w, -1) <> section AS gap FROM sl WINDOW w AS (PARTITION BY id ORDER BY n)), u1 AS (SELECT *, {lk} AS own FROM u0 WHERE line <> ''),
+u2 AS (SELECT *, own = 'paragraph' AND NOT gap AND regexp_matches(line, '^[a-zäöü0-9]') AS more FROM u1), u3 AS (SELECT *, coalesce(last_value(CASE WHEN NOT more THEN own END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING), own) AS kind FROM u2),
+u4 AS (SELECT *, coalesce(lag(section) OVER w, -1) <> section OR coalesce(lag(kind) OVER w, '') <> kind OR (gap AND kind = 'paragraph') AS starts FROM u3 WINDOW w AS (PARTITION BY id ORDER BY n)), u5 AS (SELECT *, sum(starts::INT) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS unit FROM u4)
+SELECT id, section::BIGINT AS section, unit::BIGINT AS unit, kind, length(string_agg(line, chr(10) ORDER BY n))::BIGINT AS n_chars FROM u5 GROUP BY ALL"""
     out["taxonomy_tree"] = f"WITH {TAX} SELECT main_id, main_label, s.id AS subclass_id, s.label AS subclass_label FROM sub"
     out["taxonomy_map"] = f"WITH {GOLD} SELECT finding_id, subclass, change_type, severity, main_class FROM g"
     bad = "count(*) FILTER ({0}_id IS NOT NULL AND {0} IS NULL)::BIGINT AS unknown_{0}"
@@ -226,6 +239,8 @@ k AS (SELECT DISTINCT b.finding_id, o.a FROM x b JOIN x o USING (case_id) WHERE
 SELECT finding_id, 'agent_2 | agent_4 | agent_5' AS models_agreed FROM k GROUP BY finding_id HAVING count(*) = 2"""
     out["fp_by_agent"] = f"""{MATCH}, f AS (SELECT coalesce(agent_scope, 'none') AS a, coalesce(severity, 'none') AS s FROM p WHERE finding_id NOT IN (SELECT pid FROM m))
 SELECT coalesce(a, '(all)') AS agent, coalesce(s, '(all)') AS severity_level, count(*) AS n FROM f GROUP BY CUBE (a, s)"""
+    cells = ", ".join(f"count(*) FILTER (s = '{x}') AS {x}" for x in ("STUFE_1", "STUFE_2", "STUFE_3", "none"))
+    out["fp_matrix"] = f"""{MATCH}, f AS (SELECT coalesce(agent_scope, 'none') AS agent, coalesce(severity, 'none') AS s FROM p WHERE finding_id NOT IN (SELECT pid FROM m)) SELECT agent, {cells}, count(*) AS total FROM f GROUP BY agent"""
     out["proposal_counts"] = f"""WITH {GOLD}, f AS (SELECT coalesce(subclass, 'UNKNOWN') AS s, coalesce(change_type, 'UNKNOWN') AS c, source FROM g WHERE source IN ('manual', 'injected'))
 SELECT coalesce(s, '(all)') AS subclass, coalesce(c, '(all)') AS change_type, count(*) FILTER (source = 'manual') AS n_manual, count(*) FILTER (source = 'injected') AS n_injected FROM f GROUP BY GROUPING SETS ((s, c), (s), (c), ())"""
     out["topk_cosine"] = f"{_topk('true', 12)} SELECT query_id, rank, id, score FROM r"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prufspark.functions import numbers, text
-from prufspark.operators import arithmetic, chunking, detectors, findings, matching, retrieval
+from prufspark.operators import arithmetic, chunking, detectors, findings, matching, models, retrieval
 from prufspark.plans.lineage import cut
 from prufspark.plans.samples import sample_texts
 from prufspark.sources.readers import case_id, document_type
@@ -102,7 +102,18 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def section_split(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.sections(_chunks(spark, d))
+    return _long(chunking.sections(_chunks(spark, d)))
+
+
+@query
+def structural_units(spark: SparkSession, d: str) -> DataFrame:
+    return _long(chunking.structural_units(_chunks(spark, d)).select("id", "section", "unit", "kind", F.length("text").alias("n_chars")))
+
+
+@query
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = chunking.semantic_chunks(chunking.structural_units(_chunks(spark, d)), models.HashEncoder(32), size=80, overlap=12, least=20)
+    return _long(c.select("id", "section", "unit", "chunk", "kind", F.length("text").alias("n_chars")))
 
 
 @query
@@ -281,6 +292,14 @@ def fp_by_agent(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.when(F.col("gid") >= 2, "(all)").otherwise(F.col("agent")).alias("agent"), F.when(F.col("gid") % 2 == 1, "(all)").otherwise(F.col("severity_level")).alias("severity_level"), "n")
 
 
+@query
+def fp_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """False positives of each agent by severity, zero where there are none."""
+    _, p, _, m = _matched(spark, d)
+    fp = matching.unmatched(p, m, "pred").select(F.coalesce("agent_scope", F.lit("none")).alias("agent"), F.coalesce("severity", F.lit("none")).alias("level"))
+    return matching.count_matrix(fp, "agent", "level", ["STUFE_1", "STUFE_2", "STUFE_3", "none"])
+
+
 @query
 def proposal_counts(spark: SparkSession, d: str) -> DataFrame:
     g = _gold(spark, d).where("source in ('manual', 'injected')").select(F.coalesce("subclass", F.lit("UNKNOWN")).alias("s"), F.coalesce("change_type", F.lit("UNKNOWN")).alias("c"), "source")

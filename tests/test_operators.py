@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prufspark.functions.similarity import span_features, span_score
-from prufspark.operators import chunking, detectors, findings, matching, retrieval
+from prufspark.operators import arithmetic, chunking, detectors, findings, language, lookup, matching, models, retrieval, review
 from prufspark.plans.queries import queries
 
 FINDING = "finding_id string, subclass_id string, change_type_id string, severity_id string, span_text string, correction string, rationale string, source string, source_refs array<string>, agent_scope string, detection_finding_id string"
@@ -148,10 +148,22 @@ def test_segments_and_chunks_keep_all_text(text):
         chunking.chunk_text("x", size=5, overlap=5)
 
 
-def test_sections(spark):
-    t = spark.createDataFrame([("1", "# Titel\nText hier.\n2.1 Befund\n\nLeer\nmehr text.")], "id string, text string")
-    got = [(r["title"], r["n_lines"]) for r in chunking.sections(t).orderBy("section").collect()]
-    assert got == [("# Titel", 1), ("Leer", 1)]
+def test_sections_and_units(spark):
+    t = spark.createDataFrame([("1", "Vorab ist hier text.\n# Titel\nText hier.\nBefund und mehr\n====\n- eins\n- zwei\nund weiter\n\nEin Absatz.\nNoch einer.\n\nWas war das?\n3. Ende\nLEERE ZEILE HIER"), ("2", None), ("3", "")], "id string, text string")
+    got = [(r["level"], r["title"], r["body"].split("\n")[0]) for r in chunking.sections(t).orderBy("section").collect()]
+    assert got == [(0, "", "Vorab ist hier text."), (1, "Titel", "Text hier."), (1, "Befund und mehr", "- eins")]
+    units = [(r["kind"], r["text"]) for r in chunking.structural_units(t).orderBy("unit").collect()]
+    assert units == [("paragraph", "Vorab ist hier text."), ("paragraph", "Text hier."), ("list_block", "- eins\n- zwei\nund weiter"), ("paragraph", "Ein Absatz.\nNoch einer."), ("question_block", "Was war das?")]
+
+
+def test_semantic_chunks_end_where_the_topic_changes(spark):
+    text = " ".join(["Der Bus fuhr auf der Strasse weiter und weiter."] * 8 + ["Quer lag ein Baum im hohen Gras daneben."] * 8)
+    u = spark.createDataFrame([("a", 0, 1, "paragraph", text), ("b", 0, 1, "list_block", "- x\n- y"), ("c", 0, 1, "paragraph", "")], "id string, section int, unit int, kind string, text string")
+    got = [r for r in chunking.semantic_chunks(u, models.HashEncoder(64), size=80, overlap=10, least=20, threshold=0.6).orderBy("id", "chunk").collect()]
+    assert [r["id"] for r in got] == ["a", "a", "b"] and "Baum" not in got[0]["text"] and got[1]["similarity_prev"] < 0.6
+    assert chunking.groups([3, 3, 3, 9, 1], 7, 1) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    runs = chunking.semantic_runs([10] * 9, np.ones(9), 35, 12, 15, 0.3)
+    assert runs[0][:2] == (0, 3) and all(10 * (j - i) <= 47 for i, j, _ in runs) and runs[-1][1] == 9
 
 
 def test_numbering_runs_through_segments(spark):
@@ -283,3 +295,79 @@ def test_similar_spans_pair_across_cases(spark, tmp_path):
     want = [(a, b) for (a, x), (b, y) in itertools.combinations(sets, 2) if len(x & y) >= 0.6 * len(x | y) - 1e-12]
     assert sorted(tuple(r) for r in queries()["token_jaccard_pairs"](spark, str(tmp_path)).select("id_a", "id_b").collect()) == want
     assert any(x == y for (_, x), (_, y) in itertools.combinations(sets, 2))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("(81/1.7)*3.6", "171.5294"), ("25,320 − 15,320", "10"), ("2*-3", "-6"), ("-(1+2)*3", "-9"), ("1/0", None), ("2**3", None), ("import os", None), ("", None), (None, None), ("(1", None), ("1 2", None), ("7 – 2 × 3", "1"), ("()", None), (")1(", None)],
+)
+def test_evaluate(text, want):
+    got = arithmetic.evaluate(text)
+    assert (got is None) if want is None else abs(got - type(got)(want)) < type(got)("0.0001")
+
+
+def test_calculations_in_texts(spark):
+    t = spark.createDataFrame([("1", "Es gilt (81/1,7)*3,6 = 171.4 und 3 + 4 = 7, sowie 10 Sekunden (25.3 s – 15.3 s)."), ("2", "5 * 1000 = 1"), ("3", None)], "id string, text string")
+    got = {(r["id"], r["n"]): (r["right"], r["status"]) for r in arithmetic.verify(arithmetic.equations(t)).collect()}
+    assert got == {("1", 0): ("171.5", "wrong"), ("1", 1): ("7", "ok"), ("1", 2): ("10", "ok"), ("2", 0): ("5000", "implausible")}
+    assert {r["wrong"] for r in arithmetic.injectable(arithmetic.equations(t)).collect()} == {"8", "11"}
+
+
+def test_segment_lookup_against_a_plain_loop(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(25)]
+    segs = [("c" if i % 3 else "d", i, " ".join(rng.choices(words, k=12))) for i in range(40)]
+    spans = [(rng.choice("cd"), " ".join(rng.choices(words, k=rng.randint(1, 6)))) for _ in range(60)] + [("c", segs[4][2][3:20].upper()), ("c", " "), ("d", "niemals hier")]
+    got = {(r["case_id"], r["span"]): (r["segment_index"], r["how"]) for r in lookup.find_segments(spark.createDataFrame(spans, "case_id string, span string"), spark.createDataFrame(segs, "case_id string, segment_index int, text string")).collect()}
+    want = {}
+    for c, s in spans:
+        k = " ".join(s.lower().split())
+        mine = sorted((i, t) for cc, i, t in segs if cc == c)
+        if k and any(k in t for _, t in mine):
+            want[(c, s)] = (next(i for i, t in mine if k in t), "exact")
+        elif k:
+            share = [(len(set(k.split()) & set(t.split())) / len(set(k.split())), -i) for i, t in mine]
+            if max(share)[0] >= 0.5:
+                want[(c, s)] = (-max(share)[1], "tokens")
+    assert got == want and {h for _, h in got.values()} == {"exact", "tokens"}
+
+
+@pytest.mark.parametrize(
+    "reply, n",
+    [('```json\n[{"a": 1}]\n```', 1), ('Text {"errors": [{"a": 1}, {"b": 2}]} mehr', 2), ('{"Fehler_1": "x", "Fehler_2": "y"}', 2), ('{"etwas": [{"a": 1}], "n": 2}', 1), ('{"errors": []}', 0), ("nichts", None), (None, None), ('{"a": 1}', None), ("{kaputt [ {", None)],
+)
+def test_replies(reply, n):
+    got = review.errors_of(reply)
+    assert (got is None) if n is None else len(got) == n
+
+
+def test_budgets_follow_the_targets(spark):
+    rows = [("c", f"s{i:02d}", ["A", "B"]) for i in range(10)] + [("d", "s0", ["Z"]), ("d", "s1", None)]
+    got = {(r["case_id"], r["segment_id"]): r["class"] for r in review.select_classes(spark.createDataFrame(rows, "case_id string, segment_id string, available array<string>"), {"A": 0.7, "B": 0.3}, ["A", "B"]).collect()}
+    mine = [got[("c", f"s{i:02d}")] for i in range(10)]
+    assert mine.count("A") == 7 and mine[0] == "A" and got[("d", "s0")] is None and got[("d", "s1")] is None
+
+
+def test_best_counterparts_have_no_threshold_and_consensus_reuses_partners(spark):
+    g = rows(spark, [("s", "g1", "ganz anderer text hier"), ("s", "g2", "leitplanke")])
+    p = rows(spark, [("s", "p1", "leitplanken"), ("s", "p2", "xyz")])
+    best = {(r["finding_id"], r["rank"]): r["other_finding_id"] for r in matching.best_counterparts(p, g).collect()}
+    assert best[("p1", 1)] == "g2" and len(best) == 4
+    data = [("c", m, f"{m}{i}", t) for m, ts in {"x": ["a b c", "a b c", "", "q"], "y": ["a b c d"], "z": ["a b c", "r s"]}.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(data, "case_id string, model string, finding_id string, span_text string")
+    assert {r["finding_id"] for r in matching.consensus(df, ["x", "y", "z"], 0.7).collect()} == {"x0", "x1"}
+
+
+def test_models_fail_by_batch_and_schemas_hold_the_labels(spark):
+    def broken(prompts):
+        if any("x" in p for p in prompts):
+            raise RuntimeError("aus")
+        return ["ja"] * len(prompts)
+
+    df = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (4, "a")], "id int, prompt string").coalesce(1)
+    got = {r["id"]: (r["reply"], r["reply_error"]) for r in models.ask(df, "prompt", broken, batch=1).collect()}
+    assert got == {1: ("ja", None), 2: (None, "RuntimeError: aus"), 3: (None, None), 4: ("ja", None)}
+    tax = {"main_classes": [{"label": "A", "subclasses": [{"label": "b"}]}], "change_types": [{"label": "t"}], "severity_levels": [{"label": "s"}]}
+    assert models.error_schema(tax)["properties"]["errors"]["items"]["properties"]["subklasse"]["enum"] == ["b"]
+    v = {r["id"]: r["vec"] for r in models.embed(spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "id int, t string"), "t", models.HashEncoder(8)).collect()}
+    assert v[2] is None and v[3] is None and abs(sum(x * x for x in v[1]) - 1) < 1e-5
