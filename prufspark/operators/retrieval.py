@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+CORPUS_BLOCK = 20_000
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -21,44 +22,39 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def topk_cosine(queries: DataFrame, corpus: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     """``(query_id, rank, id, score)``: exact top ``k`` of ``corpus(id, vec)`` for each of ``queries(query_id, vec)``.
 
-    Queries travel in blocks of a fixed size; each corpus partition multiplies a block at once and keeps its
-    own best ``k``, so the merge sees at most partitions times ``k`` rows per query. Scores to six decimals,
+    A stated set of queries meets the corpus in blocks: queries travel as packed blocks to every block of the corpus,
+    which multiplies them at once and keeps its own best ``k``; nothing comes to the driver. Scores to six decimals,
     equal scores by id. ``keep`` filters the corpus first. Null vectors are skipped."""
-    spark = corpus.sparkSession
     corpus = corpus.where(F.col("vec").isNotNull()) if keep is None else corpus.where(keep & F.col("vec").isNotNull())
     queries = queries.where(F.col("vec").isNotNull()).select("query_id", "vec")
     id_type, q_type = corpus.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    schema = f"query_id {q_type}, id {id_type}, score double"
-    parts = []
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64))))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            names = np.array(names)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = np.array(b.column("id").to_pylist())
-                vec = b.column("vec")
-                x = unit_rows(np.asarray(vec.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1))
-                s = np.round(q @ x.T, 6)
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                at = np.repeat(np.arange(len(names)), best.shape[1])
-                flat = best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(names[at].tolist()), pa.array(ids[flat].tolist()), pa.array(s[at, flat])], names=["query_id", "id", "score"])
-
-        parts.append(corpus.select("id", "vec").mapInArrow(search, schema))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {q_type}, rank int, id {id_type}, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    n_corpus, n_queries = corpus.count(), queries.count()
+    if not n_corpus or not n_queries:
+        return corpus.sparkSession.createDataFrame([], f"query_id {q_type}, rank int, id {id_type}, score double")
+    c_blocks, q_blocks = -(-n_corpus // CORPUS_BLOCK), -(-n_queries // QUERY_BLOCK)
+    packed = lambda df, key, n: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col("vec").cast("array<double>").alias("vec"))).alias("rows"))
+    c = packed(corpus.select("id", "vec"), "id", c_blocks).select("block", F.col("rows").alias("corpus"))
+    q = packed(queries, "query_id", q_blocks).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_blocks - 1).cast("bigint"))).alias("block"), F.col("block").alias("part"), F.col("rows").alias("asked"))
+    met = c.join(q, "block").repartition("block", "part").select("corpus", "asked")
+
+    def side(col: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        keys, vec = col.values.field("key"), col.values.field("vec")
+        return keys, unit_rows(np.asarray(vec.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(keys), -1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, x = side(b.column("corpus")[r])
+                names, y = side(b.column("asked")[r])
+                order = np.argsort(np.array(ids.to_pylist()), kind="stable")
+                x, ids = x[order], ids.take(pa.array(order))
+                for i in range(0, len(names), 256):
+                    s = np.round(y[i : i + 256] @ x.T, 6)
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    at, flat = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i + at)), ids.take(pa.array(flat)), pa.array(s[at, flat])], names=["query_id", "id", "score"])
+
+    out = met.mapInArrow(search, f"query_id {q_type}, id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -1,4 +1,4 @@
-"""Readers and writers beyond Parquet. Missing readers of outer formats are adapters that say so."""
+"""Readers and writers beyond Parquet. Formats that need outer programs are read by callables that the caller gives."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXTENSIONS = ("txt", "md", "docx")
+EXTENSIONS = ("txt", "md", "docx", "pdf", "pptx")
+Reader = Callable[[bytes], str]
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -65,12 +67,23 @@ def _plain(x):
 
 
 def files(spark: SparkSession, root: str, source_kind: str) -> DataFrame:
-    """``(path, rel_path, ext, content, source_kind)`` of the readable files below ``root``; conversion folders are skipped."""
+    """``(path, rel_path, ext, content, source_kind, size_bytes, modified_at)`` of the files of known extensions below
+    ``root``; conversion folders are skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     clean = raw.withColumn("ext", ext).where(F.col("ext").isin(*EXTENSIONS) & ~F.contains(F.col("path"), F.lit("/.converted/")))
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    return clean.select("path", rel.alias("rel_path"), "ext", "content", F.lit(source_kind).alias("source_kind"))
+    return clean.select("path", rel.alias("rel_path"), "ext", "content", F.lit(source_kind).alias("source_kind"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def source_files(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
+    """The files of several roots, ``{source kind: folder}``, with their case and document type where they are case material."""
+    out = None
+    for kind, root in roots.items():
+        one = files(spark, root, kind)
+        out = one if out is None else out.unionByName(one)
+    material = F.col("source_kind") == "case_material"
+    return out.withColumns({"case_id": F.when(material, case_id(F.col("rel_path"))), "document_type": F.when(material, document_type_or_stem(F.col("rel_path"))), "file_sha256": F.sha2("content", 256)})
 
 
 def case_id(rel_path: Column) -> Column:
@@ -85,6 +98,13 @@ def document_type(rel_path: Column) -> Column:
     return F.coalesce(F.nullif(safe, F.lit("")), F.lit("unknown"))
 
 
+def document_type_or_stem(rel_path: Column) -> Column:
+    """The second part of the path where it is a folder, else the name of the file, in a safe form."""
+    kind, stem = document_type(rel_path), F.lower(F.regexp_extract(rel_path, r"([^/]+?)(?:\.[^./]*)?$", 1))
+    safe = F.trim(F.regexp_replace(F.regexp_replace(stem, r"[^a-z0-9äöüß_-]", "_"), r"_+", "_"), F.lit("_"))
+    return F.when(kind != "unknown", kind).otherwise(F.coalesce(F.nullif(safe, F.lit("")), F.lit("unknown")))
+
+
 def decoded(content: Column) -> Column:
     """UTF-8, or Latin-1 where that is not valid."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
@@ -115,28 +135,84 @@ def _blocks(node: ElementTree.Element) -> Iterator[str]:
                     yield line
 
 
-def read_documents(found: DataFrame) -> DataFrame:
-    """``files`` with their text; a file that cannot be read gives a null text and the error."""
+def plain_text(content: bytes) -> str:
+    """UTF-8, or Latin-1 where that is not valid."""
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+READERS: dict[str, Reader] = {"txt": plain_text, "md": plain_text, "docx": docx_text}
+
+
+def read_documents(found: DataFrame, readers: Mapping[str, Reader] | None = None) -> DataFrame:
+    """``files`` with their ``text`` in place of ``content``; a file that cannot be read gives a null text and the
+    ``error``, as does one without a reader. ``readers`` adds readers by extension, such as one that runs an outer program."""
+    by_ext = READERS | dict(readers or {})
+    kept = [f for f in found.schema if f.name != "content"]
+    names = [f.name for f in kept]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, errors = [], []
-            for ext, content in zip(b["ext"], b["content"]):
+            for ext, content in zip(b.column("ext").to_pylist(), b.column("content").to_pylist()):
                 try:
-                    if ext == "docx":
-                        texts.append(docx_text(content))
-                    else:
-                        try:
-                            texts.append(content.decode("utf-8"))
-                        except UnicodeDecodeError:
-                            texts.append(content.decode("latin-1"))
+                    if ext not in by_ext:
+                        raise LookupError(f"no reader for .{ext}")
+                    texts.append(by_ext[ext](content))
                     errors.append(None)
                 except Exception as e:
                     texts.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:200])
-            yield pd.DataFrame({"path": b["path"], "rel_path": b["rel_path"], "source_kind": b["source_kind"], "text": texts, "error": errors})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*names, "text", "error"])
+
+    return found.mapInArrow(read, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, error string")
+
+
+def page_votes(pages: DataFrame) -> DataFrame:
+    """``(id, page_index, text, reader)`` of several readers' texts ``pages(id, page_index, reader, priority, text)``: per page
+    the one of best score, which is its characters less 168 for every run of 28 characters or more without white space;
+    then more characters, fewer such runs, and the order of readers decide."""
+    text = F.coalesce("text", F.lit(""))
+    runs = F.size(F.regexp_extract_all(text, F.lit(r"\S{28,}"), F.lit(0)))
+    scored = pages.withColumns({"chars": F.length(text), "runs": runs})
+    best = F.max_by(F.struct("text", "reader"), F.struct(F.col("chars") - F.col("runs") * 168, F.col("chars"), -F.col("runs"), -F.col("priority")))
+    return scored.groupBy("id", "page_index").agg(best.alias("b")).select("id", "page_index", "b.text", "b.reader")
 
-    return found.mapInPandas(read, "path string, rel_path string, source_kind string, text string, error string")
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, text, expected_source, expected_id)`` of a file with an object that holds ``queries``, a list of objects, or a
+    list of texts; queries without a text are left out, missing ids are ``q1``, ``q2`` and so on."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b["value"]:
+                got = json.loads(t)
+                listed = got.get("queries", []) if isinstance(got, dict) else got
+                for i, q in enumerate(listed, 1):
+                    q = {"text": q} if isinstance(q, str) else q
+                    text = str(q.get("text") or q.get("query") or "").strip()
+                    src = q.get("expected_source") or []
+                    if text:
+                        rows.append({"id": str(q.get("id") or f"q{i}"), "text": text, "expected_source": [src] if isinstance(src, str) else list(src), "expected_id": q.get("expected_id")})
+            yield pd.DataFrame(rows, columns=["id", "text", "expected_source", "expected_id"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "id string, text string, expected_source array<string>, expected_id string")
+
+
+def read_by_model(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines called ``name`` in the folders of ``root``, with the ``model`` that a folder is named after (without
+    ``aggregated_``). Broken lines are dropped."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{root.rstrip('/')}/*/{name}").withColumn("_path", F.input_file_name())
+    return rows.withColumn("model", F.regexp_replace(F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1), "^aggregated_", "")).drop("_path")
+
+
+def read_proposals(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Proposals of JSON in any form; a blank status is ``pending``."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return read_json_any(spark, path, schema).withColumn("status", F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("pending")))
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
@@ -162,3 +238,18 @@ def write_csv(df: DataFrame, path: str, sort: list[str], mode: str = "errorifexi
     """Sorted, with a header, numbers to four decimals."""
     cols = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     df.select(*cols).orderBy(*sort).write.mode(mode).option("header", True).csv(path)
+
+
+def text_report(df: DataFrame, title: str, sort: list[str]) -> DataFrame:
+    """``(line_no, line)``: a table as text, a row a line in the given order, doubles to four decimals, under its title. For
+    tables of summaries; the lines are numbered by one task."""
+    from pyspark.sql import Window
+
+    cells = [F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if t == "double" else F.col(c).cast("string"), F.lit("-")) for c, t in df.dtypes]
+    body = df.select(F.row_number().over(Window.orderBy(*sort)).alias("n"), F.concat_ws(" | ", *cells).alias("line"))
+    head = df.sparkSession.createDataFrame([(-1, title), (0, " | ".join(df.columns))], "n int, line string")
+    return head.unionByName(body).select((F.col("n") + 2).alias("line_no"), "line")
+
+
+def write_text_report(df: DataFrame, title: str, sort: list[str], path: str, mode: str = "errorifexists") -> None:
+    text_report(df, title, sort).orderBy("line_no").select("line").coalesce(1).write.mode(mode).text(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def new_rows(delta: DataFrame, store: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -13,19 +14,38 @@ def new_rows(delta: DataFrame, store: DataFrame, key: str = "id", order: str | N
     return first.join(store.select(key), key, "left_anti")
 
 
-def append_stream(stream: DataFrame, store: str, checkpoint: str, key: str = "id", time: str = "ingested_at", late: str = "180 days"):
-    """Starts a query that appends each key once to the Parquet store; rows later than ``late`` are still checked
-    against the store itself, since the batch writer joins with it."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def append_stream(stream: DataFrame, store: str, checkpoint: str, key: str = "id", time: str = "ingested_at"):
+    """Starts a query that appends each key once to the Parquet store, whatever its time.
+
+    Every batch writes its own part, ``epoch=n``, over what an earlier try of it wrote, and asks the parts before it; so
+    a batch that runs again changes nothing. Any error but a store that is not there yet ends the query."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(store).select(key)
-        except Exception:
-            known = batch.select(key).limit(0)
-        new_rows(batch, known, key, time).write.mode("append").parquet(store)
-
-    return stream.withWatermark(time, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        fresh = batch
+        if _exists(spark, store):
+            known = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("epoch", T.LongType())])).parquet(store)
+            fresh = new_rows(batch, known.where(F.col("epoch") < epoch).select(key), key, time)
+        else:
+            fresh = new_rows(batch, batch.select(key).where(F.lit(False)), key, time)
+        fresh.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_vectors(delta: DataFrame, store: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of ``delta(key, vec)`` whose key the store lacks, the first of each key (by its vector). Vectors must have
+    the store's dimension; those that do not end the query when it runs."""
+    dims = store.where("vec is not null").agg(F.max(F.size("vec")).alias("_dim"))
+    one = delta.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("vec").alias("vec"))
+    fresh = one.join(store.select(key), key, "left_anti").crossJoin(F.broadcast(dims))
+    wrong = F.col("_dim").isNotNull() & (F.size("vec") != F.col("_dim"))
+    return fresh.select(key, F.when(wrong, F.raise_error(F.lit("vectors of another dimension"))).otherwise(F.col("vec")).alias("vec"))
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
