@@ -62,8 +62,10 @@ BITS = 16
 CELLS = 1 << BITS
 TEMPER = 0.35
 LEAST_TRIGRAMS = 1_000
+NEVER = -1e4
 SMOOTH = 20.0  # How many documents a level's parent counts for in its prior.
 STEP = 2_000
+FEW = 50_000
 STAY = np.log(0.995)
 SWITCH = np.log(2e-3)
 ENDS = np.array(sorted(map(ord, ENDERS + "\n;\u037e")), dtype=np.uint32)
@@ -118,12 +120,19 @@ class Fusion:
     as ``(source, counts)`` and ``(source, case_id, counts)``; without those two the whole's prior holds everywhere."""
 
     logp: np.ndarray
+    langs: np.ndarray
     label: dict[str | None, np.ndarray]
     whole: np.ndarray
     sources: DataFrame | None = None
     cases: DataFrame | None = None
 
 
+def taking_part(counts: np.ndarray) -> np.ndarray:
+    """Numbers of the languages that can win: those with documents, with seed words of the core, or with a script."""
+    own = {k for k, _, _ in SCRIPTS}
+    return np.array([k for k, lang in enumerate(LANGS) if counts[k].sum() >= LEAST_TRIGRAMS or lang in CORE or lang in own])
+
+
 def trigram_model(counts: np.ndarray) -> np.ndarray:
     """Smoothed log shares, with the seed words as pseudo-counts."""
     c = counts.astype(np.float64)
@@ -234,16 +243,18 @@ class Batch:
         starts = np.union1d(ends[ends < len(self.codes)], self.begin)
         return starts, np.searchsorted(starts, self.begin)
 
-    def scores(self, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Tempered log-likelihood of each piece under each language; a trigram counts once per piece."""
-        out = np.zeros((len(starts), len(LANGS)))
+    def scores(self, starts: np.ndarray, table: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """Tempered log-likelihood of each piece under each language, ``table`` having those of ``langs``, and none under
+        the others; a trigram counts once per piece."""
+        out = np.full((len(starts), len(LANGS)), NEVER)
+        out[:, langs] = 0
         owner = self.owners(starts)
         pairs = np.sort((owner[self.middle] * np.int64(CELLS) + self.cells).astype(np.uint32 if len(starts) < CELLS else np.int64))
         if len(pairs):
             pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])].astype(np.int64)
             own = pairs // CELLS
             cut_at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            out[own[cut_at]] = np.add.reduceat(table[pairs % CELLS], cut_at, axis=0) * TEMPER
+            out[np.ix_(own[cut_at], langs)] = np.add.reduceat(table[pairs % CELLS], cut_at, axis=0) * TEMPER
         _add_scripts(out, owner, self.letters)
         return out
 
@@ -270,13 +281,13 @@ def _add_scripts(out: np.ndarray, owner: np.ndarray, letters: np.ndarray) -> Non
             out[:, LANGS.index(lang)] += np.where(got >= 0.3 * total, got, 0) * SCRIPT_WEIGHT.get(lang, 3.0)
 
 
-def of_one_language(b: Batch, base: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def of_one_language(b: Batch, base: np.ndarray, table: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text of the batch: surely of one language, which one, and its confidence.
 
     Surely means that no run of pieces gains by other languages, whatever they are, what one change costs; then the
     best path of the Viterbi pass never changes. ``base`` holds the log-prior of each text, ``table`` log P by cell."""
     starts, first = b.pieces()
-    score = b.scores(starts, table)
+    score = b.scores(starts, table, langs)
     n = np.diff(np.append(first, len(starts)))
     every = np.arange(len(n))
     total = base + np.add.reduceat(score, first, axis=0)
@@ -307,11 +318,12 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
             yield part, part.column("text").to_pylist()
 
 
-def _count_pass(docs: DataFrame, model: np.ndarray | None) -> tuple[np.ndarray, DataFrame]:
+def _count_pass(docs: DataFrame, model: np.ndarray | None, langs: np.ndarray | None = None) -> tuple[np.ndarray, DataFrame]:
     """Trigram counts by language (declared at first, then of each document surely of one language), and the counts
     ``(label, source, case_id, lang, n)`` of those documents."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(None if model is None else np.ascontiguousarray(model.T))
+    langs = np.arange(len(LANGS)) if langs is None else langs
+    shared = sc.broadcast(None if model is None else np.ascontiguousarray(model[langs].T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -324,7 +336,7 @@ def _count_pass(docs: DataFrame, model: np.ndarray | None) -> tuple[np.ndarray,
                 if table is None:
                     lang = np.array([POS[x] if x else -1 for x in known])
                 else:
-                    sure, lang, conf = of_one_language(batch, np.zeros((len(texts), len(LANGS))), table)
+                    sure, lang, conf = of_one_language(batch, np.zeros((len(texts), len(LANGS))), table, langs)
                     sources, cases = b.column("source").to_pylist(), b.column("case_id").to_pylist()
                     for i in np.flatnonzero(sure).tolist():
                         seen[(known[i] or "", sources[i], cases[i], LANGS[lang[i]])] += 1
@@ -374,7 +386,7 @@ def fit(docs: DataFrame) -> Fusion:
     """Two counting passes over all documents; what is collected has a fixed size (languages times cells, languages
     times labels). Counts of sources and cases stay tables."""
     first, _ = _count_pass(docs, None)
-    second, joint = _count_pass(docs, trigram_model(first))
+    second, joint = _count_pass(docs, trigram_model(first), taking_part(first))
     by_label = np.ones((len(LANGS), len(LANGS) + 1)) * 0.5 + np.pad(np.eye(len(LANGS)) * 4, ((0, 0), (0, 1)))
     for r in joint.groupBy("label", "lang").agg(F.sum("n").alias("n")).collect():
         by_label[POS[r["lang"]], POS.get(r["label"], len(LANGS))] += r["n"]
@@ -383,17 +395,19 @@ def fit(docs: DataFrame) -> Fusion:
     label = {lang: np.log(by_label[:, k] / by_label.sum(1)) for lang, k in POS.items()}
     label[None] = np.log(by_label[:, -1] / by_label.sum(1))
     counted = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("float") for x in LANGS]).alias("counts")
-    return Fusion(trigram_model(second), label, np.log(whole), joint.groupBy("source").agg(counted), joint.groupBy("source", "case_id").agg(counted))
+    return Fusion(trigram_model(second), taking_part(second), label, np.log(whole), cut(joint.groupBy("source").agg(counted)), cut(joint.groupBy("source", "case_id").agg(counted)))
 
 
 def with_priors(docs: DataFrame, f: Fusion) -> DataFrame:
-    """``docs`` with ``prior``, the log-priors of the languages. Counts of sources and cases are joined; how is left to
-    the planner, which broadcasts a side only when it measured it to be small and splits hot keys otherwise."""
+    """``docs`` with ``prior``, the log-priors of the languages. Counts of sources and cases are joined: a side of at most
+    ``FEW`` rows (some 10 MB) is broadcast, a larger one is left to the planner, which splits hot keys."""
     whole = F.array(*[F.lit(float(np.exp(x))) for x in f.whole])
     if f.sources is None or f.cases is None:
         return docs.withColumn("prior", F.transform(whole, lambda x: F.log(x)))
     src = f.sources.select(F.col("source").alias("_s"), F.col("counts").alias("_cs"))
     case = f.cases.select(F.col("source").alias("_s2"), F.col("case_id").alias("_c2"), F.col("counts").alias("_cc"))
+    small = lambda df: F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    src, case = small(src), small(case)
     out = docs.join(src, F.col("source").eqNullSafe(F.col("_s")), "left").join(case, F.col("source").eqNullSafe(F.col("_s2")) & F.col("case_id").eqNullSafe(F.col("_c2")), "left")
     none = F.array_repeat(F.lit(0.0).cast("float"), len(LANGS))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -407,17 +421,17 @@ def language_stretches(docs: DataFrame, fusion: Fusion | None = None) -> DataFra
     """``(doc_id, start_pos, lang, confidence, declared, n_stretches)``, one row per stretch; wordless documents give none."""
     docs = docs.select("doc_id", "text", "lang", "source", "case_id")
     f = fusion or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((f.logp, f.label))
+    shared = docs.sparkSession.sparkContext.broadcast((f.logp, f.label, f.langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp, label = shared.value
-        table = np.ascontiguousarray(logp.T)
+        logp, label, langs = shared.value
+        table = np.ascontiguousarray(logp[langs].T)
         for big in batches:
             for b, texts in _slices(big):
                 known = [canonical(x) for x in b.column("lang").to_pylist()]
                 prior = np.asarray(b.column("prior").flatten().to_numpy(zero_copy_only=False)).reshape(len(texts), len(LANGS))
                 base = prior + np.array([label[x] for x in known])
-                sure, lang, conf = of_one_language(Batch(texts), base, table)
+                sure, lang, conf = of_one_language(Batch(texts), base, table, langs)
                 docs_ = b.column("doc_id").to_pylist()
                 out = []
                 for i, text in enumerate(texts):

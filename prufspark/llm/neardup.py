@@ -34,6 +34,7 @@ MOST_SKETCH_BITS = 24
 SHINGLES_PER_CELL = 16
 SHINGLES_PER_PART = 4_000_000
 HOT = 20_000  # Texts of a shingle from which on they are split into blocks.
+FEW = 200_000  # Rows of some 100 bytes that are broadcast.
 COPIES = 1_000  # Members of a class that meet all others in one task.
 SKETCH_CHUNK = 1 << 14
 BITMAP_WORDS = 3
@@ -333,6 +334,10 @@ def _linked(texts: DataFrame, threshold: float, width: int) -> tuple[DataFrame,
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     # Each class in a pair is looked at by one of its texts.
     chosen = members.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min(F.struct("id", "th")).alias("m")).select("doc", "m.*")
+    chosen = cut(chosen)
+    if chosen.limit(FEW + 1).count() <= FEW:
+        # Few enough to go to the texts instead of the texts to them.
+        chosen = F.broadcast(chosen)
     one = texts.withColumn("th", F.xxhash64("text")).join(chosen, ["id", "th"]).groupBy("doc").agg(F.min("text").alias("text"))
     pairs = (
         candidates.join(one.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")

@@ -51,7 +51,7 @@ PLAIN = re.compile(r"[\w†|]+")
 MIXED = re.compile(r"\d[OolISB]|[OolISB]\d")
 DIGIT_WORD = re.compile(r"(?<![\w†])[\dOolISB]+(?:(?<=\d)[.,:][\dOolISB]+|[.,](?=[\dOolISB]*\d)[\dOolISB]+)*(?![\w†])")
 # Words with a sign in place of an accent, as in "unvollsta'ndig".
-SIGNED = re.compile(r"[^\W\d_][\w†|]*(?:(?<=[aeiouAEIOU])['\"][\w†|]*)+")
+SIGNED = re.compile(r"(?<![\w†|])[^\W\d_][\w†|]*+(?:(?<=[aeiouAEIOU])['\"][\w†|]*+)+")
 TOKEN = re.compile(SIGNED.pattern + r"|[\w†|]+(?:-[\w†|]+)*")
 ADDRESS = re.compile(r"\S*(?:@|\[at\]|\(at\)|www\.|://|_)\S*")
 BREAK = re.compile(r"([^\W\d_](?:[\w†'’|-]*[^\W\d_†|]|[\w†|]*)?)[-¬­‐‑]\s*$")
@@ -86,30 +86,36 @@ def fold(s: str) -> str:
     return s
 
 
-def edge_parts(line: str) -> tuple[bool, str, bool]:
-    """Does the line hold a page number set apart; the skeleton of the rest, numbers as ``#``; has that a number?"""
-    s = line.strip()
-    if PAGE.fullmatch(s):
-        return True, "", False
-    paged = False
-    for rx in (LEAD, TAIL):
-        m = rx.search(s)
-        if m:
-            s = s[: m.start()] + s[m.end() :]
-            paged = True
-            break
-    words = s.split()
-    numbered = [i for i, w in enumerate(words) if re.search(r"\d", w)]
-    if len(words) < 2 or numbered[:1] == [0] or len(numbered) > 2:
-        return paged, "", False
-    return paged, " ".join("#" if i in numbered else fold(w).strip() for i, w in enumerate(words)), bool(numbered)
+NUMBERED = re.compile(r"\d")
+PLACE = "ª"  # Stands for a number in a skeleton.
+
+
+def without_page(line: str) -> tuple[bool, str]:
+    """Does the line hold a page number set apart at an end, and the rest of the line."""
+    if any(c in line for c in "|·•–—-") or "  " in line:
+        for rx in (LEAD, TAIL):
+            m = rx.search(line)
+            if m:
+                return True, line[: m.start()] + line[m.end() :]
+    return False, line
+
+
+def skeleton_of(line: str) -> tuple[str, int]:
+    """The line's words as misreadings leave them, numbers as ``PLACE``, and how many numbers; empty for a single word, a
+    number in front and more than two numbers."""
+    words = line.split()
+    numbered = [NUMBERED.search(w) is not None for w in words]
+    n = sum(numbered)
+    if len(words) < 2 or numbered[0] or n > 2:
+        return "", 0
+    return fold(" ".join(PLACE if is_number else w for w, is_number in zip(words, numbered))).strip(), n
 
 
 def standing_out(lines: list[str]) -> list[tuple[int, bool, str, bool]]:
     """``(line, has a page number, skeleton, stands alone)`` of lines that may be furniture: page numbers, and lines
-    without a sentence end. A line stands alone when the next word would have fitted on it (the last one is left open); texts that have more such
-    lines than others are lists. A skeleton without a number is marked ``=`` and given only where the line breaks into a
-    sentence, which headings do not."""
+    without a sentence end. A line stands alone when the next word would have fitted on it (the last one is left open);
+    others count with exactly one number only. Texts that have more lone lines than others are lists. A skeleton without
+    a number is marked ``=`` and given only where the line breaks into a sentence, which headings do not."""
     out = list(_standing_out(lines))
     if 2 * sum(alone for *_, k, alone in out if k) > sum(1 for x in lines if x.strip()):
         out = [(i, paged, "", alone) for i, paged, _, alone in out if paged]
@@ -124,15 +130,19 @@ def _standing_out(lines: list[str]) -> Iterator[tuple[int, bool, str, bool]]:
         s = line.strip()
         if not s or CLOSED.search(s) or s[0] in "„«\"'“(•":
             continue
-        paged, skeleton, numbered = edge_parts(s)
-        if PAGE.fullmatch(s):
+        if len(s) <= 30 and PAGE.fullmatch(s):
             yield i, True, "", True
             continue
-        if s[0].islower() or UNCASED.search(s):
+        if s[0].islower():
             continue
         following = next((x for x in lines[i + 1 :] if x.strip()), "")
-        alone = following != "" and len(s) + 1 + len(following.split()[0]) <= width
-        if skeleton and not numbered:
+        alone = following != "" and len(s) + 1 + len(following.split(None, 1)[0]) <= width
+        paged, rest = without_page(s)
+        # Cheap tests before the words are looked at.
+        if not (alone or paged or NUMBERED.search(rest)) or UNCASED.search(s):
+            continue
+        skeleton, n = skeleton_of(rest) if alone or paged or sum(NUMBERED.search(w) is not None for w in rest.split()) == 1 else ("", 0)
+        if skeleton and not n:
             before = next((x for x in reversed(lines[:i]) if x.strip()), "")
             inside = before and not CLOSED.search(before) and following and following.lstrip()[0].islower()
             skeleton = "=" + skeleton if inside else ""
@@ -214,39 +224,48 @@ class Evidence:
     skeletons of furniture."""
 
     def __init__(self, entries: dict[str, str]) -> None:
-        self.entries = entries
+        self.fixes: dict[str, tuple[int, str]] = {}
+        self.counts: dict[str, int] = {}
+        self.edges: set[str] = set()
+        for k, v in entries.items():
+            if k[0] == "f":
+                n, right = v.split(" ", 1)
+                self.fixes[k[1:]] = int(n), right
+            elif k[0] == "c":
+                self.counts[k[1:]] = int(v)
+            else:
+                self.edges.add(k[1:])
 
     def right(self, word: str) -> str | None:
-        got = self.entries.get("f" + word)
-        return got.split(" ", 1)[1] if got else None
+        got = self.fixes.get(word)
+        return got[1] if got else None
 
     def count(self, word: str) -> int:
         """Uses of the word, or of the one it was misread from."""
-        got = self.entries.get("f" + word) or self.entries.get("c" + word)
-        return int(got.split(" ", 1)[0]) if got else 0
+        got = self.fixes.get(word)
+        return got[0] if got else self.counts.get(word, 0)
 
     def furniture(self, lines: list[str]) -> set[int]:
         out = set()
         for i, paged, skeleton, alone in standing_out(lines):
-            if ((alone or paged or skeleton.count("#") == 1) and "e" + skeleton in self.entries) or (paged and (not skeleton or PAGE.fullmatch(lines[i].strip()))):
+            if ((alone or paged or skeleton.count(PLACE) == 1) and skeleton in self.edges) or (paged and (not skeleton or PAGE.fullmatch(lines[i].strip()))):
                 out.add(i)
         return out
 
-    def wrong_words(self, text: str) -> Iterator[re.Match]:
-        for m in TOKEN.finditer(text):
-            w = m.group().lower()
-            if "f" + w in self.entries or ("-" in w and any("f" + p in self.entries for p in w.split("-"))):
-                yield m
+    def wrong_word(self, text: str) -> bool:
+        low = text.lower()
+        known = self.fixes.keys()
+        return not known.isdisjoint(PLAIN.findall(low)) or (("'" in low or '"' in low) and not known.isdisjoint(SIGNED.findall(low)))
 
     def suspect(self, text: str) -> bool:
         """May any line of the text be misread?"""
-        return "†" in text or MIXED.search(text) is not None or next(self.wrong_words(text), None) is not None
+        return "†" in text or MIXED.search(text) is not None or self.wrong_word(text)
 
     def misread(self, line: str) -> bool:
         if "†" in line:
             return True
         plain = ADDRESS.sub(" ", line)
-        return next(self.wrong_words(plain), None) is not None or (MIXED.search(plain) is not None and any(wrong_number(m.group()) for m in DIGIT_WORD.finditer(plain)))
+        return self.wrong_word(plain) or (MIXED.search(plain) is not None and any(wrong_number(m.group()) for m in DIGIT_WORD.finditer(plain)))
 
     def broken(self, line: str, following: str) -> bool:
         """Is the last word of ``line`` continued by ``following``, with a hyphen that is not its own?"""
@@ -277,6 +296,17 @@ def break_words(head: str, tail: str) -> tuple[tuple[str, str], tuple[str, str]]
     return (head + tail, stem + tail), (head + "-" + tail, stem + "-" + tail)
 
 
+_LAST: dict = {}
+
+
+def evidence_of(entries: dict[str, str]) -> Evidence:
+    """The evidence of a mapping; batches that share one share the evidence too."""
+    got = _LAST.get("of")
+    if got is None or got[0] is not entries:
+        got = _LAST["of"] = (entries, Evidence(entries))
+    return got[1]
+
+
 def wrong_number(token: str) -> bool:
     """Digits with a letter that looks like one; short labels such as S13 are none."""
     digits = sum(c.isdigit() for c in token)
@@ -348,7 +378,7 @@ def damaged_lines(chunks: DataFrame, most: int = MOST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e = Evidence(entries(b))
+            e = evidence_of(entries(b))
             keys, nos, kinds = [], [], []
             for k, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 for no, kind in judge(t, e):
@@ -420,7 +450,7 @@ def repaired(chunks: DataFrame, most: int = MOST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            e = Evidence(entries(b))
+            e = evidence_of(entries(b))
             out = [
                 "\n".join(corrected(s, e) for s in clean_lines(t)) if listed else repair(t, e)
                 for t, listed in zip(b.column("text").to_pylist(), b.column("listed").to_pylist())

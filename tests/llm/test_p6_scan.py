@@ -5,7 +5,7 @@ import pytest
 from prufspark.llm import scanrepair
 from prufspark.llm.scanrepair import Evidence
 
-E = Evidence({"fwurcle": "90 wurde", "fniclit": "80 nicht", "cfussgängerin": "50", "cweg-zeit-rechnung": "9", "cpare-brise": "5", "fbescha'digt": "30 beschädigt", "egutaehten #": "9", f"e={scanrepair.fold('bericht der stelle')}": "4"})
+E = Evidence({"fwurcle": "90 wurde", "fniclit": "80 nicht", "cfussgängerin": "50", "cweg-zeit-rechnung": "9", "cpare-brise": "5", "fbescha'digt": "30 beschädigt", f"egutaehten {scanrepair.PLACE}": "9", f"e={scanrepair.fold('bericht der stelle')}": "4"})
 
 
 @pytest.mark.parametrize(

@@ -59,7 +59,7 @@ def test_surely_one_language_agrees_with_the_viterbi_pass(spark):
     counts, _ = langid._count_pass(table(spark), None)
     logp = langid.trigram_model(counts)
     texts = [DE, FR, DE + " " + FR, EN + " 12.5. " + EN, RU + "\n" + EN, (DE + " ") * 30 + FR, "A.", f"{FR} {FR} {DE} {FR}"]
-    sure, lang, conf = langid.of_one_language(langid.Batch(texts), np.zeros((len(texts), len(langid.LANGS))), np.ascontiguousarray(logp.T))
+    sure, lang, conf = langid.of_one_language(langid.Batch(texts), np.zeros((len(texts), len(langid.LANGS))), np.ascontiguousarray(logp.T), np.arange(len(langid.LANGS)))
     assert sure[:2].all() and not sure[[2, 4, 5]].any()
     for i, t in enumerate(texts):
         if sure[i] and langid.WORD.search(t):
