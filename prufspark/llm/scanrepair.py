@@ -55,6 +55,7 @@ SIGNED = re.compile(r"(?<![\w†|])[^\W\d_][\w†|]*+(?:(?<=[aeiouAEIOU])['\"][\
 TOKEN = re.compile(SIGNED.pattern + r"|[\w†|]+(?:-[\w†|]+)*")
 ADDRESS = re.compile(r"\S*(?:@|\[at\]|\(at\)|www\.|://|_)\S*")
 BREAK = re.compile(r"([^\W\d_](?:[\w†'’|-]*[^\W\d_†|]|[\w†|]*)?)[-¬­‐‑]\s*$")
+HYPHENS = tuple('-¬\xad‐‑')
 GLUE = re.compile(r"[@_/\d]|www\.")
 DIGIT = r"[\dOolISB|]"
 NUMBER = rf"{DIGIT}{{1,4}}"
@@ -219,6 +220,11 @@ def corrections(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return met.where(made).groupBy("wrong").agg(best.alias("b"), F.first("n").alias("n")).select("wrong", "b.right", "n", "b.n_right")
 
 
+def line_break(line: str) -> re.Match | None:
+    """The word that a hyphen at the line's end cuts; looked for only where there is one."""
+    return BREAK.search(line) if line.rstrip()[-1:] in HYPHENS else None
+
+
 class Evidence:
     """What a worker looks up in its entries: ``f`` wrong word to count and right word, ``c`` counts of words, ``e``
     skeletons of furniture."""
@@ -269,7 +275,7 @@ class Evidence:
 
     def broken(self, line: str, following: str) -> bool:
         """Is the last word of ``line`` continued by ``following``, with a hyphen that is not its own?"""
-        m = BREAK.search(line)
+        m = line_break(line)
         nxt = following.lstrip()
         if not m or not nxt or not LETTER.match(nxt):
             return False
@@ -322,7 +328,7 @@ def keys_of(text: str) -> set[str]:
     lines = clean_lines(text)
     out = {"f" + w for t in TOKEN.findall("\n".join(lines).lower()) for w in (t, *t.split("-"))}
     out |= {"e" + k for _, _, k, _ in standing_out(lines) if k}
-    ends = [(BREAK.search(s), k) for k, s in enumerate(lines)]
+    ends = [(line_break(s), k) for k, s in enumerate(lines)]
     for m, k in ends:
         if m:
             # A line of furniture may stand between the parts of a word.
@@ -406,7 +412,7 @@ def repair(text: str, e: Evidence) -> str:
             continue
         following = next((x for _, x in kept[k + 1 :] if x.strip()), "")
         s = s.strip()
-        now += s[:-1] if e.broken(s, following) else s if BREAK.search(s) and LETTER.match(following.lstrip() or "0") else s + " "
+        now += s[:-1] if e.broken(s, following) else s if line_break(s) and LETTER.match(following.lstrip() or "0") else s + " "
     if now:
         paragraphs.append(now)
     return corrected("\n\n".join(p.strip() for p in paragraphs), e)
