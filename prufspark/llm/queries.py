@@ -87,6 +87,17 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Ids with the offsets of their pieces."""
+    return tokens.encode_with_offsets(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of each text as its ids give it back."""
+    ids = tokens.encode_corpus(table(spark, d, "documents"))
+    return ids.select("doc_id", F.sha2(tokens.decode_ids(F.col("ids")).cast("binary"), 256).alias("text_hash"))
+
+
 # The domains of these tables' sources.
 DOMAINS = {
     "gutachten_archiv": "fallakten", "polizeirapport": "fallakten", "einvernahmen": "fallakten", "rechtshilfe": "fallakten",
@@ -142,4 +153,5 @@ SELECT DISTINCT tbl, record_key, field FROM v WHERE v IS NOT NULL AND record_key
 n AS (SELECT id, v FROM u WHERE len(list_filter(v, lambda x: x <> 0)) > 0), h AS (SELECT q.id AS id, o.id AS other, round(list_cosine_similarity(q.v, o.v), 9) AS s FROM n q, n o WHERE q.id <> o.id),
 k AS (SELECT id, other FROM h WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 10)"""
     p5 = f"{near} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k"
-    return {"p1_found": p1, "p2_found": p2, "p5_found": p5}
+    p7 = "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents"
+    return {"p1_found": p1, "p2_found": p2, "p5_found": p5, "p7_decoded": p7}

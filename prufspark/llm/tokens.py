@@ -226,6 +226,12 @@ def _code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids end to end, and the offset of each text's first id (one more than texts)."""
+    return encode_pieces(texts, path)[:2]
+
+
+def encode_pieces(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``encode_texts``, and for the pieces end to end the character each starts at in its own text, the place of its
+    first id among the text's ids, and the offset of each text's first piece (one more than texts)."""
     m = merger(path)
     clean = [t or "" for t in texts]
     whole, codes, ends = _code_points(clean)
@@ -238,8 +244,10 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.nda
     sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
     total = np.concatenate([[0], np.cumsum(sizes)])
     ids = np.fromiter((i for p in pieces for i in p), dtype=np.int32, count=int(total[-1]))
-    offsets = total[np.searchsorted(starts, np.concatenate([begins, [len(whole)]]))]
-    return ids, offsets
+    bounds = np.searchsorted(starts, np.concatenate([begins, [len(whole)]]))
+    offsets = total[bounds]
+    per_text = np.diff(bounds)
+    return ids, offsets, starts - np.repeat(begins, per_text), total[:-1] - np.repeat(offsets[:-1], per_text), bounds
 
 
 def _slices(b: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -269,6 +277,28 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def encode_with_offsets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``(doc_id, ids, piece_chars, piece_ids)``: with the ids the offsets that decoding a part needs. Piece ``i`` begins at
+    the 0-based character ``piece_chars[i]`` with the id at ``piece_ids[i]``; pieces never share an id."""
+    path = vocabulary or default_vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, texts in _slices(b):
+                ids, offsets, chars, firsts, bounds = encode_pieces(texts, path)
+                lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(offsets, ids), lists(bounds, chars), lists(bounds, firsts)], names=["doc_id", "ids", "piece_chars", "piece_ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, piece_chars array<int>, piece_ids array<int>")
+
+
+def ids_between(ids: Column, piece_chars: Column, piece_ids: Column, start: Column, stop: Column) -> Column:
+    """The ids of the whole pieces that begin at the 0-based characters from ``start`` up to ``stop``."""
+    n = lambda at: F.size(F.filter(piece_chars, lambda c: c < at))
+    first = lambda k: F.coalesce(F.try_element_at(piece_ids, k + 1), F.size(ids))
+    return F.slice(ids, first(n(start)) + 1, F.greatest(first(n(stop)) - first(n(start)), F.lit(0)))
+
+
 def count_tokens(docs: DataFrame, keep: list[str], vocabulary: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``; the ids never leave the worker."""
     path = vocabulary or default_vocabulary_path()

@@ -56,3 +56,18 @@ def test_long_merge_equals_short_merge():
         raw = bytes(rng.choice(b"abcdeinrst\xc3\xa4") for _ in range(rng.randint(2, 24)))
         if raw not in m.ranks:
             assert m._merge_long(raw) == m.merge(raw)
+
+
+def test_offsets_decode_parts(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Der Bus hielt.  Dann 123 Leute's Ende\n\n", "", None, "日本語 und ß", "  x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in tokens.encode_with_offsets(df).collect()}
+    plain = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df).collect()}
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert r["ids"] == plain[i] and len(r["piece_chars"]) == len(r["piece_ids"])
+        for a, b in zip(r["piece_chars"], [*r["piece_chars"][1:], len(t or "")]):
+            part = spark.range(1).select(tokens.decode_ids(tokens.ids_between(*(F.array(*[F.lit(x) for x in r[c]]) for c in ("ids", "piece_chars", "piece_ids")), F.lit(a), F.lit(b)))).first()[0] if i == 0 else None
+            assert part is None or part == t[a:b]
