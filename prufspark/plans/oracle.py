@@ -241,6 +241,8 @@ SELECT finding_id, 'agent_2 | agent_4 | agent_5' AS models_agreed FROM k GROUP B
 SELECT coalesce(a, '(all)') AS agent, coalesce(s, '(all)') AS severity_level, count(*) AS n FROM f GROUP BY CUBE (a, s)"""
     cells = ", ".join(f"count(*) FILTER (s = '{x}') AS {x}" for x in ("STUFE_1", "STUFE_2", "STUFE_3", "none"))
     out["fp_matrix"] = f"""{MATCH}, f AS (SELECT coalesce(agent_scope, 'none') AS agent, coalesce(severity, 'none') AS s FROM p WHERE finding_id NOT IN (SELECT pid FROM m)) SELECT agent, {cells}, count(*) AS total FROM f GROUP BY agent"""
+    scope = "coalesce(agent_scope, CASE WHEN main_class LIKE 'HYPOTHESE%' THEN 'document_hypothesis' WHEN main_class LIKE 'RECHEN%' OR main_class LIKE 'ZAHL%' THEN 'segment_calculation' WHEN main_class LIKE 'FORMALES%' OR main_class LIKE 'SPRACHE%' THEN 'segment_language' ELSE 'segment_or_document_factual' END)"
+    out["fn_by_scope"] = f"{MATCH} SELECT {scope} AS scope, count(*) AS n FROM g WHERE finding_id NOT IN (SELECT gid FROM m) GROUP BY ALL"
     out["proposal_counts"] = f"""WITH {GOLD}, f AS (SELECT coalesce(subclass, 'UNKNOWN') AS s, coalesce(change_type, 'UNKNOWN') AS c, source FROM g WHERE source IN ('manual', 'injected'))
 SELECT coalesce(s, '(all)') AS subclass, coalesce(c, '(all)') AS change_type, count(*) FILTER (source = 'manual') AS n_manual, count(*) FILTER (source = 'injected') AS n_injected FROM f GROUP BY GROUPING SETS ((s, c), (s), (c), ())"""
     out["topk_cosine"] = f"{_topk('true', 12)} SELECT query_id, rank, id, score FROM r"
@@ -297,6 +299,11 @@ SELECT id, 1, (q - l + 1)::VARCHAR, (q - l)::VARCHAR FROM x WHERE k % 13 = 0 AND
     out["calc_status"] = f"""WITH {calc}, y AS (SELECT 0 AS n, c AS v, c + CASE WHEN k % 11 = 0 THEN 700 ELSE 0 END AS said FROM x UNION ALL SELECT 1, q - l, q - l + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END FROM x)
 SELECT n::BIGINT AS n, CASE WHEN said <> 0 AND (abs(v) > 100 * abs(said) OR 100 * abs(v) < abs(said)) THEN 'implausible' WHEN v <> said THEN 'wrong' ELSE 'ok' END AS status, count(*) AS rows FROM y GROUP BY ALL"""
     out["calc_candidates"] = f"WITH {calc} SELECT id, (q - l)::VARCHAR AS claimed, (q - l + 1)::VARCHAR AS wrong FROM x WHERE k % 13 <> 0"
+    cents = "(x.c + CASE WHEN k % 11 = 0 THEN 700 ELSE 0 END)"
+    price = "((round(l_extendedprice * 100)::BIGINT)::DECIMAL(20, 0) / 100)::DECIMAL(20, 2)::VARCHAR"
+    text = lambda last: f"'Es gilt (' || q || ' * ' || {price} || ') / 4 = ' || {money(cents)} || '. Dazu ' || q || ' – ' || l || ' = ' || {last} || ' Stück.'"
+    out["injected_texts"] = f"""WITH {calc.replace('FROM lineitem', ', l_extendedprice FROM lineitem')}, y AS (SELECT id, k, {text('(q - l + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END)')} AS old, {text('(q - l + 1)')} AS new, '= ' || (q - l + 1) || ' Stück' AS injected_span FROM x),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY old) = 1) SELECT id, sha256(new) AS text_hash, injected_span FROM z WHERE k % 13 <> 0"""
     out["number_forms"] = "SELECT l_orderkey || '-' || l_linenumber AS id, (round(l_extendedprice * 100) / 100)::DOUBLE AS value FROM lineitem"
     banned = ["zweifelsfrei", "ohne Zweifel", "begründete Zweifel", "Restzweifel", "keine Zweifel mehr", "Zweifel säen", "Zweifel ausräumen", "räumt Zweifel aus", "bestehen keine Zweifel", "ist zweifelsfrei bewiesen"]
     out["forbidden_terms"] = f"WITH {sample_sql()}, b AS (SELECT unnest([{_words(banned)}]) AS term) SELECT id, term FROM t, b WHERE contains(lower(text), lower(term))"

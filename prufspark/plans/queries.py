@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prufspark.functions import numbers, text
-from prufspark.operators import arithmetic, chunking, detectors, findings, matching, models, retrieval
+from prufspark.operators import arithmetic, chunking, detectors, findings, injection, matching, models, retrieval
 from prufspark.plans.lineage import cut
 from prufspark.plans.samples import sample_texts
 from prufspark.sources.readers import case_id, document_type
@@ -292,6 +292,14 @@ def fp_by_agent(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.when(F.col("gid") >= 2, "(all)").otherwise(F.col("agent")).alias("agent"), F.when(F.col("gid") % 2 == 1, "(all)").otherwise(F.col("severity_level")).alias("severity_level"), "n")
 
 
+@query
+def fn_by_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Missed gold findings by the reviewer they belong to, from their main class where they name none."""
+    g, _, _, m = _matched(spark, d)
+    scope = F.coalesce("agent_scope", findings.agent_scope(F.coalesce("main_class", F.lit("")))).alias("scope")
+    return matching.unmatched(g, m, "gold").select(scope).groupBy("scope").agg(F.count("*").alias("n"))
+
+
 @query
 def fp_matrix(spark: SparkSession, d: str) -> DataFrame:
     """False positives of each agent by severity, zero where there are none."""
@@ -514,6 +522,15 @@ def calc_candidates(spark: SparkSession, d: str) -> DataFrame:
     return arithmetic.injectable(arithmetic.equations(_calculations(spark, d))).where("subtype = 'DIFFERENZ'").select("id", "claimed", "wrong")
 
 
+@query
+def injected_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose difference is right, with a wrong one in its place."""
+    t = cut(_calculations(spark, d).groupBy("id").agg(F.min("text").alias("text")))
+    p = injection.calculation_proposals(arithmetic.injectable(arithmetic.equations(t)).where("subtype = 'DIFFERENZ'"))
+    p = p.withColumn("original_span", F.concat("original_span", F.lit(" Stück"))).withColumn("injected_span", F.concat("injected_span", F.lit(" Stück")))
+    return injection.inject(t, injection.one_per_text(p, ["DIFFERENZ"])).select("id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "injected_span")
+
+
 @query
 def number_forms(spark: SparkSession, d: str) -> DataFrame:
     """Prices written in four ways and read again."""

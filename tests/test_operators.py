@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prufspark.functions.similarity import span_features, span_score
-from prufspark.operators import arithmetic, chunking, detectors, findings, language, lookup, matching, models, retrieval, review
+from prufspark.operators import arithmetic, chunking, detectors, findings, injection, language, lookup, matching, models, retrieval, review
 from prufspark.plans.queries import queries
 
 FINDING = "finding_id string, subclass_id string, change_type_id string, severity_id string, span_text string, correction string, rationale string, source string, source_refs array<string>, agent_scope string, detection_finding_id string"
@@ -371,3 +371,13 @@ def test_models_fail_by_batch_and_schemas_hold_the_labels(spark):
     assert models.error_schema(tax)["properties"]["errors"]["items"]["properties"]["subklasse"]["enum"] == ["b"]
     v = {r["id"]: r["vec"] for r in models.embed(spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "id int, t string"), "t", models.HashEncoder(8)).collect()}
     assert v[2] is None and v[3] is None and abs(sum(x * x for x in v[1]) - 1) < 1e-5
+
+
+def test_injection_changes_what_was_proposed(spark):
+    t = spark.createDataFrame([(1, "Es sind 9 - 4 = 5 Stück."), (2, "nichts"), (3, None)], "id int, text string")
+    c = injection.calculation_proposals(arithmetic.injectable(arithmetic.equations(t)))
+    more = c.unionByName(spark.createDataFrame([(1, 5, "A", "fehlt", "x"), (2, 0, "A", "fehlt", "x"), (2, 1, "A", "nichts", "nichts")], "id int, n int, subtype string, original_span string, injected_span string"))
+    got = injection.inject(t, injection.one_per_text(more, ["DIFFERENZ", "A"]))
+    assert [(r["id"], r["text"]) for r in got.collect()] == [(1, "Es sind 9 - 4 = 6 Stück.")]
+    gold = injection.gold_findings(got, "ZAHL_RECHNUNG").first()
+    assert (gold["span_text"], gold["correction"], gold["source"]) == ("= 6", "= 5", "injected")
