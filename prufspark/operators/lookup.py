@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prufspark.functions.text import squeeze
+from prufspark.operators.matching import shared_counts
 
-SPANS = 2_000  # Spans of a document that are looked for in a text at once.
+SPANS, TEXTS = 1_024, 256  # Spans and segments of a document that meet at once.
+EXACT = 2.0
 
 
 def find_segments(spans: DataFrame, segments: DataFrame, least: float = 0.5) -> DataFrame:
@@ -20,46 +23,42 @@ def find_segments(spans: DataFrame, segments: DataFrame, least: float = 0.5) ->
     those that share most of its tokens, at least the share ``least`` (``tokens``). Spans without one give no row; case
     and white space do not count, blank spans are left out.
 
-    Exact: an automaton of a document's spans, in blocks, runs once over each of its segments. Tokens: candidates share
-    one of the span's rarest tokens, of which any segment above the share must hold one."""
+    A document's spans and segments are packed in blocks, and each two blocks meet in one row, so a large document is
+    spread over the tasks. An automaton of the spans runs once over each segment, shared tokens are counted for all pairs
+    at once, and only the best segment of a span leaves a pair of blocks."""
     norm = lambda c: F.lower(squeeze(F.col(c)))
     s = spans.select("case_id", norm("span").alias("key"), "span").where("key <> ''").distinct()
-    t = segments.where("text is not null").select("case_id", "segment_index", norm("text").alias("text"))
-    keys = s.select("case_id", "key").distinct()
-    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / SPANS)).alias("block")
-    sizes = keys.groupBy("case_id").agg(F.count("*").alias("n"))
-    blocks = keys.join(sizes, "case_id").select("case_id", block, "key").groupBy("case_id", "block").agg(F.collect_list("key").alias("keys"))
+    t = segments.where("text is not null").select("case_id", F.col("segment_index").cast("bigint").alias("segment_index"), norm("text").alias("text"))
+
+    def packed(rows: DataFrame, key: str, size: int, value, name: str) -> DataFrame:
+        n = rows.groupBy("case_id").agg(F.ceil(F.count("*") / size).alias("_n"))
+        return rows.join(n, "case_id").groupBy("case_id", F.pmod(F.xxhash64(key), F.col("_n")).alias(f"{name}_block")).agg(F.collect_list(value).alias(name))
+
+    one = packed(s.select("case_id", "key").distinct(), "key", SPANS, F.col("key"), "keys")
+    two = packed(t, "segment_index", TEXTS, F.struct("segment_index", "text"), "texts")
+    met = one.join(two, "case_id").repartition("case_id", "keys_block", "texts_block").select("case_id", "keys", "texts")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found_by = None, None
         for b in batches:
-            cases, found, at = [], [], []
-            for case, blk, words, seg, text in zip(*(b.column(c).to_pylist() for c in ("case_id", "block", "keys", "segment_index", "text"))):
-                if (case, blk) != last:
-                    found_by = ahocorasick.Automaton()
-                    for w in words:
-                        found_by.add_word(w, w)
-                    found_by.make_automaton()
-                    last = (case, blk)
-                got = {w for _, w in found_by.iter(text)}
-                cases += [case] * len(got)
-                found += got
-                at += [seg] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(cases, pa.string()), pa.array(found, pa.string()), pa.array(at, pa.int64())], names=["case_id", "key", "segment_index"])
+            for case, keys, texts in zip(*(b.column(c).to_pylist() for c in ("case_id", "keys", "texts"))):
+                texts.sort(key=lambda x: x["segment_index"])
+                found = ahocorasick.Automaton()
+                for k in keys:
+                    found.add_word(k, k)
+                found.make_automaton()
+                first: dict[str, int] = {}
+                for x in texts:
+                    for k in {k for _, k in found.iter(x["text"])}:
+                        first.setdefault(k, x["segment_index"])
+                toks = [set(k.split(" ")) for k in keys]
+                share = shared_counts(toks, [set(x["text"].split(" ")) for x in texts]) / np.array([len(x) for x in toks])[:, None]
+                best = share.argmax(1)
+                rows = [(k, i, EXACT) for k, i in first.items()]
+                rows += [(k, texts[j]["segment_index"], float(share[n, j])) for n, (k, j) in enumerate(zip(keys, best.tolist())) if k not in first and share[n, j] >= least - 1e-12]
+                cols = list(zip(*rows)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array([case] * len(rows), pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["case_id", "key", "segment_index", "share"])
 
-    met = t.join(blocks, "case_id").select("case_id", "block", "keys", F.col("segment_index").cast("bigint").alias("segment_index"), "text")
-    exact = met.sortWithinPartitions("case_id", "block").mapInArrow(scan, "case_id string, key string, segment_index bigint").groupBy("case_id", "key").agg(F.min("segment_index").alias("segment_index"))
-    left = keys.join(exact, ["case_id", "key"], "left_anti").select("case_id", "key", F.array_distinct(F.split("key", " ")).alias("toks"))
-    of_segment = t.select("case_id", F.col("segment_index").cast("bigint").alias("segment_index"), F.array_distinct(F.split("text", " ")).alias("words"))
-    held = of_segment.select("case_id", "segment_index", F.explode("words").alias("tok"))
-    rare = held.groupBy("case_id", "tok").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("case_id", "key").orderBy("df", "tok")
-    n = F.size("toks")
-    ranked = left.select("case_id", "key", "toks", F.explode("toks").alias("tok")).join(rare, ["case_id", "tok"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    prefix = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n - F.ceil(least * n - 1e-9) + 1)
-    cand = prefix.join(held, ["case_id", "tok"]).select("case_id", "key", "toks", "segment_index").distinct()
-    share = F.size(F.array_intersect("toks", "words")) / n
-    scored = cand.join(of_segment, ["case_id", "segment_index"]).withColumn("share", share).where(F.col("share") >= least - 1e-12)
-    near = scored.groupBy("case_id", "key").agg(F.min_by("segment_index", F.struct(-F.col("share"), "segment_index")).alias("segment_index"))
-    both = exact.withColumn("how", F.lit("exact")).unionByName(near.withColumn("how", F.lit("tokens")))
-    return s.join(both, ["case_id", "key"]).select("case_id", "span", "segment_index", "how")
+    near = met.mapInArrow(scan, "case_id string, key string, segment_index bigint, share double").groupBy("case_id", "key")
+    best = near.agg(F.min(F.struct((-F.col("share")).alias("worse"), "segment_index")).alias("b"))
+    how = F.when(F.col("b.worse") == -EXACT, "exact").otherwise("tokens").alias("how")
+    return s.join(best, ["case_id", "key"]).select("case_id", "span", "b.segment_index", how)

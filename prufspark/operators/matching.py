@@ -37,7 +37,7 @@ def _bigrams(s: str) -> set[str]:
     return {s[i : i + 2] for i in range(len(s) - 1)} if len(s) != 1 else {s}
 
 
-def _shared(g: list[set[str]], p: list[set[str]]) -> np.ndarray:
+def shared_counts(g: list[set[str]], p: list[set[str]]) -> np.ndarray:
     """Sizes of all intersections: a product of incidence matrices over the elements that both sides have."""
     both = set().union(*g) & set().union(*p)
     place = {x: i for i, x in enumerate(both)}
@@ -60,7 +60,7 @@ def block_scores(gold: list[str], pred: list[str]) -> np.ndarray:
     t, b = [[set(filter(None, s.split(" "))) for s in x] for x in (gold, pred)], [[_bigrams(s) for s in x] for x in (gold, pred)]
     size = lambda sets: np.array([len(x) for x in sets], np.float64)
     (gt, pt), (gb, pb) = map(size, t), map(size, b)
-    nt, nb = _shared(*t), _shared(*b)
+    nt, nb = shared_counts(*t), shared_counts(*b)
     any_, total = gt[:, None] + pt - nt, gb[:, None] + pb
     j = np.where(any_ == 0, 1.0, nt / np.maximum(any_, 1))
     d = np.where(total == 0, 1.0, 2.0 * nb / np.maximum(total, 1))
