@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prufspark.functions.text import simplify
+from prufspark.plans.lineage import cut
 
 SCOPE = ("case_id", "segment_id")
 CASE = ("case_id",)
@@ -110,6 +111,7 @@ def strict_candidates(cands: DataFrame) -> DataFrame:
     return cands.where("subclass_match").withColumn("score", F.round(score, 6))
 
 
+STREAM = 1_000_000
 SPAN_FIRST = ("span_score", "score")
 SCORE_FIRST = ("score", "span_score", "change_type_match", "severity_match")
 
@@ -117,14 +119,36 @@ SCORE_FIRST = ("score", "span_score", "change_type_match", "severity_match")
 def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE, best: Sequence[str] = SPAN_FIRST) -> DataFrame:
     """Greedy one-to-one assignment per scope, largest values of ``best`` first, then by ids.
 
-    The pairs of a scope stream through one worker in order, which holds the ids taken in that scope. All columns of
-    ``cands`` are sorted along: ``without_classes`` makes them narrower, ``with_classes`` gives the classes back."""
+    A pair that is the best of both its ends is taken by the greedy rule, whatever else there is. Such pairs are found by
+    two grouped minima and leave with all pairs of their ends, round by round, so that no task sees all pairs of a hot
+    scope. Once at most ``STREAM`` pairs are left, those of a scope stream through one worker in order, which holds the
+    ids taken in that scope. Narrow rows travel cheaper: see ``without_classes`` and ``with_classes``."""
+    names = cands.columns
+    order = [(-F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(best)]
+    ends = ["gold_finding_id", "pred_finding_id"]
+    row = F.struct(*order, *ends, *[c for c in names if c not in ends])
+    left, done = cut(cands), []
+    while left.limit(STREAM + 1).count() > STREAM:
+        of_gold, of_pred = (left.groupBy(*scope, end).agg(F.min(row).alias("r")).select("r.*") for end in ends)
+        both = of_pred.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate((*scope, *ends))])
+        same = F.lit(True)
+        for i, c in enumerate((*scope, *ends)):
+            same &= F.col(c).eqNullSafe(F.col(f"_p{i}"))
+        taken = cut(of_gold.join(both, same, "left_semi").select(*names))
+        done.append(taken)
+        for end in ends:
+            gone = taken.select(*[F.col(c).alias(f"_t_{c}") for c in (*scope, end)]).distinct()
+            free = F.lit(True)
+            for c in (*scope, end):
+                free &= F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+            left = left.join(gone, free, "left_anti")
+        left = cut(left)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, gold, pred = None, set(), set()
         for b in batches:
             keep = []
-            for *at, g, p in zip(*(b.column(c).to_pylist() for c in (*scope, "gold_finding_id", "pred_finding_id"))):
+            for *at, g, p in zip(*(b.column(c).to_pylist() for c in (*scope, *ends))):
                 if at != now:
                     now, gold, pred = at, set(), set()
                 ok = g not in gold and p not in pred
@@ -134,8 +158,11 @@ def greedy_match(cands: DataFrame, scope: Sequence[str] = SCOPE, best: Sequence[
                     pred.add(p)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    inside = [*[F.col(c).desc() for c in best], "gold_finding_id", "pred_finding_id"]
-    return cands.repartition(*scope).sortWithinPartitions(*scope, *inside).mapInArrow(pick, cands.schema)
+    inside = [*[F.col(c).desc() for c in best], *ends]
+    out = left.repartition(*scope).sortWithinPartitions(*scope, *inside).mapInArrow(pick, cands.schema)
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def without_classes(cands: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def rows(spark, data):
     return spark.createDataFrame([("c", s, i, "A", "x", "1", "M", None, t) for s, i, t in data], RESOLVED)
 
 
-def test_greedy_is_one_to_one_and_best_first(spark):
+def test_greedy_is_one_to_one_and_best_first(spark, monkeypatch):
     rng = random.Random(5)
     words = "Bremsspur Leitplanke Endlage Kollision Fahrbahn Zeuge".split()
     make = lambda p, n: [(f"s{rng.randrange(3)}", f"{p}{i}", " ".join(rng.choices(words, k=3))) for i in range(n)]
@@ -33,6 +33,13 @@ def test_greedy_is_one_to_one_and_best_first(spark):
             want.add((r["gold_finding_id"], r["pred_finding_id"]))
             used |= {r["gold_finding_id"], r["pred_finding_id"]}
     assert got == want and got
+    # Rounds of mutually best pairs give the same as the pass in order.
+    monkeypatch.setattr(matching, "STREAM", 0)
+    assert {(r["gold_finding_id"], r["pred_finding_id"]) for r in matching.greedy_match(c).collect()} == want
+    strict = matching.strict_candidates(c)
+    rounds = matching.greedy_match(strict, best=matching.SCORE_FIRST).collect()
+    monkeypatch.setattr(matching, "STREAM", 10**6)
+    assert sorted(rounds) == sorted(matching.greedy_match(strict, best=matching.SCORE_FIRST).collect())
 
 
 def test_metrics_of_empty_tables(spark):
