@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from decimal import ROUND_DOWN, Decimal, DivisionByZero, InvalidOperation, localcontext
+from decimal import ROUND_DOWN, Decimal, DivisionByZero, InvalidOperation, Overflow
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|([-+*/()]))")
+TOKEN = re.compile(r"\d+(?:\.\d+)?|[-+*/()]")
 RANK = {"+": 1, "-": 1, "*": 2, "/": 2, "neg": 3}
 SIGNS = str.maketrans({",": ".", "−": "-", "–": "-", "—": "-", "×": "*", "·": "*", "÷": "/"})
-# Digits, signs and brackets, at least two operands, then the claimed result.
-EQUATION = r"((?:\(\s*)*\d+(?:[.,]\d+)?(?:\s*\))*(?:\s*[-+*/×·÷−–—]\s*(?:\(\s*)*\d+(?:[.,]\d+)?(?:\s*\))*)+)\s*=\s*(-?\d+(?:[.,]\d+)?)"
+# Digits, signs and brackets, at least two operands, then the claimed result; nothing is given back once it is matched.
+_OPERAND = r"(?:\(\s*)*+\d++(?:[.,]\d++)?+(?:\s*\))*+"
+EQUATION = rf"(?<![\d.,]){_OPERAND}(?:\s*[-+*/×·÷−–—]\s*{_OPERAND})++\s*=\s*-?\d++(?:[.,]\d++)?+"
 DIFFERENCE = r"(\d+(?:[.,]\d+)?)\s?([A-Za-z/²]+)\s?\((\d+(?:[.,]\d+)?)\s?(?:[A-Za-z/²]+\s?)?[−–—-]\s?(\d+(?:[.,]\d+)?)\s?[A-Za-z/²]+\)"
 
 
@@ -29,61 +30,61 @@ def _apply(op: str, values: list[Decimal]) -> None:
 def evaluate(expression: str | None) -> Decimal | None:
     """Value of a plain expression of numbers, signs and brackets, to 28 digits; null for anything else, also for a
     division by zero. Commas are decimal signs. One pass with two stacks, so no code is ever run."""
-    if not expression or not expression.strip():
+    if not expression:
+        return None
+    text = expression.translate(SIGNS)
+    tokens = TOKEN.findall(text)
+    # Nothing but tokens and white space may be there.
+    if not tokens or sum(map(len, tokens)) != len("".join(text.split())):
         return None
-    text = expression.translate(SIGNS).strip()
     values: list[Decimal] = []
     ops: list[str] = []
     operand = True
-    at = 0
     try:
-        with localcontext() as c:
-            c.prec = 28
-            while at < len(text):
-                m = TOKEN.match(text, at)
-                if not m:
+        for t in tokens:
+            if t[0].isdigit():
+                if not operand:
+                    return None
+                values.append(Decimal(t))
+                operand = False
+            elif t == "(":
+                if not operand:
+                    return None
+                ops.append(t)
+            elif t == ")":
+                if operand:
                     return None
-                at = m.end()
-                number, sign = m.groups()
-                if number:
-                    if not operand:
-                        return None
-                    values.append(Decimal(number))
-                    operand = False
-                elif sign == "(":
-                    if not operand:
-                        return None
-                    ops.append(sign)
-                elif sign == ")":
-                    if operand:
-                        return None
-                    while ops and ops[-1] != "(":
-                        _apply(ops.pop(), values)
-                    if not ops:
-                        return None
-                    ops.pop()
-                elif operand:
-                    if sign not in "+-":
-                        return None
-                    if sign == "-":
-                        ops.append("neg")
-                else:
-                    while ops and ops[-1] != "(" and RANK[ops[-1]] >= RANK[sign]:
-                        _apply(ops.pop(), values)
-                    ops.append(sign)
-                    operand = True
-            if operand:
-                return None
-            while ops:
-                op = ops.pop()
-                if op == "(":
+                while ops and ops[-1] != "(":
+                    _apply(ops.pop(), values)
+                if not ops:
                     return None
-                _apply(op, values)
-            return values[0]
-    except (DivisionByZero, InvalidOperation):
+                ops.pop()
+            elif operand:
+                if t not in "+-":
+                    return None
+                if t == "-":
+                    ops.append("neg")
+            else:
+                while ops and ops[-1] != "(" and RANK[ops[-1]] >= RANK[t]:
+                    _apply(ops.pop(), values)
+                ops.append(t)
+                operand = True
+        if operand or "(" in ops:
+            return None
+        while ops:
+            _apply(ops.pop(), values)
+        return values[0]
+    except (DivisionByZero, InvalidOperation, Overflow):
         return None
 
 
+NUMBER = re.compile(r"\s*-?\d+(?:[.,]\d+)?\s*")
+
+
+def number(text: str | None) -> Decimal | None:
+    return Decimal(text.replace(",", ".").strip()) if text and NUMBER.fullmatch(text) else None
+
+
 def cut_decimals(value: Decimal, places: int) -> Decimal:
     return value.quantize(Decimal(1).scaleb(-places), rounding=ROUND_DOWN)
 
@@ -92,13 +93,17 @@ def equations(texts: DataFrame) -> DataFrame:
     """``(id, n, expression, claimed)``: every "expression = number" and every "result unit (a – b unit)" of a text, in
     order of the two forms."""
 
-    def found(pattern: str, expression, claimed: int) -> Column:
-        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in range(1, 5 if pattern is DIFFERENCE else 3)]
-        return F.transform(F.arrays_zip(*[g.alias(f"g{i + 1}") for i, g in enumerate(groups)]), lambda x: F.struct(expression(x).alias("expression"), x[f"g{claimed}"].alias("claimed")))
-
+    none = F.array().cast("array<struct<expression:string,claimed:string>>")
+    whole = F.transform(
+        F.regexp_extract_all("text", F.lit(EQUATION), F.lit(0)),
+        lambda m: F.struct(F.trim(F.substring_index(m, "=", 1)).alias("expression"), F.trim(F.substring_index(m, "=", -1)).alias("claimed")),
+    )
+    groups = [F.regexp_extract_all("text", F.lit(DIFFERENCE), F.lit(g)).alias(f"g{g}") for g in (1, 3, 4)]
+    pairs = F.transform(F.arrays_zip(*groups), lambda x: F.struct(F.concat(x["g3"], F.lit(" - "), x["g4"]).alias("expression"), x["g1"].alias("claimed")))
+    # Cheap tests first: most texts hold neither form.
     all_ = F.concat(
-        found(EQUATION, lambda x: x["g1"], 2),
-        found(DIFFERENCE, lambda x: F.concat(x["g3"], F.lit(" - "), x["g4"]), 1),
+        F.when(F.contains("text", F.lit("=")), whole).otherwise(none),
+        F.when(F.rlike("text", F.lit(r"\d\s?[A-Za-z/²]+\s?\(\d")), pairs).otherwise(none),
     )
     return texts.select("id", F.posexplode(all_).alias("n", "e")).select("id", "n", "e.*")
 
@@ -115,7 +120,7 @@ def verify(rows: DataFrame, factor: int = 100) -> DataFrame:
         for b in batches:
             right, status = [], []
             for e, c in zip(b.column("expression").to_pylist(), b.column("claimed").to_pylist()):
-                value, claim = evaluate(e), evaluate(c)
+                value, claim = evaluate(e), number(c)
                 if value is None or claim is None:
                     right.append(None)
                     status.append("invalid")
